@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from passagework.llm.bpe import op10_bpe
 from passagework.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from passagework.llm.packing import op1_best_fit_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
+        "op10_bpe": op10_bpe,
     }
 
 
