@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from passagework.llm.bpe import op10_bpe
 from passagework.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from passagework.llm.packing import op1_best_fit_packing
+from passagework.llm.quality import op2_quality
+from passagework.llm.toxicity import op5_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_quality": op2_quality,
+        "op5_toxicity": op5_toxicity,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_bpe": op10_bpe,
     }
