@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from passagework.llm.bpe import op10_bpe
+from passagework.llm.chat import OP3_SQL, op3_chat_formatting
 from passagework.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from passagework.llm.packing import op1_best_fit_packing
 from passagework.llm.quality import op2_quality
+from passagework.llm.secrets import OP6_SQL, op6_secret_scans
 from passagework.llm.toxicity import op5_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,11 +21,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_quality": op2_quality,
+        "op3_chat_formatting": op3_chat_formatting,
         "op5_toxicity": op5_toxicity,
+        "op6_secret_scans": op6_secret_scans,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op6_secret_scans": OP6_SQL, "op8_exact_dedup": OP8_SQL}
