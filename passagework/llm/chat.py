@@ -153,4 +153,4 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length(piece))::bigint as formatted_chars
 from shown group by conv_id
-""".replace("\\\\", "\\")
+"""
