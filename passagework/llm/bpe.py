@@ -24,14 +24,34 @@ from passagework.llm.shared import table
 
 #: The pattern whose matches are encoded separately; split_points() follows it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encoded pieces that a Python worker remembers; beyond that it forgets all and goes on.
-REMEMBERED = 1_000_000
+#: Encoded pieces that a Python worker remembers in each of two generations, and pairs whose fit it remembers.
+REMEMBERED, REMEMBERED_PAIRS = 120_000, 300_000
+#: Rows that are decoded at a time.
+ROWS_OUT = 500
 #: Pieces of more characters aren't told apart by a 64-bit hash, but as text.
 LONG_PIECE = 48
 
 _LETTER, _NUMBER, _OTHER, _BLANK, _WHITE = range(5)
 
 
+class Memory:
+    """Encodings of pieces seen lately; when the younger generation is full, it replaces the older one."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+
+    def get(self, piece: str) -> list[int] | None:
+        if (found := self.young.get(piece)) is None and (found := self.old.get(piece)) is not None:
+            self.put(piece, found)
+        return found
+
+    def put(self, piece: str, ids: list[int]) -> None:
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        self.young[piece] = ids
+
+
 class PrefixEncoder:
     """Encodes bytes by ranks as the merge procedure does, in one pass from left to right.
 
@@ -97,7 +117,7 @@ class PrefixEncoder:
                     pair = (last[s], t)
                     ok = fits.get(pair)
                     if ok is None:
-                        if len(fits) > 1_000_000:
+                        if len(fits) >= REMEMBERED_PAIRS:
                             fits.clear()
                         ok = fits[pair] = self._pair(*pair)
                     if not ok:
@@ -198,7 +218,7 @@ def split_points(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def encoded(texts: pa.Array, encode: Callable[[bytes], list[int]], memory: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encoded(texts: pa.Array, encode: Callable[[bytes], list[int]], memory: Memory) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts as unsigned 32-bit integers, where each text's ids begin); each different piece is encoded once."""
     data, at = text_bytes(texts)
     whole = data.tobytes().decode()
@@ -220,16 +240,10 @@ def encoded(texts: pa.Array, encode: Callable[[bytes], list[int]], memory: dict
     ids: list[list[int]] = []
     for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True):
         piece = whole[s:e]
-        if memory is None:
-            ids.append(encode(piece.encode()))
-            continue
-        found = memory.get(piece)
-        if found is None:
-            if len(memory) >= REMEMBERED:
-                memory.clear()
+        if (found := memory.get(piece)) is None:
             found = encode(piece.encode())
             if e - s <= LONG_PIECE:
-                memory[piece] = found
+                memory.put(piece, found)
         ids.append(found)
     size = np.fromiter(map(len, ids), np.int64, n)
     flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
@@ -257,8 +271,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(1)
-def _prefix_encoder(path: str) -> tuple[PrefixEncoder, dict]:
-    return PrefixEncoder(read_ranks(path)), {}
+def _prefix_encoder(path: str) -> tuple[PrefixEncoder, Memory]:
+    return PrefixEncoder(read_ranks(path)), Memory()
 
 
 def encode_column(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -287,9 +301,9 @@ def decode_column(encoded_docs: DataFrame, ranks_path: str) -> DataFrame:
         pieces = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             pieces[i] = t
-        for batch in batches:
-            data = [b"".join(map(pieces.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc_id", "ids", "data"])
+        for part in (batch.slice(a, ROWS_OUT) for batch in batches for a in range(0, batch.num_rows, ROWS_OUT)):
+            data = [b"".join(map(pieces.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(1).to_pylist()]
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(data, pa.binary())], ["doc_id", "ids", "data"])
 
     return encoded_docs.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, data binary")
 

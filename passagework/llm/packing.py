@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm.arrays import slices
-from passagework.llm.bpe import encoded, read_ranks, tokenizer_file
+from passagework.llm.bpe import Memory, encoded, read_ranks, tokenizer_file
 from passagework.llm.shared import table
 
 #: Rows that are handed to Spark at a time.
@@ -111,7 +111,7 @@ def _tokenizer(path: str):
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
     ranks = read_ranks(path)
     one = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    return whole, special, one._core_bpe.encode_single_piece, {}
+    return whole, special, one._core_bpe.encode_single_piece, Memory()
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = Limits()) -> DataFrame:

@@ -11,6 +11,7 @@ from passagework.llm.chat import OP3_SQL, op3_chat_formatting
 from passagework.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from passagework.llm.packing import op1_best_fit_packing
 from passagework.llm.quality import op2_quality
+from passagework.llm.rules import op4_quality_rules
 from passagework.llm.secrets import OP6_SQL, op6_secret_scans
 from passagework.llm.toxicity import op5_toxicity
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_quality": op2_quality,
         "op3_chat_formatting": op3_chat_formatting,
+        "op4_quality_rules": op4_quality_rules,
         "op5_toxicity": op5_toxicity,
         "op6_secret_scans": op6_secret_scans,
         "op8_exact_dedup": op8_exact_dedup,
