@@ -17,7 +17,7 @@ from passagework.llm.shared import settled, table
 
 #: Labelled rows that rules are learned from at most, chosen by a hash of doc_id.
 TRAINING_ROWS = 20_000
-#: Thresholds tried for each statistic, at equal ranks; rules, conditions of a rule; least precision on pruning rows.
+#: Thresholds tried for each statistic, at equal ranks among good and among junk rows; rules, conditions of a rule; least precision on pruning rows.
 CUTS, MOST_RULES, MOST_CONDITIONS, PRECISION = 32, 8, 3, 0.95
 #: Documents of fewer words, or with more than this percentage of words in repeated windows, fail the base.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -57,12 +57,13 @@ def statistics(docs: DataFrame) -> DataFrame:
     count = lambda outside: F.length(F.regexp_replace(text, outside, ""))
     measured = found.select("row", "n_words", "word_chars", "n_distinct", "n_dup_lines", "n_repeat_words", count(r"[^#*$%&|<>]+").alias("n_symbols"), count("[^A-Z]+").alias("n_capitals"), count("[^!?]+").alias("n_marks"))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    return measured.select(
-        "row", *(F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+    # a filter on these columns would be pushed below the projections above and repeat them; it stays above inline()
+    return measured.select("row", F.inline(F.array(F.struct(
+        *(F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
         F.col("n_words").cast("double").alias("words"), share("word_chars", "n_words").alias("word_length"), share("n_symbols", "word_chars").alias("symbols"),
         share("n_capitals", "word_chars").alias("capitals"), share("n_marks", "n_words").alias("marks"), F.col("n_dup_lines").cast("double").alias("repeated_lines"),
         share("n_repeat_words", "n_words").alias("repeated_words"), share("n_distinct", "n_words").alias("distinct_words"),
-    )
+    ))))
 
 
 @dataclass(frozen=True)
@@ -109,10 +110,16 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> Rule:
             for b, cut in enumerate(cuts[s]):
                 p, n = p + bins[s].get(b, (0, 0))[0], n + bins[s].get(b, (0, 0))[1]
                 for above, (pp, nn) in ((False, (p, n)), (True, (p0 - p, n0 - n))):
-                    if pp and (g := pp * (math.log2(pp / (pp + nn)) - math.log2(p0 / (p0 + n0)))) > gain + 1e-9:
+                    g = pp * (math.log2(pp / (pp + nn)) - math.log2(p0 / (p0 + n0))) if pp else 0.0
+                    if g > gain + 1e-9:
                         best, gain = Condition(s, above, cut), g
         if best is None:
             break
+        # the threshold goes to the middle of the gap between the rows on its two sides
+        value = F.col(best.statistic)
+        gap = rows.where(_all(rule)).agg(F.max(F.when(value <= best.threshold, value)).alias("low"), F.min(F.when(value > best.threshold, value)).alias("high")).first()
+        if gap["low"] is not None and gap["high"] is not None:
+            best = Condition(best.statistic, best.above, (gap["low"] + gap["high"]) / 2)
         rule += (best,)
     return rule
 
@@ -133,8 +140,9 @@ def learn(labelled: DataFrame) -> list[Rule]:
     Ties between conditions go to the first statistic and the lowest threshold, so equal rows give equal rules.
     """
     ranks = [(k + 1) / CUTS for k in range(CUTS - 1)]
-    got = labelled.agg(*(F.percentile_approx(s, ranks, 10_000).alias(s) for s in STATISTICS)).first()
-    cuts = {s: sorted(set(got[s] or [])) for s in STATISTICS}
+    of = [F.percentile_approx(F.when(F.col("junk") == y, F.col(s)), ranks, 10_000).alias(f"{s}_{y}") for s in STATISTICS for y in (0, 1)]
+    got = labelled.agg(*of).first()
+    cuts = {s: sorted({*(got[f"{s}_0"] or []), *(got[f"{s}_1"] or [])}) for s in STATISTICS}
     if not any(cuts.values()):
         return []
     bins = [F.size(F.filter(F.array(*map(F.lit, c)), _below(s))).alias(f"bin_{s}") for s, c in cuts.items()]
