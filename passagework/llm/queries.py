@@ -14,6 +14,7 @@ from passagework.llm.quality import op2_quality
 from passagework.llm.rules import op4_quality_rules
 from passagework.llm.secrets import OP6_SQL, op6_secret_scans
 from passagework.llm.toxicity import op5_toxicity
+from passagework.llm.warc import OP9_SQL, op9_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,9 +28,10 @@ def queries() -> dict[str, Query]:
         "op5_toxicity": op5_toxicity,
         "op6_secret_scans": op6_secret_scans,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_warc": op9_warc,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op6_secret_scans": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op6_secret_scans": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL}
