@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from passagework.llm.bpe import op10_bpe
 from passagework.llm.chat import OP3_SQL, op3_chat_formatting
 from passagework.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from passagework.llm.near_dedup import op7_minhash_near_dedup
 from passagework.llm.packing import op1_best_fit_packing
 from passagework.llm.quality import op2_quality
 from passagework.llm.rules import op4_quality_rules
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": op4_quality_rules,
         "op5_toxicity": op5_toxicity,
         "op6_secret_scans": op6_secret_scans,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_warc": op9_warc,
         "op10_bpe": op10_bpe,
