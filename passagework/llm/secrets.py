@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm.shared import BROADCAST_ROWS, settled, table, without
+from passagework.llm.shared import BROADCAST_ROWS, settled, table
 
 
 @dataclass(frozen=True)
@@ -176,18 +176,12 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.regex), folded).otherwise(none)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, spans): all secrets of every row of docs (doc_id, text), with DataFrame functions only.
-
-    spans is array<struct<start, end, kind>> by start, then kind as the rules are listed; code points, end
-    exclusive. Rules with mandatory trigrams are verified on the candidates of the index only, the others on every
-    text. Null text is empty; rows without a doc_id are verified against all rules; repeated rows are scanned each;
-    an empty table gives no rows; further columns are ignored.
-    """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = settled(candidates(docs, rules))
+def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(row, spans): every row of docs, all its columns in `row`, with its secrets; see scan()."""
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = settled(candidates(whole.select("doc_id", "text"), rules))
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    both = docs.join(F.broadcast(found) if few else found, "doc_id", "left")
+    both = whole.join(F.broadcast(found) if few else found, "doc_id", "left")
     asked = F.when(F.col("doc_id").isNull(), F.lit((1 << len(rules)) - 1)).otherwise(F.coalesce("rules", F.lit(0)))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     each = [
@@ -199,7 +193,42 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     def before(a: Column, b: Column) -> Column:
         return F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(order[a["kind"]] - order[b["kind"]])
 
-    return both.select("doc_id", F.concat(*each).alias("spans")).select("doc_id", F.when(F.size("spans") < 2, F.col("spans")).otherwise(F.array_sort("spans", before)).alias("spans"))
+    # a filter on the spans stays above inline(); pushed below, it would search every text once more
+    spans = both.select("row", F.concat(*each).alias("spans")).select("row", F.when(F.size("spans") < 2, F.col("spans")).otherwise(F.array_sort("spans", before)).alias("spans"))
+    return spans.select("row", F.inline(F.array(F.struct("spans"))))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, spans): all secrets of every row of docs (doc_id, text), with DataFrame functions only.
+
+    spans is array<struct<start, end, kind>> by start, then kind as the rules are listed; code points, end
+    exclusive. Rules with mandatory trigrams are verified on the candidates of the index only, the others on every
+    text. Null text is empty; rows without a doc_id are verified against all rules; repeated rows are scanned each;
+    an empty table gives no rows; further columns are ignored.
+    """
+    return scanned(docs.select("doc_id", "text"), rules).select("row.doc_id", "spans")
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with every secret replaced by its first kind; spans that overlap are one secret."""
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = x["start"] >= acc["at"]
+        more = F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("<"), x["kind"], F.lit(">"))))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, more).otherwise(acc["parts"]).alias("parts"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    return F.aggregate(spans, zero, step, lambda acc: F.array_join(F.array_append(acc["parts"], F.substring(text, acc["at"] + 1, F.length(text))), ""))
+
+
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """docs, all columns and rows, with the secrets in `text` masked; n_chars, where there is one, follows the text."""
+    found = scanned(docs)
+    hit = F.size("spans") > 0
+    text = F.when(hit, masked(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
+    plain = found.select("row", F.inline(F.array(F.struct(text.alias("masked"), hit.alias("hit")))))
+    values = {"text": F.col("masked"), "n_chars": F.when(F.col("hit"), F.length("masked")).otherwise(F.col("row.n_chars")).cast("long") if "n_chars" in docs.columns else None}
+    return plain.select(*(values[c].alias(c) if values.get(c) is not None else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def joined(spans: Column) -> Column:
@@ -207,11 +236,6 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def drop_secrets(docs: DataFrame) -> DataFrame:
-    """docs without the rows that hold a secret of any kind."""
-    return without(docs, settled(scan(docs).where(F.size("spans") > 0).select("doc_id").distinct()))
-
-
 def _equals(kind: str) -> Callable[[Column], Column]:
     return lambda x: x == kind
 
