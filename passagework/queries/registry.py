@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagework.queries import search
+from passagework.queries import records, search
 
-_MODULES = (search,)
+_MODULES = (search, records)
 
 
 def queries() -> dict:
