@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagework.queries import records, search
+from passagework.queries import composed, records, search
 
-_MODULES = (search, records)
+_MODULES = (search, records, composed)
 
 
 def queries() -> dict:
