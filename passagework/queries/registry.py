@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagework.queries import composed, records, search
+from passagework.queries import composed, lifecycle, records, search
 
-_MODULES = (search, records, composed)
+_MODULES = (search, records, composed, lifecycle)
 
 
 def queries() -> dict:
