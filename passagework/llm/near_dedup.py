@@ -2,8 +2,8 @@
 
 Documents with one shingle set form a class. Classes are posted under their rarest coordinate values only (prefix);
 the longer lists are skipped and probed through the signatures when collisions are counted. Pairs above the match
-threshold are confirmed on the full sets. Lists are linked to a center first, and all their other pairs are tried only
-between components that the centers leave apart, so a large group of copies costs no pairs among its members.
+threshold are confirmed on the full sets. Each list is linked to a center first; other pairs are tried only between the
+components that the centers leave apart, so the copies that a center has gathered make no pairs among themselves.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ BITS = 94
 SIMILAR = 80
 #: Sets of so few shingles are similar to equal sets only.
 ALONE = 3
+#: Clusters of so many classes are tried pair by pair, larger ones in blocks of BLOCK by BLOCK.
+SMALL, BLOCK = 24, 2048
 #: Buckets in which coordinate values are counted, to tell common from rare ones.
 BUCKETS = 1 << 18
 
@@ -172,46 +175,113 @@ def _sets(n_words: int) -> Callable:
     return run
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
-    """(a, b) of the settled pairs that collide often enough and are similar on their full sets, settled."""
+def colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The settled pairs (a, b) with at least MATCHES equal coordinates, settled."""
     marks = classes.select("rep", "signature")
-    colliding = (
-        pairs.join(marks.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
-        .join(marks.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
-        .select("a", "b", "sa", "sb").mapInArrow(_colliding, "a bigint, b bigint")
-    )
-    colliding = settled(colliding)
-    asked = settled(colliding.select(F.col("a").alias("doc_id")).union(colliding.select("b")).distinct())
+    both = pairs.join(marks.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(marks.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
+    return settled(both.select("a", "b", "sa", "sb").mapInArrow(_colliding, "a bigint, b bigint"))
+
+
+def _full_sets(ids: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
+    """(rep, shingles) of the documents in ids (doc_id), settled; ids are broadcast only if few, by count."""
+    asked = settled(ids.distinct())
     few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sets = settled(docs.select("doc_id", "text").join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", "text").mapInArrow(_sets(n_words), "rep bigint, shingles binary"))
-    full = (
-        colliding.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), "a")
-        .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb")), "b").select("a", "b", "xa", "xb")
-    )
-    return settled(full.mapInArrow(_confirmed, "a bigint, b bigint").distinct())
+    texts = docs.select("doc_id", "text").join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", "text")
+    return settled(texts.mapInArrow(_sets(n_words), "rep bigint, shingles binary"))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
+    """(a, b) of the settled pairs that are similar on their full sets, settled."""
+    sets = _full_sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, n_words)
+    full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb")), "b")
+    return settled(full.select("a", "b", "xa", "xb").mapInArrow(_confirmed, "a bigint, b bigint").distinct())
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """(a, b): each class of a list with the list's center, where their bits agree."""
+    found = shared.where(F.col("rep") != F.col("c_rep")).where(_alike("", "c_"))
+    return found.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct()
+
+
+def _compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Links between two blocks of one cluster, of different components: collisions as matrices, then the full sets."""
+    links: tuple[list, list] = ([], [])
+    if len(left) and len(right):
+        y, ys, yc = np.frombuffer(b"".join(right["r_signature"]), np.uint32).reshape(-1, COORDINATES), right["r_rep"].to_numpy(), right["r_component"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in right["r_shingles"]]
+        for rep, part, mark, own in zip(left["rep"], left["component"], left["signature"], left["shingles"], strict=True):
+            close = (y == np.frombuffer(mark, np.uint32)).sum(axis=1) >= MATCHES
+            mine = np.frombuffer(own, np.uint64)
+            for j in np.flatnonzero(close & (yc != part)):
+                if 100 * min(len(mine), len(sets[j])) >= SIMILAR * max(len(mine), len(sets[j])):
+                    both = len(np.intersect1d(mine, sets[j], assume_unique=True))
+                    if 100 * both >= SIMILAR * (len(mine) + len(sets[j]) - both):
+                        links[0].append(min(rep, ys[j]))
+                        links[1].append(max(rep, ys[j]))
+    return pd.DataFrame({"a": pd.Series(links[0], dtype="int64"), "b": pd.Series(links[1], dtype="int64")})
+
+
+def _within(members: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int) -> tuple[DataFrame, DataFrame]:
+    """(untested pairs of small clusters, links of large ones) between the components of each cluster.
+
+    members has rep, cluster and component. In a large cluster everything outside its largest component meets the
+    whole cluster in blocks of BLOCK classes; a block pair hands on its links only.
+    """
+    sizes = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("largest")).where("n > largest")
+    split = settled(members.join(sizes, "cluster"))
+    small = split.where(F.col("n") <= SMALL)
+    x, y = (small.select("cluster", F.col("rep").alias(f"{c}_rep"), F.col("component").alias(f"{c}_component")) for c in "xy")
+    pairs = x.join(y, "cluster").where("x_rep < y_rep and x_component <> y_component").select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+    large = split.where(F.col("n") > SMALL).join(classes.select("rep", "signature"), "rep")
+    large = large.join(_full_sets(large.select(F.col("rep").alias("doc_id")), docs, n_words), "rep")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    n_left, n_right = blocks(F.col("n") - F.col("largest")), blocks(F.col("n"))
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ("cluster", "rep", "component", "signature", "shingles")
+    left = large.where("component <> main").select(*columns, own(n_left).alias("i"), every(n_right).alias("j"))
+    right = large.select(*(F.col(c).alias(f"r_{c}") for c in columns), own(n_right).alias("r_j"), every(n_left).alias("r_i"))
+    links = left.groupBy("cluster", "i", "j").cogroup(right.groupBy("r_cluster", "r_i", "r_j")).applyInPandas(_compared, "a bigint, b bigint")
+    return pairs, links.distinct()
+
+
+def _across(own: DataFrame) -> DataFrame:
+    """(a, b): classes of one list that are in different clusters and whose bits agree.
+
+    Of two such classes one is outside the list's largest cluster, so a list of one large cluster makes no pairs.
+    """
+    parts = own.groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    major = parts.groupBy("key").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rest = settled(own.join(major.select("key", "major"), "key"))
+    x, y = (rest.select(*(F.col(c).alias(f"{side}_{c}") for c in rest.columns)) for side in "xy")
+    once = (F.col("y_cluster") == F.col("y_major")) | (F.col("x_rep") < F.col("y_rep"))
+    apart = (F.col("x_key") == F.col("y_key")) & (F.col("x_cluster") != F.col("y_cluster")) & once & _alike("x_", "y_")
+    met = x.where("x_cluster <> x_major").join(y, apart)
+    return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def linked(classes: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
-    """(node, component) of the classes that are linked with another one."""
+    """(node, component) of the classes that are linked with another one.
+
+    Classes that collide often enough with a list's center form a cluster with it. Links are sought between centers
+    and their lists, then between the components that this leaves in a cluster, then between clusters.
+    """
     spread = classes.where(F.col("n_shingles") > ALONE)
     posted = postings(spread, value_counts(spread))
     # the center of a list is the class whose values are most common in all: the likely origin of a group of near copies
     center = F.max(F.struct("common", (-F.col("rep")).alias("order"), "rep", "b0", "b1")).alias("c")
     lists = posted.groupBy("key").agg(center, F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = settled(posted.join(lists.select("key", F.col("c.rep").alias("c_rep"), F.col("c.b0").alias("c_b0"), F.col("c.b1").alias("c_b1")), "key"))
-    stars = settled(
-        shared.where(F.col("rep") != F.col("c_rep")).where(_alike("", "c_")).select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct()
-    )
-    found = confirmed(stars, classes, docs, n_words)
-    # what the centers leave apart: all pairs of a list that are in different components and haven't been tried
-    parts = settled(components(found))
-    own = shared.select("key", "rep", "b0", "b1").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = settled(own.join(apart, "key"))
-    x, y = rest.select(*(F.col(c).alias(f"x_{c}") for c in rest.columns)), rest.select(*(F.col(c).alias(f"y_{c}") for c in rest.columns))
-    across = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_rep") < F.col("y_rep")) & (F.col("x_component") != F.col("y_component")) & _alike("x_", "y_"))
-    pairs = settled(across.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    return settled(components(found.unionByName(confirmed(pairs, classes, docs, n_words))))
+    near = colliding(settled(_stars(shared)), classes)
+    found = confirmed(near, docs, n_words)
+    clusters = settled(components(near).withColumnRenamed("component", "cluster"))
+    parts = components(found)
+    members = clusters.join(parts, "node", "left").select(F.col("node").alias("rep"), "cluster", F.coalesce("component", "node").alias("component"))
+    pairs, links = _within(settled(members), classes, docs, n_words)
+    own = shared.select("key", "rep", "b0", "b1").join(clusters.withColumnRenamed("node", "rep"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    others = confirmed(colliding(settled(pairs.unionByName(_across(own)).distinct().join(near, ["a", "b"], "left_anti")), classes), docs, n_words)
+    return settled(components(found.unionByName(settled(links)).unionByName(others)))
 
 
 def near_dedup(docs: DataFrame, n_words: int = 5) -> DataFrame:
