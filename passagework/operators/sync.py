@@ -92,3 +92,19 @@ def publish(df: DataFrame, folder: str, version: int) -> str:
 def read_current(spark, folder: str) -> DataFrame:
     version = spark.read.parquet(f"{folder}/_current").agg(F.max("version")).first()[0]
     return spark.read.parquet(f"{folder}/v={version}")
+
+
+def write_pack(vectors: DataFrame, folder: str, fingerprint: str) -> None:
+    """A shippable table of (key, vector), a row for each text, with the fingerprint of the embedding that made it."""
+    vectors.dropDuplicates(["key"]).select("key", "vector", F.lit(fingerprint).alias("fingerprint"), F.size("vector").alias("dim")).write.mode("overwrite").parquet(folder)
+
+
+def load_pack(spark, folder: str, fingerprint: str) -> DataFrame:
+    """(key, vector) of a pack that the same embedding made; vectors of a wrong size are left out."""
+    pack = spark.read.parquet(folder)
+    return pack.where((F.col("fingerprint") == fingerprint) & (F.size("vector") == F.col("dim"))).select("key", "vector")
+
+
+def one_dimension(vectors: DataFrame, vector: str = "vector") -> bool:
+    """Whether all vectors have one size; an index of several is refused."""
+    return vectors.agg(F.count_distinct(F.size(vector))).first()[0] <= 1

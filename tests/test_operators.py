@@ -91,17 +91,17 @@ def test_bm25_repeats_count_twice(spark):
 
 def test_recall_finds_the_dated_fact(spark):
     docs = spark.createDataFrame([
-        ("p", "cedar.md", "Cedar", "The cedar bridge opens in spring with two lanes."), ("p", "birch.md", "Birch", "The birch tower is under review."),
+        ("p", "maple.md", "Maple", "The maple bridge opens in spring with two lanes."), ("p", "birch.md", "Birch", "The birch tower is under review."),
         ("t", "other.md", "Other", "Lunch menus for the team."), ("t", "more.md", "More", "Parking rules apply to everyone."),
     ], "source_id string, path string, title string, text string")
     index = chunked(docs)
-    ask = spark.createDataFrame([("q", "when does the cedar bridge open")], "qid string, question string")
-    assert recall(index, ask).orderBy("place").first()["citation"] == "Cedar (p:cedar.md)"
+    ask = spark.createDataFrame([("q", "when does the maple bridge open")], "qid string, question string")
+    assert recall(index, ask).orderBy("place").first()["citation"] == "Maple (p:maple.md)"
     assert recall(index, ask, sources=[]).count() == 0
     assert {r["citation"] for r in recall(index, ask, sources=["t"]).collect()} <= {"Other (t:other.md)", "More (t:more.md)"}
     days = docs.select("source_id", "path", F.when(F.col("path") == "birch.md", F.lit(dt.date(2026, 9, 26))).otherwise(F.lit(dt.date(2026, 1, 1))).alias("day"))
     assert recall_in_time(index, days, "what did we do yesterday", dt.date(2026, 9, 27)).first()["citation"] == "Birch (p:birch.md)"
-    assert recall_in_time(index, days, "the cedar bridge or tower yesterday", dt.date(2026, 9, 27)).orderBy("place").first()["citation"] == "Birch (p:birch.md)"
+    assert recall_in_time(index, days, "the maple bridge or tower yesterday", dt.date(2026, 9, 27)).orderBy("place").first()["citation"] == "Birch (p:birch.md)"
 
 
 def test_echo(spark, rows):
