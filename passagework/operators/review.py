@@ -57,3 +57,51 @@ def classified(scores: DataFrame) -> DataFrame:
     verdict = F.when(c("supported").isNull(), "new").when((c("supported") < 0.3) | (c("durable") < 0.3), "drop").when(c("withdrawn") >= 0.7, "review").otherwise("new")
     by = F.when((verdict == "new") & c("supported").isNotNull() & c("type").isin("decision", "preference") & (c("owner_stated") < 0.5), "assistant").otherwise("owner")
     return scores.withColumns({"verdict": verdict, "attribution": by})
+
+
+MARKS = {"accepted": "x", "rejected": "-", "open": " "}
+
+
+def rendered(rows: DataFrame) -> DataFrame:
+    """(path, text): items (path, section, tag, statement, quote, decision, line) as digests that items() reads back."""
+    mark = F.coalesce(F.create_map(*(F.lit(x) for p in MARKS.items() for x in p))[F.col("decision")], F.lit(" "))
+    tag = F.when(F.col("tag") != "", F.concat(F.lit("**"), F.col("tag"), F.lit("** "))).otherwise("")
+    quote = F.when(F.col("quote") != "", F.concat(F.lit("\n  > "), F.col("quote"))).otherwise("")
+    line = F.concat(F.lit("- ["), mark, F.lit("] "), tag, F.col("statement"), quote)
+    first = F.min("line").over(Window.partitionBy("path", "section"))
+    parts = rows.select("path", "section", "line", line.alias("t"), first.alias("first"))
+    bodies = parts.groupBy("path", "section").agg(F.min("first").alias("first"), F.array_join(F.array_sort(F.collect_list(F.struct("line", "t")))["t"], "\n").alias("body"))
+    block = F.concat(F.lit("## "), F.coalesce("section", F.lit("")), F.lit("\n"), F.col("body"))
+    return bodies.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.struct("first", block.alias("b"))))["b"], "\n").alias("text"))
+
+
+def decide(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """items after decisions (path, id, decision, at): the latest decision of an id holds, for its first undecided item.
+
+    Of items with one id in a digest the undecided one comes first, then the one of the least line.
+    """
+    last = decisions.groupBy("path", "id").agg(F.max_by("decision", "at").alias("_new"))
+    place = Window.partitionBy("path", "id").orderBy(F.col("decision") != "open", "line")
+    both = rows.withColumn("_place", F.row_number().over(place)).join(last, ["path", "id"], "left")
+    return both.withColumn("decision", F.when((F.col("_place") == 1) & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("decision"))).drop("_place", "_new")
+
+
+def undoable(history: DataFrame, now: Column, most: int = 20, days: int = 2) -> DataFrame:
+    """The saved versions (path, version, saved_at, digest) that may still be undone: the newest few of recent days."""
+    place = Window.partitionBy("path").orderBy(F.desc("version"))
+    fresh = history.where(F.col("saved_at") >= now - F.expr(f"interval {days} days"))
+    return fresh.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
+
+
+def undone(history: DataFrame, live: DataFrame) -> DataFrame:
+    """(path, version): the version to restore, where the live digest is still what the newest decision wrote."""
+    newest = history.groupBy("path").agg(F.max("version").alias("version"), F.max_by("digest", "version").alias("digest"))
+    same = newest.join(live.select("path", "digest"), ["path", "digest"], "left_semi")
+    return same.join(history.select("path", F.col("version").alias("v")), "path").where("v < version").groupBy("path").agg(F.max("v").alias("version"))
+
+
+def rechecked(rows: DataFrame, scores: DataFrame, real: float = 0.75) -> DataFrame:
+    """items with the section that new conflict scores (id, conflict, known) put them in; unscored ones stay."""
+    both = rows.join(scores.groupBy("id").agg(F.max("conflict").alias("conflict"), F.max("known").alias("known")), "id", "left")
+    section = F.when(F.col("conflict") >= real, "conflicts").when(F.col("known") >= 0.7, "known").when(F.col("conflict").isNotNull(), "new").otherwise(F.col("section"))
+    return both.withColumn("section", section).drop("conflict", "known")

@@ -90,3 +90,13 @@ def recall_in_time(index: DataFrame, dates: DataFrame, question: str, today: dt.
         rows = near.unionByName(far).join(index, "chunk_id")
     rows = rows.withColumn("doc", citation(F.col("source_id"), F.col("path"), F.col("title")))
     return ranking.within_budget(rows, "qid", "rank", "doc", "text", budget.top_k, budget.max_chars, budget.max_per_document).withColumnRenamed("doc", "citation")
+
+
+def formatted(evidence: DataFrame) -> DataFrame:
+    """(qid, text): the evidence of each question as one text, a citation's head once, before its first passage."""
+    from pyspark.sql import Window
+
+    first = F.row_number().over(Window.partitionBy("qid", "citation").orderBy("place")) == 1
+    head = F.when(first, F.concat(F.lit("# "), F.col("citation"), F.lit("\n"))).otherwise("")
+    parts = evidence.select("qid", F.struct("place", F.concat(head, F.col("shown"), F.when(F.col("truncated"), " …").otherwise("")).alias("t")).alias("p"))
+    return parts.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("p"))["t"], "\n\n").alias("text"))
