@@ -59,7 +59,16 @@ def within_budget(rows: DataFrame, group: str, order: str, doc: str, text: str,
     return folded.select(group, (F.col("i") + 1).alias("place"), F.col("k.doc").alias(doc), F.col("k.text").alias("shown"), F.col("k.truncated").alias("truncated"))
 
 
-def within_running_size(rows: DataFrame, by: list[str], order: list[str], size: Column, most: int) -> DataFrame:
-    """Rows of each group in order while their running size is at most `most`."""
-    frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(size).over(frame)).where(F.col("running") <= most)
+def within_running_size(rows: DataFrame, by: list[str], order: str, size: Column, most: int, block: int = 1000) -> DataFrame:
+    """Rows of each group by a whole-number order while their running size is at most `most`.
+
+    Sizes are summed by blocks of the order first, so a group of any size is cut to the blocks that begin within
+    the limit before its rows are put in order.
+    """
+    sized = rows.withColumns({"_size": size, "_block": F.floor(F.col(order) / block)})
+    sums = sized.groupBy(*by, "_block").agg(F.sum("_size").alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).where(F.col("_before") <= most).drop("_sum")
+    inside = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    found = sized.join(begins, [*by, "_block"]).withColumn("running", F.col("_before") + F.sum("_size").over(inside))
+    return found.where(F.col("running") <= most).drop("_size", "_block", "_before")

@@ -135,7 +135,7 @@ def catalog_cut(spark: SparkSession, d: str) -> DataFrame:
     """One line a document of each source, cut where the running size of path and summary passes 120,000."""
     rows = table(spark, d, "documents").select("source", "doc_id", F.substring(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), 1, 300).alias("summary"))
     size = F.length(F.col("doc_id").cast("string")) + F.length("summary") + 8
-    return ranking.within_running_size(rows, ["source"], ["doc_id"], size, 120_000).select("source", "doc_id", "summary", "running")
+    return ranking.within_running_size(rows, ["source"], "doc_id", size, 120_000).select("source", "doc_id", "summary", "running")
 
 
 def dedup_normalised(spark: SparkSession, d: str) -> DataFrame:
