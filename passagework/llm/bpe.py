@@ -38,7 +38,8 @@ _LETTER, _NUMBER, _OTHER, _BLANK, _WHITE = range(5)
 class Memory:
     """Encodings of pieces seen lately; when the younger generation is full, it replaces the older one."""
 
-    def __init__(self) -> None:
+    def __init__(self, limit: int = REMEMBERED) -> None:
+        self.limit = limit
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
 
@@ -48,7 +49,7 @@ class Memory:
         return found
 
     def put(self, piece: str, ids: list[int]) -> None:
-        if len(self.young) >= REMEMBERED:
+        if len(self.young) >= self.limit:
             self.young, self.old = {}, self.young
         self.young[piece] = ids
 

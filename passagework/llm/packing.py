@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -16,8 +17,8 @@ from passagework.llm.arrays import slices
 from passagework.llm.bpe import Memory, encoded, read_ranks, tokenizer_file
 from passagework.llm.shared import table
 
-#: Rows that are handed to Spark at a time.
-ROWS_OUT = 4000
+#: Encoded pieces that a Python worker remembers in each of two generations.
+REMEMBERED = 30_000
 
 
 @dataclass(frozen=True)
@@ -103,50 +104,51 @@ def cut(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 @lru_cache(1)
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple[list[str], Callable[[bytes], list[int]], Memory]:
+    """(special strings, encoder of one piece, memory of pieces) of a byte-level vocabulary; the library's own is read on demand."""
     import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f).get("added_tokens", [])]
+    one = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={})
+    return special, one._core_bpe.encode_single_piece, Memory(REMEMBERED)
+
+
+@lru_cache(1)
+def _whole_tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
-    ranks = read_ranks(path)
-    one = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    return whole, special, one._core_bpe.encode_single_piece, Memory()
+    return Tokenizer.from_file(path)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = Limits()) -> DataFrame:
     """Tokenise docs (doc_id, text) and pack them, in one pass without a shuffle.
 
-    Each task packs what it reads: a batch at a time, longest piece first, into the sequences it has open, so
-    memory holds one batch and the residuals of open sequences. A lost task packs the same rows alike again.
+    Each task packs what it reads: about a megabyte of text at a time, longest piece first, into the sequences it has
+    open, so memory holds one slice and the residuals of open sequences. A lost task packs the same rows alike again.
     Null and empty texts are the end id alone; repeated rows are packed each; further columns are ignored; an
     empty table gives no rows. Returns doc_id, piece, start, length, ids (little-endian unsigned 32-bit),
     sequence_id and offset, the pieces of a sequence following each other without gaps from offset 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, special, encode, memory = _tokenizer(tokenizer_path)
+        special, encode, memory = _tokenizer(tokenizer_path)
         bins = BestFit(limits)
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts: list[np.ndarray] = []
-            for _, part in slices(batch.column(1)):
+            for row, part in slices(batch.column(1)):
                 ids, first = encoded(part, encode, memory)
-                each = np.split(ids, first[1:-1])
+                texts = np.split(ids, first[1:-1])
                 for i, text in enumerate(part.to_pylist() if special else []):
                     if any(s in text for s in special):  # the tokenizer itself gives such strings ids of their own
-                        each[i] = np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-                texts += [np.append(x, np.uint32(end_id)) for x in each]
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            document, piece, start, length = cut(sizes, limits.tokens)
-            sequence, offset = bins.place(length)
-            ids_of = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else None
-            for a in range(0, len(document), ROWS_OUT):
-                own = slice(a, a + ROWS_OUT)
-                packed = [texts[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(document[own].tolist(), start[own].tolist(), length[own].tolist(), strict=True)]
-                names = pa.array(ids_of[document[own]]) if ids_of is not None else batch.column(0).take(pa.array(document[own]))
+                        texts[i] = np.array(_whole_tokenizer(tokenizer_path).encode(text, add_special_tokens=False).ids, np.uint32)
+                texts = [np.append(x, np.uint32(end_id)) for x in texts]
+                document, piece, start, length = cut(np.fromiter(map(len, texts), np.int64, len(texts)), limits.tokens)
+                sequence, offset = bins.place(length)
+                packed = [texts[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(document.tolist(), start.tolist(), length.tolist(), strict=True)]
+                names = batch.column(0).slice(row, len(part)).take(pa.array(document))
                 yield pa.record_batch(
-                    [names, pa.array(piece[own].astype(np.int32)), pa.array(start[own]), pa.array(length[own]), pa.array(packed, pa.binary()), pa.array(base + sequence[own]), pa.array(offset[own])],
+                    [names, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(packed, pa.binary()), pa.array(base + sequence), pa.array(offset)],
                     ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"],
                 )
 
