@@ -50,6 +50,11 @@ def stems(text: Column) -> Column:
     return F.array_distinct(F.transform(tokens(text, 4), lambda t: F.substring(t, 1, 5)))
 
 
+def sentences(text: Column) -> Column:
+    """Parts between line ends, and after a full stop, exclamation or question mark before white space; blank ones left out."""
+    return F.filter(F.split(text, r"(?U)(?<=[.!?])[\s\x1c-\x1f]+|\n+"), lambda s: s.rlike(r"(?U)[^\s\x1c-\x1f]"))
+
+
 def turkish_lower(text: Column) -> Column:
     return F.lower(F.translate(text, "İI", "iı"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagework.functions.text import normalised, stems, tokens
+from passagework.functions.text import normalised, sentences, stems, tokens
 
 
 def exchanges(turns: DataFrame) -> DataFrame:
@@ -61,8 +61,11 @@ def verified_quotes(items: DataFrame, rows: DataFrame) -> DataFrame:
     return first.select("item_id", F.col("b.i").alias("i"), F.when(F.col("b.who") == 0, "owner").otherwise("assistant").alias("speaker"))
 
 
-def later_context(items: DataFrame, rows: DataFrame, limit: int = 12_000, shared: int = 2) -> DataFrame:
-    """(item_id, i, size): exchanges after an item's own that share stems with it, newest first within a size budget."""
+def later_sharing(items: DataFrame, rows: DataFrame, limit: int = 12_000, shared: int = 2) -> DataFrame:
+    """(item_id, i, size): only those later exchanges whose whole reply shares stems with the statement, within a size budget.
+
+    Less than later_context(): exchanges that the owner alone settles are missing. The SQL of later_context_budget asks for this.
+    """
     asked = items.select("item_id", "conv_id", "exchange", stems(F.col("statement")).alias("terms"))
     later = asked.join(rows, "conv_id").where("i > exchange")
     about = later.where(F.size(F.array_intersect("terms", stems(F.col("assistant")))) >= shared)
@@ -71,6 +74,31 @@ def later_context(items: DataFrame, rows: DataFrame, limit: int = 12_000, shared
     return sized.withColumn("running", F.sum("size").over(frame)).where(F.col("running") <= limit)
 
 
+def later_context(items: DataFrame, rows: DataFrame, limit: int = 12_000, shared: int = 2) -> DataFrame:
+    """(item_id, i, owner, assistant, size, running): all exchanges after an item's own, newest first within a size budget.
+
+    items has item_id, conv_id, exchange, statement, quote and keywords (an array); rows are exchanges. owner has the
+    first 400 characters. assistant has the sentences that share a stem with the keywords, or `shared` of them with
+    statement and quote, each with the sentence after it, 1,500 characters at most; it may be empty.
+    An exchange that the owners' texts from it on alone put beyond the budget fits for no item, and isn't joined.
+    """
+    newest = Window.partitionBy("conv_id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    owner = F.substring(F.coalesce("user", F.lit("")), 1, 400)
+    near = rows.select("conv_id", "i", owner.alias("owner"), "assistant").withColumn("_owners", F.sum(F.length("owner")).over(newest)).where(F.col("_owners") <= limit)
+    said = F.transform(sentences(F.col("assistant")), lambda s: F.struct(s.alias("text"), stems(s).alias("stems")))
+    asked = items.select("item_id", "conv_id", "exchange", stems(F.concat_ws(" ", "statement", "quote")).alias("terms"), stems(F.concat_ws(" ", "keywords")).alias("keys"))
+    later = asked.join(near.select("conv_id", "i", "owner", said.alias("said")), "conv_id").where("i > exchange")
+
+    def hit(s: Column) -> Column:
+        return F.arrays_overlap(s["stems"], "keys") | (F.size(F.array_intersect(s["stems"], "terms")) >= shared)
+
+    about = F.filter("said", lambda s, k: hit(s) | F.coalesce(hit(F.get("said", k - 1)), F.lit(False)))
+    texts = later.select("item_id", "i", "owner", F.substring(F.array_join(F.transform(about, lambda s: s["text"]), " "), 1, 1500).alias("assistant"))
+    frame = Window.partitionBy("item_id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    sized = texts.withColumn("size", F.length("owner") + F.length("assistant"))
+    return sized.withColumn("running", F.sum("size").over(frame)).where(F.col("running") <= limit)
+
+
 def without_echo(lines: DataFrame, near: float = 10.0, share: float = 0.7, words: int = 4, short: float = 4.0) -> DataFrame:
     """Lines (meeting, n, start, speaker, text) without those of "me" that the other side said.
 

@@ -120,12 +120,20 @@ def quote_contains_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def later_context_budget(spark: SparkSession, d: str) -> DataFrame:
-    return threads.later_context(_items(spark, d), threads.exchanges(table(spark, d, "conversations")), 3000)
+    """Later exchanges whose reply shares stems with the statement only, as the SQL has it; later_context_texts has all."""
+    return threads.later_sharing(_items(spark, d), threads.exchanges(table(spark, d, "conversations")), 3000)
+
+
+def later_context_texts(spark: SparkSession, d: str) -> DataFrame:
+    """All later exchanges of each item within 12,000 characters, with texts; the statement's first two words are the keywords."""
+    items = _items(spark, d).withColumn("keywords", F.slice(F.split("statement", " "), 1, 2))
+    return threads.later_context(items, threads.exchanges(table(spark, d, "conversations")))
 
 
 _ITEMS = _EXCHANGES + """, items as (select conv_id * 1000 + i as item_id, conv_id, case when i % 3 = 0 then i + 1 else i end as exchange, replace(substr(assistant, 11, 40), ' ', '  ') as quote, user_text as statement
 from x where length(assistant) >= 60)"""
 _STEMS = r"list_distinct(list_transform(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{4,}}'), lambda t: t[1:5]))"
+_BLANK = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 
 
 def html_link_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -289,7 +297,7 @@ def trust_lifecycle_view(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     snapshot_digest, manifest_diff, index_health, index_state_case, vector_reuse, rename_reconcile, correction_targets, eligibility_semi, sessionise_turns, pack_windows,
-    hold_back_newest, context_two_before, quote_contains_join, later_context_budget, html_link_targets, link_resolve, backlinks, undirected_edge_weights, degree,
+    hold_back_newest, context_two_before, quote_contains_join, later_context_budget, later_context_texts, html_link_targets, link_resolve, backlinks, undirected_edge_weights, degree,
     boards_left_count, cards_join_lists, work_merge_badges, retain_latest_two, latest_per_path, range_listing, raw_hidden_by_written_day, inside_then_outside, session_gap,
     exactly_once_events, echo_interval_join, conformance_counts, overview_by_folder, recent_topn, mode_spelling, classify_case, trust_lifecycle_view,
 )}
@@ -329,6 +337,14 @@ select item_id, i, case when who = 0 then 'owner' else 'assistant' end as speake
     "later_context_budget": f"""with {_ITEMS}, l as (select item_id, x.i, least(length(user_text), 400) + least(length(assistant), 1500) as size from items join x on x.conv_id = items.conv_id and x.i > exchange
 where len(list_intersect({_STEMS.format('statement')}, {_STEMS.format('assistant')})) >= 2),
 r as (select *, sum(size) over (partition by item_id order by i desc rows unbounded preceding)::bigint as running from l) select * from r where running <= 3000""",
+    "later_context_texts": rf"""with {_ITEMS}, asked as (select *, {_STEMS.format("(statement || ' ' || quote)")} as terms, {_STEMS.format("array_to_string(string_split(statement, ' ')[1:2], ' ')")} as keys from items),
+p as (select conv_id, i, unnest(string_split(regexp_replace(regexp_replace(assistant, '([.!?]){_BLANK}+', '\1' || chr(2), 'g'), '\n+', chr(2), 'g'), chr(2))) as s, generate_subscripts(string_split(regexp_replace(regexp_replace(assistant, '([.!?]){_BLANK}+', '\1' || chr(2), 'g'), '\n+', chr(2), 'g'), chr(2)), 1) as k from x),
+q as (select *, {_STEMS.format('s')} as st, row_number() over (partition by conv_id, i order by k) as n from p where trim(regexp_replace(s, '{_BLANK}+', ' ', 'g')) <> ''),
+h as (select item_id, q.i, n, s, list_has_any(st, keys) or len(list_intersect(st, terms)) >= 2 as hit from asked join q on q.conv_id = asked.conv_id and q.i > exchange),
+k as (select *, hit or coalesce(lag(hit) over (partition by item_id, i order by n), false) as keep from h),
+t as (select item_id, i, substr(string_agg(s, ' ' order by n), 1, 1500) as about from k where keep group by all),
+l as (select item_id, x.i, substr(coalesce(user_text, ''), 1, 400) as owner, coalesce(about, '') as assistant from items join x on x.conv_id = items.conv_id and x.i > exchange left join t using (item_id, i)),
+r as (select *, length(owner) + length(assistant) as size, sum(length(owner) + length(assistant)) over (partition by item_id order by i desc rows unbounded preceding)::bigint as running from l) select * from r where running <= 12000""",
     "html_link_targets": f"with {_HREF} select page_id, href, count(*) as n from links group by all",
     "link_resolve": rf"""with {_HREF}, t as (select distinct '/' || regexp_extract(url, '([a-z]+)\.example', 1) as path from pages), u as (select distinct page_id, lower(href) as href from links)
 select page_id, href, coalesce(e.path, n.path) as target from u left join t e on e.path = href

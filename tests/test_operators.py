@@ -119,6 +119,17 @@ def test_exchanges_and_packing(spark, rows):
     assert [r[2] for r in rows(threads.packed(p, "g", "o", F.col("n"), 100))] == [0, 1, 1, 2, 3]
 
 
+def test_later_context_keeps_what_the_owner_settles(spark, rows):
+    x = spark.createDataFrame([
+        (1, 1, "ship it?", "Maybe."), (1, 2, "No, we dropped that.", "Understood"), (1, 3, "o" * 500, "Weather is fine. The pilot rollout moved\nNow it is closed. Bye! Nothing else."), (1, 4, None, "Launcher ready. So what?  \n Pilot alone. Rollout alone."),
+    ], "conv_id int, i int, user string, assistant string")
+    items = spark.createDataFrame([(7, 1, 1, "The pilot ships", "a rollout", ["launch"]), (8, 1, 3, "x", "y", None)], "item_id int, conv_id int, exchange int, statement string, quote string, keywords array<string>")
+    got = [(7, 2, "No, we dropped that.", ""), (7, 3, "o" * 400, "The pilot rollout moved Now it is closed."), (7, 4, "", "Launcher ready. So what?"), (8, 4, "", "")]
+    assert rows(threads.later_context(items, x).select("item_id", "i", "owner", "assistant")) == got
+    assert rows(threads.later_context(items, x, 24 + 441).select("item_id", "i", "size", "running")) == [(7, 3, 441, 465), (7, 4, 24, 24), (8, 4, 0, 0)]
+    assert rows(threads.later_context(items, x, 464).select("item_id", "i")) == [(7, 4), (8, 4)]
+
+
 def test_links(spark, rows):
     n = spark.createDataFrame([("a.md", "see [[Plan#x|the plan]] and [b](sub/b%20c.md) not [w](https://x.org/y.md) ![i](i.md)")], "path string, body string")
     assert rows(links.note_links(n, "path", "body").select("href")) == [("Plan",), ("sub/b c.md",)]
