@@ -137,6 +137,20 @@ def test_links(spark, rows):
     assert rows(got.select("href", "target")) == [("b.md", "x/b.md"), ("x/b.md", "x/b.md")]
 
 
+def test_links_resolve_in_four_steps(spark, rows):
+    targets = spark.createDataFrame([(p,) for p in ("Plan.md", "a/b.md", "p/q/x/b.md", "x/c.md", "y/c.md", "y/z/d.md", "k/y/z/d.md", "w/é.md", "e", "e.md")], "path string")
+    asked = [
+        ("n.md", "Plan", "Plan.md"), ("n.md", " Plan.md ", "Plan.md"), ("n.md", "x/b.md", "p/q/x/b.md"), ("n.md", "b", "a/b.md"), ("y/n.md", "c", "y/c.md"), ("n.md", "c", "x/c.md"), ("y/n.md", "../x/c", "x/c.md"),
+        ("y/z/n.md", ".././c.md", "y/c.md"), ("n.md", "z/d", "y/z/d.md"), ("n.md", "/x/c/", "x/c.md"), ("n.md", "e", "e.md"), ("n.md", "é", "w/é.md"), ("n.md", "z/b", None), ("n.md", "../Plan", None), ("n.md", "/", None), ("n.md", ".md", None),
+    ]
+    got = links.resolved(spark.createDataFrame([x[:2] for x in asked], "page string, href string"), targets, "page")
+    assert rows(got) == sorted((x for x in asked if x[2]), key=repr)
+    n = spark.createDataFrame([("x/n.md", "[c](c.md) [up](../y/c.md) [root](/a/b.md) [out](../../c.md) [[Plan]]")], "path string, body string")
+    found = links.note_links(n, "path", "body")
+    assert rows(found.select("href")) == [("Plan",), ("a/b.md",), ("x/c.md",), ("y/c.md",)]
+    assert rows(links.resolved(found, targets, "path").select("target")) == [("Plan.md",), ("a/b.md",), ("x/c.md",), ("y/c.md",)]
+
+
 def test_renames(spark, rows):
     old = spark.createDataFrame([("s", "a", "1"), ("s", "b", "2"), ("s", "c", "2"), ("s", "k", "3")], "source_id string, path string, digest string")
     new = spark.createDataFrame([("s", "x", "1"), ("s", "y", "2"), ("s", "k", "3")], "source_id string, path string, digest string")
