@@ -41,19 +41,18 @@ def rebuilt(events: DataFrame) -> DataFrame:
     logs = known.groupBy("conv_id", "turn", "place").agg(F.array_sort(F.collect_list(event)).alias("log"))
 
     def applied(state: Column, e: Column) -> Column:
-        restart = e["kind"].isin(*RESTARTS)
+        restart, retract = e["kind"].isin(*RESTARTS), e["kind"] == "retract"
+        n = state["n"] + 1
         return F.struct(
-            F.when(restart, True).when(e["kind"] == "retract", False).otherwise(state["live"]).alias("live"),
-            F.coalesce(e["role"], state["role"]).alias("role"),
-            F.when(restart, F.array(e["text"])).when(e["kind"] == "retract", F.array().cast("array<string>")).otherwise(F.array_append(state["parts"], e["text"])).alias("parts"),
+            n.alias("n"), F.when(restart, n).when(retract, n + 1).otherwise(state["begin"]).alias("begin"),
+            F.when(restart, True).when(retract, False).otherwise(state["live"]).alias("live"), F.coalesce(e["role"], state["role"]).alias("role"),
         )
 
-    start = F.struct(F.lit(False).alias("live"), F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("parts"))
-    one = F.struct(F.col("log")[0]["kind"].isin(*RESTARTS).alias("live"), F.col("log")[0]["role"].alias("role"), F.array(F.col("log")[0]["text"]).alias("parts"))
-    state = F.when(F.size("log") == 1, one).otherwise(F.aggregate("log", start, applied))
-    return logs.select("conv_id", "turn", "place", state.alias("m")).where("m.live or size(m.parts) > 0").select(
-        "conv_id", "turn", "place", F.coalesce("m.role", F.lit("")).alias("role"), F.array_join("m.parts", "").alias("text")
-    )
+    # the state says where the text begins in the log, so that no step copies what was said before
+    start = F.struct(F.lit(0).alias("n"), F.lit(1).alias("begin"), F.lit(False).alias("live"), F.lit(None).cast("string").alias("role"))
+    folded = logs.select("conv_id", "turn", "place", "log", F.aggregate("log", start, applied).alias("m")).where("m.live or m.begin <= m.n")
+    said = F.slice(F.col("log.text"), F.col("m.begin"), F.col("m.n") - F.col("m.begin") + 1)
+    return folded.select("conv_id", "turn", "place", F.coalesce("m.role", F.lit("")).alias("role"), F.array_join(said, "").alias("text"))
 
 
 def rendered(messages: DataFrame, trained: str = "assistant") -> DataFrame:
@@ -102,14 +101,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def as_events(turns: DataFrame) -> DataFrame:
-    """A table of final turns (conv_id, turn, role, text) as a log of message events.
+    """A table of final turns (conv_id, turn, role, text) as a log: an empty message that names the role, then a delta for each line.
 
     Rows that share a turn are messages of their own there: each continues the text as a delta would not, so the
     key of a message is its place among the rows of that turn, by role and text.
     """
     kept = F.array_sort(F.collect_list(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
     each = turns.groupBy("conv_id", "turn").agg(kept.alias("rows")).select("conv_id", "turn", F.posexplode("rows").alias("place", "row"))
-    return each.select("conv_id", "turn", "place", F.lit(0).alias("seq"), F.lit("message").alias("kind"), "row.role", "row.text")
+    first = F.struct(F.lit("message").alias("kind"), F.col("row.role").alias("role"), F.lit("").alias("text"))
+    lines = F.transform(F.split("row.text", r"(?<=\n)"), lambda x: F.struct(F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), x.alias("text")))
+    log = each.select("conv_id", "turn", "place", F.posexplode(F.concat(F.array(first), lines)).alias("seq", "e"))
+    return log.select("conv_id", "turn", "place", "seq", "e.kind", "e.role", "e.text")
 
 
 def format_chats(events: DataFrame, trained: str = "assistant") -> DataFrame:
