@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm.arrays import mixed
-from passagework.llm.shared import attach, settled, table, without
+from passagework.llm.shared import attach, one_each, own_ids, settled, table, without
 
 #: Distinct digests of a shard of the index, on average.
 SHARD_KEYS = 100_000
@@ -161,7 +161,9 @@ def exact_dedup(docs: DataFrame, history: Column | None = None) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup() drops."""
+    """docs with one row of each text left: that of the largest doc_id, and of several with it the least by all columns."""
+    if not own_ids(docs):
+        return one_each(docs, settled(exact_dedup(docs).select("doc_id", "digest", "kept")))
     return without(docs, settled(exact_dedup(docs).where("not kept").select("doc_id")))
 
 

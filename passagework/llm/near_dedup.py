@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from passagework.llm.arrays import mixed, owners, slices, span_hashes, words
 from passagework.llm.graph import components
-from passagework.llm.shared import BROADCAST_ROWS, attach, settled, table, without
+from passagework.llm.shared import BROADCAST_ROWS, attach, one_each, own_ids, settled, table, text_digest, without
 
 #: Coordinates of a signature and how many must collide. At a similarity of 0.8 a pair has 51 on average, and fewer
 #: than 34 in 3 of 10 million cases. A pair with that many shares one of its 31 first coordinates in any fixed order.
@@ -305,7 +305,19 @@ def near_dedup(docs: DataFrame, n_words: int = 5) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, n_words: int = 5) -> DataFrame:
-    """docs with one row of each component left, and every row without a doc_id or without words."""
+    """docs with one row of each component left, and every row without a doc_id or without words.
+
+    The row of the smallest doc_id stays. Rows of one doc_id and different texts are decided each: they get numbers in
+    the order of doc_id and text, and only the numbers are linked.
+    """
+    if not own_ids(docs):
+        text = docs.where("doc_id is not null").select("doc_id", text_digest().alias("digest")).distinct()
+        numbers = settled(text.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").withColumn("_number", F.monotonically_increasing_id()))
+        numbered = settled(docs.select("doc_id", "text", text_digest().alias("digest")).join(numbers, ["doc_id", "digest"], "left").select(F.col("_number").alias("doc_id"), "text"))
+        dropped = near_dedup(numbered, n_words).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_number")).distinct().withColumn("_gone", F.lit(True))
+        worded = settled(signed(numbered, n_words).where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("_number")))
+        decided = worded.join(dropped, "_number", "left").join(numbers, "_number").select("doc_id", "digest", F.col("_gone").isNull().alias("kept"))
+        return one_each(docs, settled(decided))
     return without(docs, settled(near_dedup(docs, n_words).where("not kept and doc_id is not null").select("doc_id")))
 
 

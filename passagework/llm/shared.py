@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only up to this many narrow rows (two longs each, about 16 MB).
@@ -49,5 +49,31 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
 
 
+def own_ids(docs: DataFrame) -> bool:
+    """Whether every row of docs has a doc_id that no other row has."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
+def text_digest() -> Column:
+    """SHA-256 of the text after lower-casing A-Z only; null text is empty."""
+    low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.unhex(F.sha2(low.cast("binary"), 256))
+
+
+def one_each(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of docs by the decision on their doc_id and text: decided is settled and has doc_id, digest and kept, a row for each row of docs.
+
+    Rows that aren't kept go; of repeated ones that are, the least row by all columns stays. Ids may be null or repeated.
+    """
+    counted = decided.groupBy("doc_id", "digest").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("n"))
+    marked = settled(counted.where("not _kept or n > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_kept"))
+    few = marked.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
+    rows = docs.withColumn("_own", text_digest())
+    met = rows.join(F.broadcast(marked) if few else marked, same, "left")
+    repeated = met.where("_kept").groupBy("doc_id", "_own").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return met.where("_kept is null").select(*docs.columns).unionByName(repeated)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

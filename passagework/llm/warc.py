@@ -94,14 +94,14 @@ def payloads(pages: DataFrame) -> DataFrame:
 
 
 def firsts(hashed: DataFrame) -> DataFrame:
-    """(page_id, refers_to): the pages whose payload of LEAST_SHARED bytes or more a smaller page_id has as well.
+    """(page_id, digest, refers_to): pages with a payload of LEAST_SHARED bytes or more that a smaller page_id has as well.
 
     `hashed` is settled. Copies are counted by digest first; the digests of the largest groups are broadcast.
     """
     large = hashed.where((F.col("size") >= LEAST_SHARED) & F.col("page_id").isNotNull())
     groups = settled(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     repeated = attach(large.select("page_id", "digest"), groups, "digest", "n")
-    return repeated.where("first < page_id").select("page_id", F.col("first").alias("refers_to")).distinct()
+    return repeated.where("first < page_id").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,8 @@ def write(pages: DataFrame, path: str) -> None:
     empty one; further columns are ignored; an empty table gives no bundle.
     """
     refers = firsts(settled(payloads(pages)))
-    rows = pages.select("page_id", "url", "html").join(refers, "page_id", "left")
+    digest = F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
+    rows = pages.select("page_id", "url", "html", digest.alias("digest")).join(refers, ["page_id", "digest"], "left")
     schema = "bundle string, data binary, records array<struct<page_id bigint, frame int, offset bigint>>"
     rows.select("page_id", "url", "html", "refers_to").mapInArrow(_bundles, schema).write.parquet(path)
 

@@ -36,3 +36,10 @@ def test_empty_and_null_ids(spark, documents):
     assert op.exact_dedup(documents((1, "a")).limit(0)).count() == 0
     got = {(r["doc_id"], r["kept"]) for r in op.exact_dedup(documents((None, "a"), (4, "A"), (None, "b"))).collect()}
     assert got == {(None, False), (4, True), (None, True)}
+
+
+def test_one_row_of_each_text_stays(spark, documents):
+    docs = documents((1, "a"), (1, "only"), (2, "A"), (2, "a"), (3, "same"), (3, "same"), (None, "A"), (None, "b"), (None, "b"), (4, None), (None, ""))
+    kept = sorted(((r["doc_id"], r["text"]) for r in op.drop_copies(docs).collect()), key=str)
+    assert kept == [(1, "only"), (2, "A"), (3, "same"), (4, None), (None, "b")]
+    assert op.drop_copies(docs).columns == docs.columns

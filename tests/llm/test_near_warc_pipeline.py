@@ -65,6 +65,12 @@ def test_near_dedup_edges(spark, documents):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 6]
 
 
+def test_a_copy_takes_no_other_row_of_its_id_along(spark, documents):
+    docs = documents((3, "a b c d e f"), (5, "A b c d e f"), (5, "u v w x y z"), (5, "u v w x y z"), (7, "u v w x y z"), (None, "a b c d e f"), (8, ""), (8, ""))
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_dedup.drop_near_copies(docs).collect()), key=str)
+    assert kept == [(3, "a b c d e f"), (5, "u v w x y z"), (8, ""), (8, ""), (None, "a b c d e f")]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.components(links).collect()}
@@ -85,6 +91,14 @@ def test_warc_against_sql(spark, folder, duck):
     assert warc.op9_warc(spark, folder(pages=pages(spark).limit(0))).count() == 0
 
 
+def test_warc_of_a_page_id_with_two_payloads(spark, folder, duck):
+    a, b = "a" * 200, "b" * 200
+    where = folder(pages=spark.createDataFrame([(1, "u", a), (5, "u", a), (5, "u", b), (7, "u", b), (7, "u", b)], "page_id long, url string, html string"))
+    got = sorted((r.asDict() for r in warc.op9_warc(spark, where).collect()), key=str)
+    assert got == sorted(duck(warc.OP9_SQL, where, "pages"), key=str)
+    assert sorted((r["page_id"], r["refers_to"] or 0) for r in got) == [(1, 0), (5, 0), (5, 1), (7, 5), (7, 5)]
+
+
 def test_bundles_are_standard_and_seekable(spark, tmp_path):
     import io
 
