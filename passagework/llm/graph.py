@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): for every node of the links (a, b) the smallest node that it is connected with.
 
     Each round is a constant number of shuffles of the links; the rounds grow with the logarithm of the longest chain,
-    not with a component's size, and end when a round changes nothing.
+    not with a component's size, and end when a round changes nothing. It is an error if MOST_ROUNDS rounds don't settle them.
     """
     edges = settled(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
@@ -30,5 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components have not settled in {MOST_ROUNDS} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

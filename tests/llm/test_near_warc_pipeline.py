@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -77,6 +78,19 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"))
+
+
+def test_bits_lose_less_than_collisions():
+    n, least, bits = near_dedup.COORDINATES, near_dedup.MATCHES, near_dedup.BITS
+    share = [math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n + 1)]
+    fewer = lambda k: sum(math.comb(2 * (n - k), j) for j in range(max(0, min(2 * (n - k) + 1, bits - 2 * k)))) / 4 ** (n - k)
+    assert sum(share[k] * fewer(k) for k in range(least, n + 1)) < sum(share[:least])
+
+
 def pages(spark):
     big = "<html>" + "x" * 200 + "é</html>"
     rows = [(5, "http://a", big), (2, "http://b\r\nX: y", big), (9, None, big), (1, "u", "short"), (3, "u", "short"), (4, "u", None), (6, "u", "y" * 400_000), (7, "u", "y" * 400_000), (8, "u", "WARC/1.1\r\n\r\n" + "z" * 99)]
