@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import json
-from collections.abc import Callable, Iterator
+import math
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -14,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm.arrays import slices
-from passagework.llm.bpe import Memory, encoded, read_ranks, tokenizer_file
+from passagework.llm.bpe import PATTERN, binaries, read_ranks, tokenizer_file
 from passagework.llm.shared import table
 
-#: Encoded pieces that a Python worker remembers in each of two generations.
-REMEMBERED = 30_000
+#: Characters after which a long text is encoded in parts, so that its ids are never a list of Python's as a whole.
+PART_CHARS = 1 << 18
+
+_BREAK = re.compile(r"(?<=[A-Za-z0-9])(?= )")
 
 
 @dataclass(frozen=True)
@@ -39,10 +44,16 @@ class Limits:
     def capacity(self) -> np.ndarray:
         return np.array([self.tokens, self.documents, self.attention], np.int64)
 
+    def longest(self) -> int:
+        """Tokens of the longest piece that an empty sequence holds."""
+        if self.documents < 1 or (most := min(self.tokens, math.isqrt(self.attention))) < 1:
+            raise ValueError("a sequence must hold a token")
+        return most
+
 
 @dataclass
 class BestFit:
-    """Open sequences of one task, as residual vectors; pieces of equal length are placed together."""
+    """Open sequences of one task, as residual vectors; each piece goes where one-by-one best fit would put it."""
 
     limits: Limits
     residual: np.ndarray = field(default_factory=lambda: np.zeros((0, 3), np.int64))
@@ -54,37 +65,42 @@ class BestFit:
         sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
         order = np.argsort(-lengths, kind="stable")
         size, begin = np.unique(-lengths[order], return_index=True)
+        together = self._place_equal if self.limits.rule == "norm" else self._place_in_turn
         for length, rows in zip((-size).tolist(), np.split(order, begin[1:]), strict=True):
-            self._place_equal(length, rows, sequence, offset)
+            together(length, rows, sequence, offset)
         keep = (self.residual > 0).all(axis=1)
         self.residual, self.name = self.residual[keep], self.name[keep]
         return sequence, offset
 
-    def _place_equal(self, length: int, rows: np.ndarray, sequence: np.ndarray, offset: np.ndarray) -> None:
-        full = self.limits.capacity()
+    def _need(self, length: int) -> np.ndarray:
         need = np.array([length, 1, length * length], np.int64)
-        if (need > full).any():
+        if (need > self.limits.capacity()).any():
             raise ValueError(f"a piece of {length} tokens exceeds an empty sequence")
-        room = (self.residual // need).min(axis=1)
-        open_ = np.flatnonzero(room > 0)
-        w = np.array(self.limits.weights)
-        if self.limits.rule == "norm":
-            score = ((w * (self.residual[open_] - need) / full) ** 2).sum(axis=1)
-        else:
-            score = -(w * (self.residual[open_] / full) * (need / full)).sum(axis=1)
-        # a sequence that was best stays best for the next equal piece until it has no room left
-        open_ = open_[np.lexsort((self.name[open_], score))]
-        left = len(rows) - int(room[open_].sum())
+        return need
+
+    def _open(self, more: int) -> np.ndarray:
+        """The rows of so many fresh sequences."""
+        fresh = np.arange(len(self.residual), len(self.residual) + more)
+        self.residual = np.vstack([self.residual, np.tile(self.limits.capacity(), (more, 1))])
+        self.name = np.append(self.name, self.used + np.arange(more))
+        self.used += more
+        return fresh
+
+    def _place_equal(self, length: int, rows: np.ndarray, sequence: np.ndarray, offset: np.ndarray) -> None:
+        """By the norm, which only falls as a sequence fills: the best one stays best for the next equal piece until it has no room left."""
+        full, need, w = self.limits.capacity(), self._need(length), np.array(self.limits.weights)
+        open_ = np.flatnonzero(self.residual[:, 0] >= length)
+        room = (self.residual[open_] // need).min(axis=1)
+        open_, room = open_[room > 0], room[room > 0]
+        score = ((w * (self.residual[open_] - need) / full) ** 2).sum(axis=1)
+        order = np.lexsort((self.name[open_], score))
+        open_, room = open_[order], room[order]
+        left = len(rows) - int(room.sum())
         if left > 0:
             per = int((full // need).min())
-            more = -(-left // per)
-            fresh = np.arange(len(self.residual), len(self.residual) + more)
-            self.residual = np.vstack([self.residual, np.tile(full, (more, 1))])
-            self.name = np.append(self.name, self.used + np.arange(more))
-            self.used += more
-            room = np.append(room, np.full(more, per))
-            open_ = np.append(open_, fresh)
-        upto = np.cumsum(room[open_])
+            fresh = self._open(-(-left // per))
+            open_, room = np.append(open_, fresh), np.append(room, np.full(len(fresh), per))
+        upto = np.cumsum(room)
         at = np.searchsorted(upto, np.arange(len(rows)), "right")
         nth = np.arange(len(rows)) - np.append(0, upto)[at]
         bins = open_[at]
@@ -92,6 +108,24 @@ class BestFit:
         offset[rows] = full[0] - self.residual[bins, 0] + nth * length
         np.subtract.at(self.residual, bins, need)
 
+    def _place_in_turn(self, length: int, rows: np.ndarray, sequence: np.ndarray, offset: np.ndarray) -> None:
+        """By the dot product, which falls as a sequence fills: a heap ranks the sequence anew after each piece."""
+        full, need, w = self.limits.capacity(), self._need(length), np.array(self.limits.weights)
+        scale = w * (need / full) / full
+        open_ = np.flatnonzero((self.residual >= need).all(axis=1))
+        heap = [(-float(scale @ self.residual[b]), int(self.name[b]), int(b)) for b in open_]
+        heapq.heapify(heap)
+        for row in rows.tolist():
+            if heap:
+                _, name, b = heapq.heappop(heap)
+            else:
+                b = int(self._open(1)[0])
+                name = int(self.name[b])
+            sequence[row], offset[row] = name, full[0] - self.residual[b, 0]
+            self.residual[b] -= need
+            if (self.residual[b] >= need).all():
+                heapq.heappush(heap, (-float(scale @ self.residual[b]), name, b))
+
 
 def cut(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, piece, start, length) of the pieces of documents with so many ids; only the first may be shorter than the limit."""
@@ -104,14 +138,13 @@ def cut(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 @lru_cache(1)
-def _tokenizer(path: str) -> tuple[list[str], Callable[[bytes], list[int]], Memory]:
-    """(special strings, encoder of one piece, memory of pieces) of a byte-level vocabulary; the library's own is read on demand."""
+def _tokenizer(path: str):
+    """(special strings, the byte-level vocabulary's encoder by ranks); the library's own is read on demand."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         special = [t["content"] for t in json.load(f).get("added_tokens", [])]
-    one = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={})
-    return special, one._core_bpe.encode_single_piece, Memory(REMEMBERED)
+    return special, tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
 @lru_cache(1)
@@ -121,34 +154,57 @@ def _whole_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _parts(text: str) -> Iterator[str]:
+    """The text in parts of about PART_CHARS: before a blank behind a letter or digit every match of the pattern ends."""
+    at = 0
+    while len(text) - at > PART_CHARS and (m := _BREAK.search(text, at + PART_CHARS)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+def token_ids(texts: list[str], tokenizer_path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, each followed by end_id; how many each has)."""
+    special, ranks = _tokenizer(tokenizer_path)
+    found, sizes = [], np.empty(len(texts), np.int64)
+    end = np.array([end_id], np.uint32)
+    for i, text in enumerate(texts):
+        if any(s in text for s in special):  # the tokenizer itself gives such strings ids of their own
+            ids = [np.array(_whole_tokenizer(tokenizer_path).encode(text, add_special_tokens=False).ids, np.uint32)]
+        elif text:
+            ids = [np.array(ranks.encode_ordinary(part), np.uint32) for part in _parts(text)]
+        else:
+            ids = []
+        sizes[i] = sum(map(len, ids)) + 1
+        found += [*ids, end]
+    return np.concatenate(found) if found else np.zeros(0, np.uint32), sizes
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = Limits()) -> DataFrame:
     """Tokenise docs (doc_id, text) and pack them, in one pass without a shuffle.
 
     Each task packs what it reads: about a megabyte of text at a time, longest piece first, into the sequences it has
     open, so memory holds one slice and the residuals of open sequences. A lost task packs the same rows alike again.
-    Null and empty texts are the end id alone; repeated rows are packed each; further columns are ignored; an
-    empty table gives no rows. Returns doc_id, piece, start, length, ids (little-endian unsigned 32-bit),
-    sequence_id and offset, the pieces of a sequence following each other without gaps from offset 0.
+    Documents of more ids than a sequence can hold by any capacity are cut. Null and empty texts are the end id alone;
+    repeated rows are packed each; further columns are ignored; an empty table gives no rows. Returns doc_id, piece,
+    start, length, ids (little-endian unsigned 32-bit), sequence_id and offset, the pieces of a sequence following each
+    other without gaps from offset 0.
     """
+    limit = limits.longest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special, encode, memory = _tokenizer(tokenizer_path)
         bins = BestFit(limits)
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             for row, part in slices(batch.column(1)):
-                ids, first = encoded(part, encode, memory)
-                texts = np.split(ids, first[1:-1])
-                for i, text in enumerate(part.to_pylist() if special else []):
-                    if any(s in text for s in special):  # the tokenizer itself gives such strings ids of their own
-                        texts[i] = np.array(_whole_tokenizer(tokenizer_path).encode(text, add_special_tokens=False).ids, np.uint32)
-                texts = [np.append(x, np.uint32(end_id)) for x in texts]
-                document, piece, start, length = cut(np.fromiter(map(len, texts), np.int64, len(texts)), limits.tokens)
+                ids, sizes = token_ids(part.to_pylist(), tokenizer_path, end_id)
+                document, piece, start, length = cut(sizes, limit)
                 sequence, offset = bins.place(length)
-                packed = [texts[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(document.tolist(), start.tolist(), length.tolist(), strict=True)]
+                # pieces follow each other as their ids do
+                packed = binaries(ids.astype("<u4").view(np.uint8), np.append(0, np.cumsum(length)) * 4)
                 names = batch.column(0).slice(row, len(part)).take(pa.array(document))
                 yield pa.record_batch(
-                    [names, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(packed, pa.binary()), pa.array(base + sequence), pa.array(offset)],
+                    [names, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), packed, pa.array(base + sequence), pa.array(offset)],
                     ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"],
                 )
 

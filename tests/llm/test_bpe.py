@@ -99,6 +99,84 @@ def test_every_capacity_holds(rule):
         bins.place(np.array([101]))
 
 
+def one_by_one(limits, lengths, state):
+    """Best fit as it is defined: every piece looks at every open sequence. state: [residual, name] of open ones, and how many there were."""
+    full = [limits.tokens, limits.documents, limits.attention]
+    places = [None] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        need, best = [lengths[i], 1, lengths[i] ** 2], None
+        for k, (left, name) in enumerate(state["open"]):
+            if all(a >= b for a, b in zip(left, need, strict=True)):
+                if limits.rule == "norm":
+                    score = sum((w * (a - b) / c) ** 2 for w, a, b, c in zip(limits.weights, left, need, full, strict=True))
+                else:
+                    score = -sum(w * (a / c) * (b / c) for w, a, b, c in zip(limits.weights, left, need, full, strict=True))
+                if best is None or (round(score, 12), name) < best[:2]:
+                    best = (round(score, 12), name, k)
+        if best is None:
+            state["open"].append((list(full), state["n"]))
+            state["n"] += 1
+            best = (0, state["n"] - 1, len(state["open"]) - 1)
+        left, name = state["open"][best[2]]
+        places[i] = (name, full[0] - left[0])
+        for d in range(3):
+            left[d] -= need[d]
+    return places
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_packing_equals_one_by_one_best_fit(rule):
+    import numpy as np
+
+    r = np.random.default_rng(11)
+    for _ in range(30):
+        limits = packing.Limits(tokens=int(r.integers(60, 200)), documents=int(r.integers(2, 9)), attention=int(r.integers(3600, 30_000)), rule=rule)
+        bins, state = packing.BestFit(limits), {"open": [], "n": 0}
+        for _ in range(4):
+            lengths = r.integers(1, limits.longest() + 1, 60)
+            got = list(zip(*(x.tolist() for x in bins.place(lengths)), strict=True))
+            assert got == one_by_one(limits, lengths.tolist(), state)
+
+
+def test_pieces_are_cut_by_every_capacity(spark, documents):
+    limits = packing.Limits(tokens=1024, documents=5, attention=10_000)
+    rows = packing.pack(documents((1, "a b " * 500), (2, None)), bpe.tokenizer_file("byte_bpe_50k.json"), limits=limits).collect()
+    assert max(x["length"] for x in rows) == 100
+    assert [x["length"] for x in sorted(rows, key=lambda x: x["piece"]) if x["doc_id"] == 1][1:] == [100] * (len([x for x in rows if x["doc_id"] == 1]) - 1)
+    with pytest.raises(ValueError):
+        packing.Limits(documents=0).longest()
+
+
+def test_long_texts_are_encoded_in_parts(library, monkeypatch):
+    monkeypatch.setattr(packing, "PART_CHARS", 40)
+    r = random.Random(8)
+    texts = ["".join(r.choice(" \n'strevmdlabAÉé1²x.!|%漢😀") for _ in range(500)) for _ in range(60)] + ["word " * 300, " " * 300, ""]
+    ids, sizes = packing.token_ids(texts, bpe.tokenizer_file("byte_bpe_50k.json"), 2)
+    want = [[*library.encode_ordinary(t), 2] for t in texts]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_empty_tables_and_clashing_names(spark, documents, folder):
+    docs = documents((3, "same id"), (3, "other text"), (3, "other text"), (None, "no id"))
+    clash = docs.withColumn("ids", docs.n_chars).withColumn("data", docs.n_chars).withColumn("piece", docs.n_chars).withColumn("offset", docs.n_chars)
+    for query, rows in ((bpe.op10_bpe, 4), (packing.op1_best_fit_packing, 4)):
+        assert query(spark, folder(documents=clash)).count() == rows
+        assert query(spark, folder(documents=clash.limit(0))).count() == 0
+
+
+def test_steps_equal_the_round_trip(spark, documents):
+    docs = documents(*enumerate(ODD))
+    both = {r["doc_id"]: (bytes(r["ids"]), bytes(r["data"])) for r in bpe.round_trip(docs, PATH).collect()}
+    assert both == {r["doc_id"]: (bytes(r["ids"]), bytes(r["data"])) for r in bpe.decode_column(bpe.encode_column(docs, PATH), PATH).collect()}
+
+
+def test_every_prefix_has_its_own_last_token(library):
+    encoder = bpe.PrefixEncoder(bpe.read_ranks(PATH))
+    data = "kalirotens’ unsagbaresé 漢字".encode()
+    last = encoder.extend(data, encoder.empty())[0]
+    assert last[1:] == [library._core_bpe.encode_single_piece(data[:e])[-1] for e in range(1, len(data) + 1)]
+
+
 def test_sequences_join_their_pieces(spark, documents):
     pieces = packing.pack(documents((1, "a b c"), (2, "d e")), bpe.tokenizer_file("byte_bpe_50k.json"))
     got = packing.sequences(pieces).collect()
