@@ -6,7 +6,7 @@ import io
 import json
 import re
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,76 +15,167 @@ from pyspark.sql import functions as F
 #: Larger files are left out, as are folders of tools and hidden ones.
 MOST_BYTES = 2_000_000
 _HIDDEN = r"(^|/)(\.[^/]*|node_modules|__pycache__|venv)/"
-_SCALARS = {"true": True, "yes": True, "on": True, "false": False, "no": False, "off": False, "null": None, "~": None, "": None}
+#: Plain words of YAML 1.1 that aren't text.
+_WORDS = {w: v for v, words in ((True, "true yes on"), (False, "false no off"), (None, "null ~")) for w in words.split()}
 
 
-def scalar(raw: str):
-    """A YAML 1.1 scalar, flow list or flow map of scalars."""
-    raw = raw.strip()
-    if len(raw) >= 2 and raw[0] == raw[-1] and raw[0] in "'\"":
-        return raw[1:-1]
-    if raw.lower() in _SCALARS:
-        return _SCALARS[raw.lower()]
-    if re.fullmatch(r"[-+]?\d+", raw):
-        return int(raw)
-    if re.fullmatch(r"[-+]?\d+\.\d+", raw):
-        return float(raw)
-    if raw[0] in "[{":
+class _Flow:
+    """Reads one flow value (quoted or plain text, list, map) from a position on."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at = text, 0
+
+    def whole(self):
+        """The value of the whole text; text that isn't one value throughout is plain."""
+        try:
+            value = self.value("")
+            self.blanks()
+            if self.at == len(self.text):
+                return value
+        except (ValueError, IndexError):
+            pass
+        return plain(self.text)
+
+    def blanks(self) -> None:
+        while self.at < len(self.text) and self.text[self.at].isspace():
+            self.at += 1
+
+    def value(self, ends: str):
+        self.blanks()
+        first = self.text[self.at] if self.at < len(self.text) else ""
+        if first in ("'", '"'):
+            return self.quoted(first)
+        if first == "[":
+            return self.many("]", lambda: self.value(",]"), list)
+        if first == "{":
+            return self.many("}", self.pair, dict)
+        begin = self.at
+        while self.at < len(self.text) and self.text[self.at] not in ends:
+            self.at += 1
+        return plain(self.text[begin : self.at])
+
+    def quoted(self, mark: str) -> str:
+        begin = self.at
+        self.at += 1
+        while self.text[self.at] != mark or (mark == "'" and self.text[self.at + 1 : self.at + 2] == mark):
+            self.at += 2 if mark == '"' and self.text[self.at] == "\\" or self.text[self.at] == mark else 1
+        self.at += 1
+        raw = self.text[begin : self.at]
+        if mark == "'":
+            return raw[1:-1].replace("''", "'")
         try:
-            return json.loads(raw)
+            return json.loads(raw, strict=False)
         except ValueError:
-            parts = _flow_parts(raw[1:-1])
-            if raw[0] == "[" and raw[-1] == "]":
-                return [scalar(p) for p in parts]
-            if raw[0] == "{" and raw[-1] == "}":
-                return {k.strip().strip("'\""): scalar(v) for k, _, v in (p.partition(":") for p in parts)}
-    return raw
-
-
-def _flow_parts(inner: str) -> list[str]:
-    parts, depth, quote, now = [], 0, "", ""
-    for c in inner:
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "'\"":
-            quote = c
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-        elif c == "," and not depth:
-            parts.append(now)
-            now = ""
-            continue
-        now += c
-    return [p for p in [*parts, now] if p.strip()]
+            return raw[1:-1]
+
+    def many(self, end: str, one: Callable, kind: type):
+        self.at += 1
+        found = []
+        while True:
+            self.blanks()
+            if self.text[self.at] == end:
+                self.at += 1
+                return kind(found)
+            found.append(one())
+            self.blanks()
+            if self.text[self.at] == ",":
+                self.at += 1
+            elif self.text[self.at] != end:
+                raise ValueError
+
+    def pair(self) -> tuple:
+        key = self.value(":,}")
+        self.blanks()
+        if self.text[self.at] != ":":
+            raise ValueError
+        self.at += 1
+        return str(key), self.value(",}")
+
+
+def plain(text: str):
+    """A plain YAML 1.1 scalar."""
+    text = text.strip()
+    if text.lower() in _WORDS or not text:
+        return _WORDS.get(text.lower())
+    for kind, pattern in ((int, r"[-+]?\d+"), (float, r"[-+]?\d+\.\d+")):
+        if re.fullmatch(pattern, text):
+            return kind(text)
+    return text
+
+
+def scalar(raw: str):
+    """A YAML scalar, flow list or flow map; what follows " #" outside quotes is a comment."""
+    raw = raw.strip()
+    if raw[:1] not in ("'", '"', "[", "{"):
+        raw = re.sub(r"\s+#.*$", "", raw)
+    return _Flow(raw).whole()
+
+
+_KEY = re.compile(r"([A-Za-z0-9_.\-]+)\s*:(?:\s+(.*)|\s*)$")
+
+
+class _Block:
+    """Reads maps and lists by indentation; a line that is neither is left out, and all others stay."""
+
+    def __init__(self, text: str) -> None:
+        lines = [(len(x) - len(x.lstrip()), x.strip()) for x in text.split("\n")]
+        self.lines = [x for x in lines if x[1] and not x[1].startswith("#")]
+        self.at = 0
+
+    def _dash(self) -> bool:
+        return self.lines[self.at][1] == "-" or self.lines[self.at][1].startswith("- ")
+
+    def block(self, least: int):
+        """The map or list whose lines are indented by `least` or more, null if there is none."""
+        if self.at >= len(self.lines) or self.lines[self.at][0] < least:
+            return None
+        indent = self.lines[self.at][0]
+        return self.items(indent) if self._dash() else self.pairs(indent)
+
+    def items(self, indent: int) -> list:
+        found = []
+        while self.at < len(self.lines) and self.lines[self.at][0] >= indent:
+            if not self._dash():
+                if self.lines[self.at][0] == indent:
+                    break
+                self.at += 1
+                continue
+            own, text = self.lines[self.at]
+            content = text[1:].strip()
+            if content[:1] not in ("'", '"', "[", "{") and _KEY.fullmatch(content):
+                # the item is a map whose first pair stands behind the dash
+                inner = own + len(text) - len(text[1:].lstrip())
+                self.lines[self.at] = (inner, content)
+                found.append(self.pairs(inner))
+            else:
+                self.at += 1
+                found.append(scalar(content) if content else self.block(own + 1))
+        return found
+
+    def pairs(self, indent: int) -> dict:
+        found: dict = {}
+        while self.at < len(self.lines) and self.lines[self.at][0] >= indent:
+            own, text = self.lines[self.at]
+            if self._dash() and own == indent and found:
+                break
+            m = _KEY.fullmatch(text) if own == indent else None
+            self.at += 1
+            if m is None:
+                continue
+            if m[2]:
+                found[m[1]] = scalar(m[2])
+            elif self.at < len(self.lines) and self._dash() and self.lines[self.at][0] >= own:
+                found[m[1]] = self.items(self.lines[self.at][0])
+            else:
+                found[m[1]] = self.block(own + 1)
+        return found
 
 
 def front_matter(raw: str) -> tuple[dict, str]:
-    """(front matter, body): scalars, flow collections, block lists and one nested level; what is malformed is empty."""
+    """(front matter, body): scalars, flow collections, and blocks of lists and maps; odd lines are left out."""
     raw = raw.replace("\r\n", "\n")
-    m = re.match(r"---\n(.*?\n)?---[ \t]*(?:\n|$)", raw, re.S)
-    if not m:
-        return {}, raw
-    found: dict = {}
-    key = None
-    for line in (m[1] or "").split("\n"):
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        top = re.match(r"([A-Za-z0-9_.\-]+)\s*:(?:\s+(.*)|\s*)$", line)
-        if top:
-            key = top[1]
-            found[key] = scalar(top[2]) if top[2] else None
-        elif key and (item := re.match(r"\s*-\s+(.*)$", line)):
-            found[key] = [*(found[key] or []), scalar(item[1])] if isinstance(found[key], list | None) else found[key]
-        elif key and (pair := re.match(r"\s+([A-Za-z0-9_.\-]+)\s*:\s*(.*)$", line)):
-            if isinstance(found[key], list) and found[key] and isinstance(found[key][-1], dict):
-                found[key][-1][pair[1]] = scalar(pair[2])
-            elif isinstance(found[key], dict | None):
-                found[key] = {**(found[key] or {}), pair[1]: scalar(pair[2])}
-        else:
-            return {}, raw[m.end() :]
-    return found, raw[m.end() :]
+    m = re.match(r"---[ \t]*\n(.*?\n)?---[ \t]*(?:\n|$)", raw, re.S)
+    return (_Block(m[1] or "").pairs(0), raw[m.end() :]) if m else ({}, raw)
 
 
 def parsed(notes: DataFrame, text: str = "content") -> DataFrame:
