@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions.text import prefix_stem, tokens
 
 CHUNK, OVERLAP = 1100, 150
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Asked terms are broadcast up to this many (some tens of megabytes), else joined by a shuffle.
+ASKED_TERMS = 500_000
 
 
 def windows(docs: DataFrame, text: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -25,20 +27,60 @@ def windows(docs: DataFrame, text: str = "text", size: int = CHUNK, overlap: int
     return placed.withColumn("chunk_text", cut).drop(text)
 
 
+#: Where Markdown is split: before a line of one to six number signs and more behind them.
+_BEFORE_HEADING = r"(?md)^(?=#{1,6}[ \t\x0B\f\r]+[^\n]*$)"
+_HEADING_LINE = r"^#{1,6}[ \t\x0B\f\r]+[^\n]*"
+
+
+def _parts(text: Column) -> Column:
+    """array<struct<no, heading, body>> of a Markdown text: what stands before the first heading is 0, each heading counts on."""
+    parts = F.filter(F.split(text, _BEFORE_HEADING, -1), lambda x: x != "")
+    first = F.when(F.element_at(parts, 1).rlike(_HEADING_LINE), 1).otherwise(0)
+    line = lambda x: F.regexp_extract(x, _HEADING_LINE, 0)
+    return F.when(F.size(parts) > 0, F.transform(parts, lambda x, i: F.struct(
+        (first + i).cast("long").alias("no"), F.nullif(F.trim(F.regexp_replace(line(x), "^#+", "")), F.lit("")).alias("heading"), _stripped(F.regexp_replace(x, _HEADING_LINE, "")).alias("body"),
+    ))).otherwise(F.array().cast("array<struct<no:bigint,heading:string,body:string>>"))
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def sections(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Split Markdown on headings: (columns of docs without the text, section_no, heading, body), blank bodies left out."""
-    line = docs.select("*", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).drop(text)
-    key = [c for c in line.columns if c not in ("line_no", "line")]
-    marked = line.withColumn("head", F.when(F.col("line").rlike(r"^#{1,6}\s"), F.trim(F.regexp_replace("line", "^#+", ""))))
-    from pyspark.sql import Window
+    """Split Markdown on headings: (columns of docs without the text, section_no, heading, body), blank bodies left out.
+
+    A text is split inside its row, so repeated rows stay apart and nothing is shuffled. A section without a heading
+    is called "body"; null text has none.
+    """
+    own = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), F.explode(_parts(F.col(f"`{text}`"))).alias("_part"))
+    return rows.where("_part.body <> ''").select("_row.*", F.col("_part.no").alias("section_no"), F.coalesce("_part.heading", F.lit("body")).alias("heading"), F.col("_part.body").alias("body"))
+
 
-    place = Window.partitionBy(*key).orderBy("line_no")
-    numbered = marked.withColumn("section_no", F.count("head").over(place))
-    parts = numbered.groupBy(*key, "section_no").agg(
-        F.max("head").alias("heading"), F.array_sort(F.collect_list(F.when(F.col("head").isNull(), F.struct("line_no", "line")))).alias("lines")
-    )
-    body = F.trim(F.array_join(F.col("lines.line"), "\n"))
-    return parts.select(*key, "section_no", F.coalesce("heading", F.lit("body")).alias("heading"), body.alias("body")).where("body <> ''")
+def passages_of(notes: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(columns of notes without summary and body, chunk_no, heading, text) of notes (title, summary, body, ...).
+
+    The summary is a passage of its own, "title - summary" under the heading "summary"; then every section's windows,
+    each with its title and heading in front, so that a passage says where it comes from. All of it happens in the row.
+    """
+    if overlap >= size:
+        raise ValueError("the overlap must be smaller than the window")
+    step = size - overlap
+    kind = "array<struct<heading:string,text:string>>"
+    passage = lambda heading, text: F.struct(heading.alias("heading"), text.alias("text"))
+
+    def windowed(part: Column) -> Column:
+        label = F.coalesce(part["heading"], F.lit("body"))
+        context = F.when(label == "body", F.col("title")).otherwise(F.concat(F.col("title"), F.lit(" > "), label))
+        last = F.greatest(F.ceil((F.length(part["body"]) - size) / step), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: passage(label, F.concat(context, F.lit("\n"), F.substring(part["body"], k * step + 1, F.lit(size)))))
+
+    full = F.filter(_parts(F.col("body")), lambda x: x["body"] != "")
+    summary = F.coalesce(F.col("summary"), F.lit(""))
+    head = F.when(summary != "", F.array(passage(F.lit("summary"), F.concat("title", F.lit(" - "), summary)))).otherwise(F.array().cast(kind))
+    every = F.concat(head, F.coalesce(F.flatten(F.transform(full, windowed)), F.array().cast(kind)))
+    own = [c for c in notes.columns if c not in ("summary", "body")]
+    return notes.select(*own, F.posexplode(every).alias("chunk_no", "_p")).select(*own, "chunk_no", F.col("_p.heading").alias("heading"), F.col("_p.text").alias("text"))
 
 
 def postings(rows: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -50,9 +92,15 @@ def lengths(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     return rows.select(*key, F.size(tokens(F.col(text))).alias("len"))
 
 
-def query_terms(questions: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, times): exact terms of each question; a repeated word counts as often as it occurs."""
-    return questions.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("times"))
+def query_terms(questions: DataFrame, key: str, text: str, prefixes: bool = False) -> DataFrame:
+    """(key, term, times): exact terms of each question; a repeated word counts as often as it occurs.
+
+    With prefixes, words of five or more characters ask for their stem as well, written "stem*", once.
+    """
+    words = questions.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("times"))
+    if not prefixes:
+        return words
+    return words.unionByName(query_prefixes(questions, key, text).select(key, F.concat("stem", F.lit("*")).alias("term"), F.lit(1).cast("long").alias("times")))
 
 
 def query_prefixes(questions: DataFrame, key: str, text: str) -> DataFrame:
@@ -68,16 +116,39 @@ def prefix_matches(terms: DataFrame, stems: DataFrame) -> DataFrame:
     return cut.join(stem_list, "stem")
 
 
-def bm25(posted: DataFrame, sizes: DataFrame, asked: DataFrame, key: list[str], question: str) -> DataFrame:
-    """(question, key..., score): BM25 over the whole index, rounded to 10 decimals; scopes apply afterwards.
+def term_hits(rows: DataFrame, key: list[str], text: str, asked: DataFrame) -> DataFrame:
+    """(key..., len, term, tf): how often each row has each asked term (term), and how many tokens in all.
 
-    The corpus statistics are one row, and document frequencies are computed for asked terms only.
+    Tokens meet the asked terms where they are read: those are broadcast after a count, so only hits are shuffled.
+    A term "stem*" is hit by every word that begins with the stem.
+    """
+    terms = asked.select("term").distinct()
+    count, most, prefixes = terms.limit(ASKED_TERMS + 1).agg(
+        F.count(F.lit(1)), F.max(F.when(F.endswith("term", F.lit("*")), F.length("term") - 1)), F.min(F.when(F.endswith("term", F.lit("*")), F.length("term") - 1)),
+    ).first()
+    few = count <= ASKED_TERMS
+    if not few:
+        prefixes, most = 4, 255
+    found = rows.select(*key, tokens(F.col(text)).alias("_tokens")).select(*key, F.size("_tokens").alias("len"), F.explode("_tokens").alias("term"))
+    if prefixes:
+        stem = lambda n: F.concat(F.substring(F.col("term"), F.lit(1), n), F.lit("*"))
+        stems = F.when(F.length("term") >= prefixes, F.transform(F.sequence(F.lit(prefixes), F.least(F.length("term"), F.lit(most))), stem)).otherwise(F.array().cast("array<string>"))
+        found = found.select(*key, "len", F.explode(F.concat(F.array("term"), stems)).alias("term"))
+    return found.join(F.broadcast(terms) if few else terms, "term").groupBy(*key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25(rows: DataFrame, key: list[str], text: str, asked: DataFrame, question: str) -> DataFrame:
+    """(question, key..., raw, score): BM25 over all rows (key..., text) whose text isn't null; scopes apply afterwards.
+
+    score is rounded to 10 decimals and decides ranks; raw is what it was before. The corpus statistics are one row, and
+    document frequencies are computed for asked terms (question, term, times) only.
     """
-    stats = sizes.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("len").alias("avg_len"))
-    hits = posted.join(asked.select("term").distinct(), "term")
+    full = rows.where(F.col(text).isNotNull())
+    stats = full.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg(F.size(tokens(F.col(text)))).alias("avg_len"))
+    hits = term_hits(full, key, text, asked)
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.join(F.broadcast(stats)).select("term", "avg_len", F.when(raw > 0, raw).otherwise(IDF_FLOOR).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weighed = hits.join(sizes, key).join(idf, "term").select(*key, "term", weight.alias("w"))
-    return weighed.join(asked, "term").groupBy(question, *key).agg(F.round(F.sum(F.col("w") * F.col("times")), 10).alias("score"))
+    weighed = hits.join(asked.join(idf, "term"), "term").select(question, *key, (weight * F.col("times")).alias("w"))
+    return weighed.groupBy(question, *key).agg(F.sum("w").alias("raw")).withColumn("score", F.round("raw", 10))

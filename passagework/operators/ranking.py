@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.text import squeezed
+from passagework.operators.tables import written
 
 RRF_K = 60
 
@@ -17,11 +18,14 @@ def top(rows: DataFrame, by: list[str], order: list[Column], n: int, rank: str =
 
 
 def fused(branches: list[DataFrame], key: list[str], n: int, question: str, k: int = RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion of ranked branches (question, key..., rank): the sum of 1 / (k + rank), best n."""
+    """Reciprocal-rank fusion of ranked branches (question, key..., rank): the sum of 1 / (k + rank), best n.
+
+    rrf decides ranks and is rounded to 10 decimals; raw is what it was before.
+    """
     ranked = branches[0].select(question, *key, "rank")
     for b in branches[1:]:
         ranked = ranked.unionByName(b.select(question, *key, "rank"))
-    score = ranked.groupBy(question, *key).agg(F.round(F.sum(1 / (k + F.col("rank"))), 10).alias("rrf"))
+    score = ranked.groupBy(question, *key).agg(F.sum(1 / (k + F.col("rank"))).alias("raw")).withColumn("rrf", F.round("raw", 10))
     return top(score, [question], [F.desc("rrf"), *(F.asc(c) for c in key)], n)
 
 
@@ -35,14 +39,15 @@ def within_budget(rows: DataFrame, group: str, order: str, doc: str, text: str,
     """Evidence of each group in order: no repeated text, at most per_doc of a document, within max_chars and top_k.
 
     Rows (group, order, doc, text) are few a group, being the best of a search already. A row that doesn't fit is
-    skipped and a later one may fit; only the first may be cut to the budget. Returns group, place from 1, doc,
-    shown text and truncated.
+    skipped and a later one may fit; only the first may be cut to the budget. Returns group, place from 1, the order,
+    doc, shown text and truncated.
     """
     seen = F.struct("order_", "doc", "text", "norm")
     lists = rows.select(group, F.col(order).alias("order_"), F.col(doc).alias("doc"), F.col(text).alias("text"), squeezed(F.col(text)).alias("norm"))
     lists = lists.groupBy(group).agg(F.array_sort(F.collect_list(seen)).alias("rows"))
     doc_type = rows.schema[doc].dataType.simpleString()
-    kept_type = f"array<struct<doc:{doc_type},text:string,norm:string,truncated:boolean>>"
+    order_type = rows.schema[order].dataType.simpleString()
+    kept_type = f"array<struct<order_:{order_type},doc:{doc_type},text:string,norm:string,truncated:boolean>>"
 
     def step(acc: Column, x: Column) -> Column:
         kept, size = acc["kept"], acc["size"]
@@ -51,12 +56,12 @@ def within_budget(rows: DataFrame, group: str, order: str, doc: str, text: str,
         crowded = F.size(F.filter(kept, lambda k: k["doc"] == x["doc"])) >= per_doc
         too_long = (size + F.length(x["text"]) > max_chars) & (F.size(kept) > 0)
         shown = F.substring(x["text"], F.lit(1), F.lit(max_chars) - size)
-        one = F.struct(x["doc"].alias("doc"), shown.alias("text"), x["norm"].alias("norm"), (F.length(x["text"]) > max_chars - size).alias("truncated"))
+        one = F.struct(x["order_"].alias("order_"), x["doc"].alias("doc"), shown.alias("text"), x["norm"].alias("norm"), (F.length(x["text"]) > max_chars - size).alias("truncated"))
         return F.when(full | repeated | crowded | too_long, acc).otherwise(F.struct(F.array_append(kept, one).alias("kept"), (size + F.length(shown)).alias("size")))
 
     zero = F.struct(F.array().cast(kept_type).alias("kept"), F.lit(0).alias("size"))
     folded = lists.select(group, F.posexplode(F.aggregate("rows", zero, step, lambda acc: acc["kept"])).alias("i", "k"))
-    return folded.select(group, (F.col("i") + 1).alias("place"), F.col("k.doc").alias(doc), F.col("k.text").alias("shown"), F.col("k.truncated").alias("truncated"))
+    return folded.select(group, (F.col("i") + 1).alias("place"), F.col("k.order_").alias("order"), F.col("k.doc").alias(doc), F.col("k.text").alias("shown"), F.col("k.truncated").alias("truncated"))
 
 
 def within_running_size(rows: DataFrame, by: list[str], order: str, size: Column, most: int, block: int = 1000) -> DataFrame:
@@ -72,3 +77,18 @@ def within_running_size(rows: DataFrame, by: list[str], order: str, size: Column
     inside = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     found = sized.join(begins, [*by, "_block"]).withColumn("running", F.col("_before") + F.sum("_size").over(inside))
     return found.where(F.col("running") <= most).drop("_size", "_block", "_before")
+
+
+def within_running_total(rows: DataFrame, order: list[str], size: Column, most: int) -> DataFrame:
+    """All rows in one order while their running size is at most `most`, with that size in `running`.
+
+    Rows are dealt out by ranges of the order. A range keeps what may fit on its own and the first row that doesn't;
+    the sums of the ranges before it decide what does.
+    """
+    ranged = rows.withColumn("_size", size).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = written(ranged.withColumn("_own", F.sum("_size").over(inside)).where(F.col("_own") <= most + F.col("_size")))
+    sums = own.groupBy("_range").agg(F.max("_own").alias("_sum"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    found = own.where(F.col("_own") <= most).join(F.broadcast(before), "_range").withColumn("running", F.col("_before") + F.col("_own"))
+    return found.where(F.col("running") <= most).drop("_size", "_range", "_own", "_before")

@@ -2,49 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import itertools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder, so that an iteration doesn't carry its history along."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="passagework-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from passagework.operators.tables import written
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:
     """Of labels (node, community) on undirected edges (a, b, weight)."""
     la, lb = labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), labels.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-    both = edges.join(la, "a").join(lb, "b")
-    inside, total = both.agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)), F.sum("weight")).first()
-    if not total:
-        return 0.0
-    ends = both.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), "weight"), F.struct(F.col("cb").alias("c"), "weight"))).alias("e"))
-    squares = ends.groupBy("e.c").agg(F.sum("e.weight").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
-    return inside / total - squares / (4 * total * total)
+    both = edges.join(la, "a").join(lb, "b").withColumn("inside", F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0))
+    ends = both.select(F.explode(F.array(*(F.struct(F.col(c).alias("c"), "weight", "inside") for c in ("ca", "cb")))).alias("e"))
+    sums = ends.groupBy("e.c").agg(F.sum("e.weight").alias("k"), F.sum("e.inside").alias("inside"))
+    twice, inside, squares = sums.agg(F.sum("k"), F.sum("inside"), F.sum(F.col("k") * F.col("k"))).first()
+    return inside / twice - squares / (twice * twice) if twice else 0.0
 
 
-def communities(edges: DataFrame, rounds: int = 8, levels: int = 2) -> DataFrame:
+def communities(edges: DataFrame) -> DataFrame:
     """(node, community): nodes of undirected edges (a, b, weight) by modularity; a community is named by its least node.
 
     Louvain's moves, made in parallel: in each round the nodes of one parity of a hash move to the neighbouring
-    community of largest gain, ties to the least name; rounds that don't raise modularity end a level, and the
-    communities are the next level's nodes. Everything is joins and sums, and the result depends on the edges alone.
+    community of largest gain, ties to the least name. A level ends when neither parity's moves raise modularity any
+    more, its communities are the next level's nodes, and the last level is the one that joins nothing. Everything is
+    joins and sums, and the result depends on the edges alone.
     """
     edges = written(edges.select("a", "b", F.col("weight").cast("double").alias("weight")))
     names = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node")))
     graph = edges
-    for _ in range(levels):
-        labels = _moved(graph, rounds)
+    while True:
+        labels = _moved(graph)
         named = names.join(labels.select(F.col("node").alias("community"), F.col("community").alias("to")), "community", "left")
         before = names
         names = written(named.select("node", F.coalesce("to", "community").alias("community")))
@@ -57,15 +45,15 @@ def communities(edges: DataFrame, rounds: int = 8, levels: int = 2) -> DataFrame
     return names.join(least, "community").select("node", F.col("name").alias("community"))
 
 
-def _moved(graph: DataFrame, rounds: int) -> DataFrame:
+def _moved(graph: DataFrame) -> DataFrame:
     """Labels after the rounds of one level; loops count for a node's degree but pull nowhere."""
     ends = graph.select("a", "b", "weight").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     degree = written(ends.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
     total = degree.agg(F.sum("k")).first()[0] or 1.0
     near = written(ends.where("a <> b"))
     labels = written(degree.select("node", F.col("node").alias("community")))
-    best = modularity(graph, labels)
-    for r in range(rounds):
+    best, idle = modularity(graph, labels), 0
+    for r in itertools.count():
         sums = labels.join(degree, "node").groupBy("community").agg(F.sum("k").alias("tot"))
         pull = near.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
         own = labels.select("node", "community", F.lit(0.0).alias("w"))
@@ -77,7 +65,7 @@ def _moved(graph: DataFrame, rounds: int) -> DataFrame:
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
         moved = written(labels.join(picked, "node", "left").select("node", F.when(turn & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("community")).alias("community")))
         now = modularity(graph, moved)
-        if now < best - 1e-12 or r % 2 and now <= best + 1e-12 and r > 1:
-            break
-        labels, best = moved, max(best, now)
-    return labels
+        if now > best + 1e-12:
+            labels, best, idle = moved, now, 0
+        elif (idle := idle + 1) == 2:
+            return labels

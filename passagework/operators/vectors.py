@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,38 +22,70 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, raw scores) of the n best of every row of scores: by the score rounded to 10 decimals, then the id."""
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 10)), axis=1)[:, :n]
+    return np.broadcast_to(ids, scores.shape)[np.arange(len(scores))[:, None], order], np.take_along_axis(scores, order, axis=1)
+
+
+def _matched(query_ids: np.ndarray, asked: np.ndarray, ids: np.ndarray, rows: np.ndarray, n: int) -> pd.DataFrame:
+    scores = asked @ rows.T
+    scores[query_ids[:, None] == ids[None, :]] = -np.inf
+    best, raw = _best(scores, ids, n)
+    out = pd.DataFrame({"query_id": np.repeat(query_ids, best.shape[1]), "id": best.ravel(), "raw": raw.ravel()})
+    return out[np.isfinite(out["raw"])]
+
+
 def nearest(asked: DataFrame, rows: DataFrame, key: str, vector: str, n: int) -> DataFrame:
-    """(query_id, key, score, rank): the n best rows by cosine for each asked vector, itself left out.
+    """(query_id, key, raw, score, rank): the n best rows by cosine for each asked vector, itself left out.
 
-    Rows are dealt into blocks of about BLOCK and every block of queries meets every block of rows as two matrices;
-    each pair of blocks hands on its n best a query only. Scores are rounded to 10 decimals, ties go to the key.
+    Up to BLOCK asked vectors are sent to the rows, which stay where they are; each partition hands on its n best a
+    query. More of them are dealt into blocks, and every block of queries meets every block of rows as two matrices.
+    Ranks go by the score, which is raw rounded to 10 decimals; ties go to the key.
     """
-    blocks = max(1, -(-rows.count() // BLOCK))
-    asked_blocks = max(1, -(-asked.count() // BLOCK))
-    data = rows.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    queries = asked.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(asked_blocks)).cast("int").alias("asked"))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    data = data.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))))
-
-    def multiply(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-        scores = np.round(_unit(q["v"]) @ _unit(r["v"]).T, 10)
-        ids = r["id"].to_numpy()
-        scores[q["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :n]
-        best = np.take_along_axis(scores, order, axis=1)
-        out = pd.DataFrame({"query_id": np.repeat(q["id"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "score": best.ravel()})
-        return out[np.isfinite(out["score"])]
-
-    pairs = queries.groupBy("asked", "block").cogroup(data.groupBy("asked", "block")).applyInPandas(multiply, "query_id bigint, id bigint, score double")
-    return top(pairs, ["query_id"], [F.desc("score"), F.asc("id")], n).withColumnRenamed("id", key)
+    few = asked.select(F.col(key).alias("id"), F.col(vector).alias("v")).limit(BLOCK + 1).toPandas()
+    if len(few) <= BLOCK:
+        held = rows.sparkSession.sparkContext.broadcast((few["id"].to_numpy("int64"), _unit(few["v"]) if len(few) else np.zeros((0, 0))))
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = held.value
+            kept: list[pd.DataFrame] = []
+            for b in batches:
+                if not len(ids) or not len(b):
+                    continue
+                kept.append(_matched(ids, q, b["id"].to_numpy("int64"), _unit(b["v"]), n))
+                if len(kept) > 8:
+                    kept = [_first(pd.concat(kept), n)]
+            if kept:
+                yield _first(pd.concat(kept), n)
+
+        found = rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(search, "query_id bigint, id bigint, raw double")
+    else:
+        blocks, asked_blocks = (max(1, -(-df.count() // BLOCK)) for df in (rows, asked))
+        data = rows.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+        queries = asked.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(asked_blocks)).cast("int").alias("asked"))
+        queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        data = data.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))))
+
+        def multiply(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(r):
+                return pd.DataFrame({"query_id": [], "id": [], "raw": []}).astype({"query_id": "int64", "id": "int64", "raw": "float64"})
+            return _matched(q["id"].to_numpy(), _unit(q["v"]), r["id"].to_numpy(), _unit(r["v"]), n)
+
+        found = queries.groupBy("asked", "block").cogroup(data.groupBy("asked", "block")).applyInPandas(multiply, "query_id bigint, id bigint, raw double")
+    return top(found.withColumn("score", F.round("raw", 10)), ["query_id"], [F.desc("score"), F.asc("id")], n).withColumnRenamed("id", key)
+
+
+def _first(found: pd.DataFrame, n: int) -> pd.DataFrame:
+    ranked = found.assign(score=found["raw"].round(10)).sort_values(["query_id", "score", "id"], ascending=[True, False, True])
+    return ranked.groupby("query_id").head(n).drop(columns="score")
 
 
 def knn_edges(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(a, b, weight), a < b: each row's k nearest with a positive score; the larger weight of a pair."""
+    """(a, b, weight, raw), a < b: each row's k nearest with a positive score; the larger weight of a pair, rounded and raw."""
     found = nearest(rows, rows, key, vector, k).where("score > 0")
-    return found.select(F.least("query_id", key).alias("a"), F.greatest("query_id", key).alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("weight"))
+    pair = found.select(F.least("query_id", key).alias("a"), F.greatest("query_id", key).alias("b"), "raw", "score")
+    return pair.groupBy("a", "b").agg(F.max("score").alias("weight"), F.max("raw").alias("raw"))
 
 
 def mean_vectors(rows: DataFrame, group: str, vector: str) -> DataFrame:
@@ -62,14 +95,15 @@ def mean_vectors(rows: DataFrame, group: str, vector: str) -> DataFrame:
     return mean.join(norm, group).select(group, "pos", (F.col("x") / F.col("norm")).alias("value"))
 
 
-def hashed_vector(text: str, dim: int) -> np.ndarray:
-    """Each token adds or subtracts one at a slot of its BLAKE2b hash; length one; without tokens the first axis."""
-    import re
+_TOKEN = re.compile(r"\w{2,}")
+
 
+def hashed_vector(text: str, dim: int) -> np.ndarray:
+    """Each word of two or more characters adds one at a slot of its BLAKE2b hash, or takes one where the next byte is even; length one; without words the first axis."""
     v = np.zeros(dim)
-    for token in re.findall(r"\w+", (text or "").lower()):
+    for token in _TOKEN.findall((text or "").lower()):
         h = hashlib.blake2b(token.encode(), digest_size=8).digest()
-        v[int.from_bytes(h[:4], "big") % dim] += 1.0 if h[4] % 2 == 0 else -1.0
+        v[int.from_bytes(h[:4], "big") % dim] += 1.0 if h[4] & 1 else -1.0
     norm = np.linalg.norm(v)
     if norm:
         return v / norm

@@ -50,21 +50,30 @@ stems as (select distinct item_id, substr(term, 1, greatest(4, length(term) - 3)
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
     asked = passages.query_terms(table(spark, d, "benchmark"), "item_id", "text")
-    return passages.bm25(passages.postings(docs, ["doc_id"], "text"), passages.lengths(docs, ["doc_id"], "text"), asked, ["doc_id"], "item_id")
+    return passages.bm25(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", asked, "item_id")
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("score", F.round("raw", 6)).drop("raw")
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    best = ranking.top(_bm25(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 20)
-    return best.withColumn("score", F.round("score", 6))
+    return _shown(ranking.top(_bm25(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 20))
+
+
+def bm25_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """The same, where words of five or more characters ask for their stems as well."""
+    asked = passages.query_terms(table(spark, d, "benchmark"), "item_id", "text", prefixes=True)
+    found = passages.bm25(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", asked, "item_id")
+    return _shown(ranking.top(found, ["item_id"], [F.desc("score"), F.asc("doc_id")], 20))
 
 
 def bm25_scoped_after_scoring(spark: SparkSession, d: str) -> DataFrame:
     """Statistics cover all documents; the scope, and then the limit, come after the scores."""
     scope = table(spark, d, "documents").where(F.col("source").isin("src1", "src2", "src3")).select("doc_id", "source")
     scoped = _bm25(spark, d).join(scope, "doc_id")
-    return ranking.top(scoped, ["item_id"], [F.desc("score"), F.asc("doc_id")], 5).withColumn("score", F.round("score", 6))
+    return _shown(ranking.top(scoped, ["item_id"], [F.desc("score"), F.asc("doc_id")], 5))
 
 
 SQL_BM25 = f"""{SQL_TF},
@@ -74,8 +83,15 @@ asked as (select item_id, term, count(*) as times from (select item_id, unnest(r
 df as (select term, count(*) as df from tf where term in (select term from asked) group by term),
 idf as (select term, avg_len, case when ln((rows_ - df + 0.5) / (df + 0.5)) > 0 then ln((rows_ - df + 0.5) / (df + 0.5)) else 1e-6 end as idf from df, stats),
 scored as (
-  select item_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len)) * times), 10) as score
+  select item_id, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len)) * times) as raw, round(raw, 10) as score
   from tf join sizes using (doc_id) join idf using (term) join asked using (term) group by item_id, doc_id)"""
+# tokens answer to their own name and to the stems that they begin with
+SQL_BM25_PREFIXES = SQL_BM25.replace(SQL_TF, f"""
+words as (select doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) as term from documents),
+tf as (select doc_id, term, count(*) as tf from (select * from words union all
+  select doc_id, substr(term, 1, k::bigint) || '*' from (select *, unnest(range(4, length(term) + 1)) as k from words where length(term) >= 4)) group by all)""").replace(
+    "from benchmark) group by all)", f"""from benchmark) group by all
+  union all select distinct item_id, substr(term, 1, greatest(4, length(term) - 3)) || '*', 1 from (select item_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) as term from benchmark) where length(term) >= 5)""", 1)
 
 
 def unmatched_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -90,18 +106,18 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """For every vector whose id is a multiple of 50 the best 20 others, then the score floor."""
     rows = table(spark, d, "embeddings")
     found = vectors.nearest(rows.where(F.col("vec_id") % 50 == 0), rows, "vec_id", "embedding", 20)
-    return found.where("score >= 0.2").select("query_id", "vec_id", "rank", F.round("score", 4).alias("score"))
+    return found.where("score >= 0.2").select("query_id", "vec_id", "rank", F.round("raw", 4).alias("score"))
 
 
 def knn_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     """Undirected edges to the six nearest with a positive score; a pair keeps the larger weight."""
-    return vectors.knn_edges(table(spark, d, "embeddings"), "vec_id", "embedding", 6).select("a", "b", F.round("weight", 4).alias("weight"))
+    return vectors.knn_edges(table(spark, d, "embeddings"), "vec_id", "embedding", 6).select("a", "b", F.round("raw", 4).alias("weight"))
 
 
 SQL_COS = """
 v as (select vec_id, embedding::double[] as e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) + 1e-9 as n from embeddings),
 scores as (
-  select q.vec_id as query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) / (q.n * v.n), 10) as score
+  select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) / (q.n * v.n) as raw, round(raw, 10) as score
   from v q join v on q.vec_id <> v.vec_id {where}),
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores)"""
 
@@ -114,9 +130,10 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Fuse the BM25 branch with a branch of rare shared words, per question."""
     lexical = ranking.top(_bm25(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 20)
     asked = passages.query_terms(table(spark, d, "benchmark"), "item_id", "text")
-    shared = tokens_tf(spark, d).join(asked, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = passages.term_hits(table(spark, d, "documents").where("text is not null"), ["doc_id"], "text", asked)
+    shared = hits.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     second = ranking.top(shared, ["item_id"], [F.desc("n"), F.asc("doc_id")], 20)
-    return ranking.fused([second, lexical], ["doc_id"], 18, "item_id").select("item_id", "doc_id", "rank", F.round("rrf", 6).alias("rrf"))
+    return ranking.fused([second, lexical], ["doc_id"], 18, "item_id").select("item_id", "doc_id", "rank", F.round("raw", 6).alias("rrf"))
 
 
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +166,8 @@ def pool_variants(spark: SparkSession, d: str) -> DataFrame:
     own = ranking.top(_bm25(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 20).select("item_id", "doc_id", "rank", F.lit(0).alias("variant"))
     bench = table(spark, d, "benchmark")
     tail = bench.select("item_id", F.explode(F.slice(F.reverse(tokens(F.col("text"))), 1, 6)).alias("term")).distinct()
-    hits = tokens_tf(spark, d).join(tail, "term").groupBy("item_id", "doc_id").agg(F.sum("tf").alias("n"))
+    found = passages.term_hits(table(spark, d, "documents").where("text is not null"), ["doc_id"], "text", tail)
+    hits = found.join(tail, "term").groupBy("item_id", "doc_id").agg(F.sum("tf").alias("n"))
     other = ranking.top(hits, ["item_id"], [F.desc("n"), F.asc("doc_id")], 20).select("item_id", "doc_id", "rank", F.lit(1).alias("variant"))
     return ranking.pooled(own.unionByName(other), "item_id", ["doc_id"], "variant", "rank", 32).select("item_id", "doc_id", "variant", "rank", "place")
 
@@ -175,9 +193,9 @@ def label_tfidf(spark: SparkSession, d: str) -> DataFrame:
     df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
     cf = words.groupBy("source", "term").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
     size = docs.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
-    score = F.round(F.col("c") / F.col("size") * F.log(F.col("n_docs") / F.col("df")), 8)
-    scored = cf.join(df, "term").join(size, "source").join(F.broadcast(n)).select("source", "term", score.alias("score"))
-    return ranking.top(scored, ["source"], [F.desc("score"), F.asc("term")], 12).select("source", "term", "rank", F.round("score", 6).alias("score"))
+    raw = F.col("c") / F.col("size") * F.log(F.col("n_docs") / F.col("df"))
+    scored = cf.join(df, "term").join(size, "source").join(F.broadcast(n)).select("source", "term", raw.alias("raw"), F.round(raw, 8).alias("score"))
+    return ranking.top(scored, ["source"], [F.desc("score"), F.asc("term")], 12).select("source", "term", "rank", F.round("raw", 6).alias("score"))
 
 
 def line_idf_best_match(spark: SparkSession, d: str) -> DataFrame:
@@ -189,30 +207,14 @@ def line_idf_best_match(spark: SparkSession, d: str) -> DataFrame:
     weight = words.groupBy("doc_id", "stem").agg((1 / F.count(F.lit(1))).alias("w"))
     asked = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.transform(tokens(F.col("text"), 4), lambda x: F.substring(x, 1, 5)))).alias("stem"))
     scored = words.join(weight, ["doc_id", "stem"]).join(best, "doc_id").join(asked, ["item_id", "stem"])
-    scored = scored.groupBy("item_id", "doc_id", "line").agg(F.round(F.sum("w"), 8).alias("score"))
-    return ranking.top(scored, ["item_id"], [F.desc("score"), F.asc("line")], 1).select("item_id", "doc_id", "line", F.round("score", 5).alias("score"))
-
-
-def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Each question expects the documents that hold its text: hit@1, hit@3, MRR and abstentions of the BM25 search."""
-    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    best = ranking.top(_bm25(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
-    with_text = best.join(docs.select("doc_id", "text"), "doc_id").join(bench.select("item_id", F.col("text").alias("asked")), "item_id")
-    first = with_text.where(F.contains("text", F.col("asked"))).groupBy("item_id").agg(F.min("rank").alias("first"))
-    n = best.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = bench.select("item_id").join(n, "item_id", "left").join(first, "item_id", "left")
-    share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    hit = F.coalesce("first", F.lit(99))
-    return rows.agg(
-        F.count(F.lit(1)).alias("questions"), share(hit == 1).alias("hit_at_1"), share(hit <= 3).alias("hit_at_3"),
-        F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.count_if(F.col("n").isNull()).alias("abstained"),
-    )
+    scored = scored.groupBy("item_id", "doc_id", "line").agg(F.sum("w").alias("raw")).withColumn("score", F.round("raw", 8))
+    return ranking.top(scored, ["item_id"], [F.desc("score"), F.asc("line")], 1).select("item_id", "doc_id", "line", F.round("raw", 5).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (
-    chunk_windows, tokens_tf, tokens_df, postings_prefix_match, bm25_topk, bm25_scoped_after_scoring, unmatched_terms, cosine_topk, knn_graph_edges,
+    chunk_windows, tokens_tf, tokens_df, postings_prefix_match, bm25_topk, bm25_prefixes, bm25_scoped_after_scoring, unmatched_terms, cosine_topk, knn_graph_edges,
     mean_vector_per_label, rrf_fusion, hash_embedding, budget_select, catalog_cut, dedup_normalised, pool_variants, mask_secrets, label_tfidf,
-    line_idf_best_match, eval_metrics,
+    line_idf_best_match,
 )}
 _MASKED, _KINDS = _sql_mask()
 _TOP = "row_number() over (partition by item_id order by score desc, doc_id)"
@@ -223,24 +225,25 @@ SQL = {
     "postings_prefix_match": f"""with {SQL_TF}, {SQL_STEMS},
 each as (select stem, doc_id, sum(tf) as tf from tf join (select distinct stem from stems) s on starts_with(term, stem) group by all)
 select stem, count(*) as df, sum(tf)::bigint as cf from each group by stem""",
-    "bm25_topk": f"with {SQL_BM25} select item_id, doc_id, round(score, 6) as score, rank from (select *, {_TOP} as rank from scored) where rank <= 20",
-    "bm25_scoped_after_scoring": f"""with {SQL_BM25} select item_id, doc_id, source, round(score, 6) as score, rank
+    "bm25_topk": f"with {SQL_BM25} select item_id, doc_id, round(raw, 6) as score, rank from (select *, {_TOP} as rank from scored) where rank <= 20",
+    "bm25_prefixes": f"with {SQL_BM25_PREFIXES} select item_id, doc_id, round(raw, 6) as score, rank from (select *, {_TOP} as rank from scored) where rank <= 20",
+    "bm25_scoped_after_scoring": f"""with {SQL_BM25} select item_id, doc_id, source, round(raw, 6) as score, rank
 from (select *, {_TOP} as rank from scored join documents using (doc_id) where source in ('src1', 'src2', 'src3')) where rank <= 5""",
     "unmatched_terms": r"""with vocabulary as (select distinct unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) as term from documents),
 w as (select item_id, list_append(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{3,}'), 'zzunmatched') as l from benchmark),
 asked as (select item_id, term, min(pos) as pos from (select item_id, unnest(l) as term, generate_subscripts(l, 1) as pos from w) group by all),
 missing as (select *, row_number() over (partition by item_id order by pos) as rank from asked where term not in (select term from vocabulary))
 select item_id, rank, term from missing where rank <= 12""",
-    "cosine_topk": f"with {SQL_COS.format(where='where q.vec_id % 50 = 0')} select query_id, vec_id, rank, round(score, 4) as score from ranked where rank <= 20 and score >= 0.2",
-    "knn_graph_edges": f"""with {SQL_COS.format(where='')} select least(query_id, vec_id) as a, greatest(query_id, vec_id) as b, round(max(score), 4) as weight
+    "cosine_topk": f"with {SQL_COS.format(where='where q.vec_id % 50 = 0')} select query_id, vec_id, rank, round(raw, 4) as score from ranked where rank <= 20 and score >= 0.2",
+    "knn_graph_edges": f"""with {SQL_COS.format(where='')} select least(query_id, vec_id) as a, greatest(query_id, vec_id) as b, round(max(raw), 4) as weight
 from ranked where rank <= 6 and score > 0 group by all""",
     "mean_vector_per_label": """with u as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as pos from embeddings),
 m as (select label, pos, avg(x) as x from u group by all)
 select label, pos::int as pos, round(x / (sqrt(sum(x * x) over (partition by label)) + 1e-9), 6) as value from m""",
     "rrf_fusion": f"""with {SQL_BM25}, lexical as (select item_id, doc_id, {_TOP} as rank from scored),
 shared as (select item_id, doc_id, count(*) as score from tf join asked using (term) group by all), second as (select item_id, doc_id, {_TOP} as rank from shared),
-f as (select item_id, doc_id, round(sum(1 / (60.0 + rank)), 10) as rrf from (select * from lexical where rank <= 20 union all select * from second where rank <= 20) group by all)
-select item_id, doc_id, rank, round(rrf, 6) as rrf from (select *, row_number() over (partition by item_id order by rrf desc, doc_id) as rank from f) where rank <= 18""",
+f as (select item_id, doc_id, sum(1 / (60.0 + rank)) as raw, round(raw, 10) as rrf from (select * from lexical where rank <= 20 union all select * from second where rank <= 20) group by all)
+select item_id, doc_id, rank, round(raw, 6) as rrf from (select *, row_number() over (partition by item_id order by rrf desc, doc_id) as rank from f) where rank <= 18""",
     "budget_select": rf"""with recursive {SQL_BM25}, best as materialized (
   select item_id, rank, source, text, trim(regexp_replace(text, '\s+', ' ', 'g')) as norm
   from (select *, {_TOP} as rank from scored) join documents using (doc_id) where rank <= 18),
@@ -267,18 +270,14 @@ select item_id, doc_id, variant, rank, place from (select *, row_number() over (
     "label_tfidf": r"""with words as (select distinct source, doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{4,}')) as term from documents where text is not null),
 df as (select term, count(*) as df from words group by 1 having count(*) >= 2), cf as (select source, term, count(*) as c from words group by all having count(*) >= 2),
 size as (select source, count(*) as size from documents where text is not null group by 1),
-s as (select source, term, round(c / size * ln((select count(*) from documents where text is not null) / df), 8) as score from cf join df using (term) join size using (source))
-select source, term, rank, round(score, 6) as score from (select *, row_number() over (partition by source order by score desc, term) as rank from s) where rank <= 12""",
+r as (select source, term, c / size * ln((select count(*) from documents where text is not null) / df) as raw from cf join df using (term) join size using (source)),
+s as (select *, round(raw, 8) as score from r)
+select source, term, rank, round(raw, 6) as score from (select *, row_number() over (partition by source order by score desc, term) as rank from s) where rank <= 12""",
     "line_idf_best_match": rf"""with {SQL_BM25}, best as (select item_id, doc_id from (select *, {_TOP} as rank from scored) where rank = 1),
 l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where doc_id in (select doc_id from best)),
 w as (select distinct doc_id, line, substr(x, 1, 5) as stem from (select doc_id, line, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]{{4,}}')) as x from l)),
 weight as (select doc_id, stem, 1 / count(*) as w from w group by all),
 ask as (select distinct item_id, substr(x, 1, 5) as stem from (select item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{4,}}')) as x from benchmark)),
-s as (select item_id, doc_id, line, round(sum(weight.w), 8) as score from w join weight using (doc_id, stem) join best using (doc_id) join ask using (item_id, stem) group by all)
-select item_id, doc_id, line::int as line, round(score, 5) as score from (select *, row_number() over (partition by item_id order by score desc, line) as rank from s) where rank = 1""",
-    "eval_metrics": f"""with {SQL_BM25}, best as (select *, {_TOP} as rank from scored), ten as (select * from best where rank <= 10),
-first as (select t.item_id, min(rank) as first from ten t join documents d using (doc_id) join benchmark b on b.item_id = t.item_id where contains(d.text, b.text) group by 1),
-r as (select b.item_id, first, (select count(*) from ten t where t.item_id = b.item_id) as n from benchmark b left join first using (item_id))
-select count(*) as questions, round(avg((coalesce(first, 99) = 1)::int), 6) as hit_at_1, round(avg((coalesce(first, 99) <= 3)::int), 6) as hit_at_3,
-round(avg(coalesce(1 / first, 0)), 6) as mrr, count(*) filter (n = 0) as abstained from r""",
+s as (select item_id, doc_id, line, sum(weight.w) as raw, round(raw, 8) as score from w join weight using (doc_id, stem) join best using (doc_id) join ask using (item_id, stem) group by all)
+select item_id, doc_id, line::int as line, round(raw, 5) as score from (select *, row_number() over (partition by item_id order by score desc, line) as rank from s) where rank = 1""",
 }
