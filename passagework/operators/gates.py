@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (questions, texts) to raw scores; one call a batch, so a model is loaded once a worker.
@@ -73,7 +73,8 @@ def reranked(rows: DataFrame, question: str, key: list[str], least: float, name:
 def judged(rows: DataFrame, least: float = 0.5, most_injection: float = 0.7) -> DataFrame:
     """Rows (relevance, best, injection, secret) that a judge lets through; secret rows were never shown to it and stay.
 
-    Probabilities outside 0 to 1 and missing ones break the contract: the row passes and is marked unjudged.
+    Probabilities outside 0 to 1 and missing ones break the contract: the row passes and is marked unjudged. See
+    judged_order() for the order of what is left.
     """
     ok = F.lit(True)
     for c in ("relevance", "best", "injection"):
@@ -82,6 +83,26 @@ def judged(rows: DataFrame, least: float = 0.5, most_injection: float = 0.7) ->
     return shown.where(~F.col("judged") | ((F.col("injection") <= most_injection) & (F.col("relevance") >= least)))
 
 
+def contract_kept(choices: Column, relevance: Column, injection: Column, n: Column, tolerance: float = 0.02) -> Column:
+    """Whether a judge's reply for n passages is usable: one probability a passage in each list, all in 0 to 1, the choices summing to about one."""
+    unit = lambda xs: F.forall(xs, lambda x: F.coalesce(x.between(0, 1) & ~F.isnan(x), F.lit(False)))
+    total = F.aggregate(choices, F.lit(0.0), lambda a, x: a + x)
+    right = (F.size(choices) == n) & (F.size(relevance) == n) & (F.size(injection) == n) & unit(choices) & unit(relevance) & unit(injection)
+    return F.coalesce(F.when(right, F.abs(total - 1) <= tolerance), F.lit(False))
+
+
+def judged_order(rows: DataFrame, question: str, key: list[str]) -> DataFrame:
+    """rows with a new rank in each question: judged ones by best and then relevance, both descending, then those that weren't judged, in their order.
+
+    rows has judged, best, relevance and rank, as judged() leaves them.
+    """
+    from pyspark.sql import Window
+
+    shown = F.col("judged")
+    order = [F.desc("judged"), F.desc_nulls_last(F.when(shown, F.col("best"))), F.desc_nulls_last(F.when(shown, F.col("relevance"))), F.asc("rank"), *(F.asc(k) for k in key)]
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(question).orderBy(*order)))
+
+
 def extracted(parts: DataFrame, group: str, part: str, text: str, factory: Callable[[], Callable[[str], list[dict]]]) -> DataFrame:
     """(group, part, type, statement, quote, exchange) that an injected callable finds in each packed part.
 
