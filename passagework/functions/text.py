@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ SECRETS = (
 MASK = "***MASKED***"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(text: Column, least: int = 2) -> Column:
     """Words of at least so many word characters, lower-cased, duplicates kept."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}{{{least},}}"), F.lit(0))
@@ -71,9 +78,9 @@ def same_person(a: Column, b: Column) -> Column:
 
 
 def owners(value: Column) -> Column:
-    """A comma-separated list of owners without blanks and placeholders."""
+    """A comma-separated list of owners without blanks and placeholders (fixed values)."""
     parts = F.transform(F.split(value, ","), lambda x: F.trim(x))
-    return F.filter(parts, lambda x: ~F.lower(x).isin("", "-", "tbd", "none", "unassigned"))
+    return F.filter(parts, lambda x: ~person(x).isin("", "team", "ekip", "name", "tbd", "todo", "owner", "yok", "-"))
 
 
 def masked(text: Column) -> Column:
@@ -128,3 +135,37 @@ def decision_of(line: Column) -> Column:
     """The mark of a list item `- [x] ...`: accepted, rejected, or open."""
     mark = F.lower(F.regexp_extract(line, r"^\s*[-*] \[(.)\]", 1))
     return F.when(mark == "x", "accepted").when(mark == "-", "rejected").when(mark == " ", "open")
+
+
+def plain_key(text: Column) -> Column:
+    """A key without accents: letters of Latin scripts to ASCII, what is left outside ASCII dropped."""
+    marked = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįıĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
+    bare = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+    return F.regexp_replace(F.translate(text, marked + marked.upper() + "İ", bare + bare.upper() + "I"), r"[^\x00-\x7F]", "")
+
+
+def imported_id(source: Column, path: Column) -> Column:
+    """The id of a record that came with a file: a digest of its source and path."""
+    return F.concat(F.lit("imp-"), F.substring(F.sha2(F.concat_ws("\n", source, path), 256), 1, 24))
+
+
+def guessed_name(mail: Column, names: Column) -> Column:
+    """The name (of an array of names) that a mail's local part says: a whole name first, else the longest whose first name it begins with."""
+    local = person(F.regexp_replace(F.substring_index(F.coalesce(mail, F.lit("")), "@", 1), "[._-]+", " "))
+    tight = lambda t: F.replace(t, F.lit(" "), F.lit(""))
+    whole = F.filter(names, lambda n: tight(person(n)) == tight(local))
+    begins = F.filter(names, lambda n: F.startswith(tight(local), F.element_at(F.split(person(n), " "), 1)))
+    longest = F.array_sort(F.transform(begins, lambda n: F.struct((-F.length(n)).alias("k"), n.alias("name"))))
+    return F.coalesce(F.try_element_at(whole, F.lit(1)), F.try_element_at(longest, F.lit(1))["name"], F.lit(""))
+
+
+def moment(value: Column) -> Column:
+    """When something was touched: an ISO instant, or a day, which counts as its noon; null for anything else."""
+    v = F.trim(value)
+    day = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(F.concat(v, F.lit(" 12:00:00"))))
+    return F.coalesce(day, F.try_to_timestamp(v))
+
+
+def local_day(value: Column, zone: str) -> Column:
+    """The day of a UTC instant in a time zone."""
+    return F.to_date(F.from_utc_timestamp(F.try_to_timestamp(value), zone))

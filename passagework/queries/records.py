@@ -169,27 +169,8 @@ def degree(spark: SparkSession, d: str) -> DataFrame:
     return links.degrees(links.edges(_sites(spark, d), "a", "b"))
 
 
-def boards_left_count(spark: SparkSession, d: str) -> DataFrame:
-    """Nations with the number of their customers of the largest balances, zeros included, most first."""
-    c = table(spark, d, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, d, "nation").join(c, "n_nationkey", "left").select("n_name", F.coalesce("n", F.lit(0)).cast("long").alias("cards"))
 
 
-def cards_join_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Open orders with their customer and nation, as cards with a list and a board."""
-    o = table(spark, d, "orders").where("o_orderstatus = 'O'")
-    c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select("o_orderkey", F.col("c_name").alias("list_name"), F.col("n_name").alias("board"), F.col("o_orderdate").cast("date").cast("string").alias("due"))
-
-
-def work_merge_badges(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as cards, their urgent line items as notes that name them: merged rows with ordered badges, due first."""
-    o = table(spark, d, "orders").where("o_orderpriority in ('1-URGENT', '2-HIGH')")
-    notes = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("badges"), F.max("l_shipdate").cast("date").cast("string").alias("touched"))
-    rows = o.join(notes, o.o_orderkey == notes.l_orderkey, "left").select("o_orderkey", F.coalesce("badges", F.lit("")).alias("badges"), "touched", F.col("o_orderdate").cast("date").cast("string").alias("due"))
-    place = Window.partitionBy("due").orderBy(F.desc_nulls_last("touched"), "o_orderkey")
-    return rows.withColumn("place_in_day", F.row_number().over(place))
-
 
 def retain_latest_two(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
@@ -208,18 +189,6 @@ def range_listing(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top(o, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_totalprice"), F.asc("o_orderkey")], 1).select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("day"))
 
 
-def raw_hidden_by_written_day(spark: SparkSession, d: str) -> DataFrame:
-    """Raw events (views, clicks) count only on the hours of a user without a written-up one (a purchase)."""
-    e = table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd HH"))
-    written = e.where("event_type = 'purchase'").select("user_id", "day").distinct()
-    raw = e.where(F.col("event_type").isin("view", "click")).join(written, ["user_id", "day"], "left_anti")
-    return raw.unionByName(e.where("event_type = 'purchase'")).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-def inside_then_outside(spark: SparkSession, d: str) -> DataFrame:
-    """Ten dearest orders of each priority, those of 1996 first and then others."""
-    o = table(spark, d, "orders").withColumn("in_range", F.year("o_orderdate") == 1996)
-    return ranking.top(o, ["o_orderpriority"], [F.desc("in_range"), F.desc("o_totalprice"), F.asc("o_orderkey")], 10).select("o_orderpriority", "o_orderkey", "in_range", "rank")
 
 
 def session_gap(spark: SparkSession, d: str) -> DataFrame:
@@ -298,7 +267,7 @@ def trust_lifecycle_view(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     snapshot_digest, manifest_diff, index_health, index_state_case, vector_reuse, rename_reconcile, correction_targets, eligibility_semi, sessionise_turns, pack_windows,
     hold_back_newest, context_two_before, quote_contains_join, later_context_budget, later_context_texts, html_link_targets, link_resolve, backlinks, undirected_edge_weights, degree,
-    boards_left_count, cards_join_lists, work_merge_badges, retain_latest_two, latest_per_path, range_listing, raw_hidden_by_written_day, inside_then_outside, session_gap,
+    retain_latest_two, latest_per_path, range_listing, session_gap,
     exactly_once_events, echo_interval_join, conformance_counts, overview_by_folder, recent_topn, mode_spelling, classify_case, trust_lifecycle_view,
 )}
 _HREF = """links as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as href from pages)"""
@@ -352,19 +321,10 @@ left join (select string_split(path, '/')[-1] as name, min(path) as path from t
     "backlinks": f"with {_HREF} select href, count(distinct page_id) as n_pages, min(page_id) as first_page from links group by 1",
     "undirected_edge_weights": f"with {_SITES} select * from edges",
     "degree": f"with {_SITES} select node, count(*) as degree from (select a as node from edges union all select b from edges) group by 1",
-    "boards_left_count": "select n_name, count(c_custkey) as cards from nation left join customer on c_nationkey = n_nationkey and c_acctbal > 9000 group by n_nationkey, n_name",
-    "cards_join_lists": "select o_orderkey, c_name as list_name, n_name as board, o_orderdate::date::varchar as due from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderstatus = 'O'",
-    "work_merge_badges": """with n as (select l_orderkey, string_agg(distinct l_returnflag, ',' order by l_returnflag) as badges, max(l_shipdate)::date::varchar as touched from lineitem group by 1)
-select o_orderkey, coalesce(badges, '') as badges, touched, o_orderdate::date::varchar as due, row_number() over (partition by o_orderdate::date order by touched desc nulls last, o_orderkey) as place_in_day
-from orders left join n on l_orderkey = o_orderkey where o_orderpriority in ('1-URGENT', '2-HIGH')""",
     "retain_latest_two": "select * from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rank from orders) where rank <= 2",
     "latest_per_path": "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1",
     "range_listing": """select o_custkey, o_orderkey, o_orderdate::date::varchar as day from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_totalprice desc, o_orderkey) as r
 from orders where o_orderdate between timestamp '1997-10-01' and timestamp '1997-12-31') where r = 1""",
-    "raw_hidden_by_written_day": """with e as (select *, date_trunc('hour', ts) as h from events), w as (select distinct user_id, h from e where event_type = 'purchase')
-select user_id, event_type, count(*) as n from e where event_type = 'purchase' or (event_type in ('view', 'click') and not exists (select 1 from w where w.user_id = e.user_id and w.h = e.h)) group by all""",
-    "inside_then_outside": """select * from (select o_orderpriority, o_orderkey, year(o_orderdate) = 1996 as in_range, row_number() over (partition by o_orderpriority order by year(o_orderdate) = 1996 desc, o_totalprice desc, o_orderkey) as rank
-from orders) where rank <= 10""",
     "session_gap": """with g as (select *, case when ts - lag(ts) over w < interval 30 minutes then 0 else 1 end as fresh from events window w as (partition by user_id order by ts, event_id)),
 s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g) select user_id, count(*) as n, min(event_id) as first_event from s group by user_id, k""",
     "exactly_once_events": """select event_id, md5(props) as body_md5, case when event_id % 4 = 0 and event_id % 8 <> 0 then 1 else 0 end::bigint as replays, case when event_id % 8 = 0 then 1 else 0 end::bigint as refused from events""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagework.queries import composed, lifecycle, records, search
+from passagework.queries import composed, lifecycle, records, search, vault, work
 
-_MODULES = (search, records, composed, lifecycle)
+_MODULES = (search, records, composed, lifecycle, vault, work)
 
 
 def queries() -> dict:
