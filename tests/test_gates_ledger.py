@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from passagework.operators import gates, ledger, sync
 
@@ -18,6 +19,10 @@ def test_rerank_cuts_reorders_and_fails_openly(spark, rows):
 def test_judge(spark, rows):
     d = spark.createDataFrame([("ok", 0.9, 0.5, 0.1, False), ("weak", 0.2, 0.5, 0.1, False), ("bad", 0.9, 0.5, 0.9, False), ("odd", 1.5, 0.5, 0.1, False), ("held", 0.0, 0.0, 1.0, True), ("none", None, 0.5, 0.1, None)], "k string, relevance double, best double, injection double, secret boolean")
     assert rows(gates.judged(d).select("k", "judged")) == [("held", False), ("none", False), ("odd", False), ("ok", True)]
+    r = spark.createDataFrame([(1, "a", 1, True, 0.2, 0.9), (1, "b", 2, True, 0.7, 0.6), (1, "c", 3, True, 0.7, 0.8), (1, "d", 0, False, 0.9, 0.9)], "q int, k string, rank int, judged boolean, best double, relevance double")
+    assert [x["k"] for x in gates.judged_order(r, "q", ["k"]).orderBy("rank").collect()] == ["c", "b", "a", "d"]
+    ok = lambda *v: spark.createDataFrame([v], "c array<double>, r array<double>, i array<double>, n int").select(gates.contract_kept(*(F.col(x) for x in "crin"))).first()[0]
+    assert ok([0.5, 0.5], [1.0, 0.0], [0.0, 0.1], 2) and not ok([0.5, 0.2], [1.0, 0.0], [0.0, 0.1], 2) and not ok([1.0], [1.0], [0.0], 2) and not ok([0.5, 0.5], [1.2, 0.0], [0.0, 0.1], 2) and not ok(None, [1.0], [0.0], 1)
 
 
 def test_providers(spark, rows):

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import records, text, timeframe
 from passagework.operators import links, passages, ranking, review, sync, threads, topics, vectors
-from passagework.plans.recall import Budget, chunked, recall, recall_in_time
+from passagework.plans.recall import Budget, about_topic, chunked, described, listing, recall, recall_in_time, servable, visible
 from passagework.sources import notes, transcripts
 
 
@@ -22,8 +23,15 @@ def test_windows_stop_at_the_end(spark, rows):
 
 
 def test_sections(spark, rows):
-    d = spark.createDataFrame([(1, "intro\n# One\na\nb\n## Two\n\n## Three\nc")], "k int, text string")
-    assert rows(passages.sections(d)) == [(1, 0, "body", "intro"), (1, 1, "One", "a\nb"), (1, 3, "Three", "c")]
+    d = spark.createDataFrame([(1, "intro\n# One\na\nb\n## Two\n\n## Three\nc"), (1, "intro\n# One\na\nb\n## Two\n\n## Three\nc"), (2, None), (3, "# only\n"), (4, "#no heading\n #also no")], "line int, text string")
+    one_note = [(1, 0, "body", "intro"), (1, 1, "One", "a\nb"), (1, 3, "Three", "c")]
+    assert rows(passages.sections(d)) == sorted([*one_note, *one_note, (4, 0, "body", "#no heading\n #also no")], key=repr)
+
+
+def test_passages_say_where_they_come_from(spark, rows):
+    d = spark.createDataFrame([(1, "T", "sum", "intro\n# One\n" + "a" * 1200), (2, "U", None, "")], "k int, title string, summary string, body string")
+    got = passages.passages_of(d).orderBy("k", "chunk_no").collect()
+    assert [(r["chunk_no"], r["heading"], r["text"][:9], len(r["text"])) for r in got] == [(0, "summary", "T - sum", 7), (1, "body", "T\nintro", 7), (2, "One", "T > One\na", 1108), (3, "One", "T > One\na", 258)]
 
 
 def test_mask(spark):
@@ -56,6 +64,13 @@ def test_small_text_functions(spark):
     ("5 december", "2025-12-05", "2025-12-05"),
     ("may 2024", "2024-05-01", "2024-05-31"),
     ("mayıs ayında", "2026-05-01", "2026-05-31"),
+    ("eylul ayinda ne yaptik", "2026-09-01", "2026-09-30"),
+    ("12 kasim", "2025-11-12", "2025-11-12"),
+    ("son 3 hafta özet", "2026-09-07", "2026-09-27"),
+    ("son iki ay", "2026-07-30", "2026-09-27"),
+    ("Eylül'de", "2026-09-01", "2026-09-30"),
+    ("day before yesterday", "2026-09-25", "2026-09-25"),
+    ("bu yıl", "2026-01-01", "2026-09-27"),
 ])
 def test_time_phrases(question, start, end):
     got = timeframe.parse(question, dt.date(2026, 9, 27))
@@ -67,41 +82,91 @@ def test_no_time():
     assert timeframe.parse("2026-02-31", dt.date(2026, 9, 27)) is None
     got = timeframe.parse("budget of last week", dt.date(2026, 9, 27))
     assert got.residual == "budget of" and not got.activity
-    assert timeframe.parse("what did we do yesterday", dt.date(2026, 9, 27)).activity
+    today = dt.date(2026, 9, 27)
+    for asks in ("what did we do yesterday", "decisions made last week", "son 3 hafta özet", "Eylül'de neler oldu?"):
+        assert timeframe.parse(asks, today).activity, asks
+    assert not timeframe.parse("why did the bill double in July?", today).activity and timeframe.parse("March or in July", today) is None
+    say = lambda a, b: timeframe.Timeframe(a, b, "", "", True).label()
+    assert say(today, today) == "27 September 2026" and say(dt.date(2026, 9, 1), today) == "1–27 September 2026" and say(dt.date(2025, 12, 31), dt.date(2026, 1, 2)) == "31 December 2025 – 2 January 2026"
+
+
+def test_passage_dates(spark):
+    none, day = F.lit(None).cast("string"), F.lit(dt.date(2024, 1, 9))
+    of = lambda heading, path, made=none, frame=None: one(spark, timeframe.passage_date(F.lit(heading), F.lit(path), [made], day, frame), "")
+    assert str(of("2025-02-03 talk", "a.md")) == "2025-02-03" and str(of("talk", "2025-01-01 x/a.md")) == "2024-01-09"
+    assert str(of("talk", "x/2025-03-04 a.md", F.lit("2025-05-06"))) == "2025-03-04"
+    frame = timeframe.Timeframe(dt.date(2025, 5, 1), dt.date(2025, 5, 31), "", "", True)
+    assert str(of("talk", "x/2025-03-04 a.md", F.lit("2025-05-06"), frame)) == "2025-05-06"
 
 
 def test_budget_fold(spark, rows):
     d = spark.createDataFrame([(1, 1, "a", "x" * 60), (1, 2, "a", "x  x"), (1, 3, "a", "no room in the document"), (1, 4, "b", "y" * 90), (1, 5, "b", "short")], "q int, rank int, doc string, text string")
     got = ranking.within_budget(d, "q", "rank", "doc", "text", 6, 100, 2)
-    assert [(r[1], r[2]) for r in rows(got)] == [(1, "a"), (2, "a"), (3, "b")]
+    assert [(r[1], r[2], r[3]) for r in rows(got)] == [(1, 1, "a"), (2, 2, "a"), (3, 5, "b")]
     cut = ranking.within_budget(d, "q", "rank", "doc", "text", 1, 50, 2).first()
     assert len(cut["shown"]) == 50 and cut["truncated"]
-    with pytest.raises(ValueError):
-        Budget.of(top_k=True)
-    with pytest.raises(ValueError):
-        Budget.of(max_chars=20_001)
+    for wrong in ({"top_k": True}, {"max_chars": 0}, {"max_chars": 2.0}, {"other": 1}):
+        with pytest.raises(ValueError):
+            Budget().lowered(**wrong)
+    assert Budget(top_k=6).lowered(top_k=9, max_chars=500) == Budget(6, 500, 2) and Budget(top_k=99).lowered().top_k == 20
 
 
 def test_bm25_repeats_count_twice(spark):
     d = spark.createDataFrame([(1, "red fox"), (2, "blue fox"), (3, "green dog"), (4, "cat")], "k int, text string")
     q = spark.createDataFrame([(1, "red"), (2, "red red")], "q int, text string")
-    got = {r["q"]: r["score"] for r in passages.bm25(passages.postings(d, ["k"], "text"), passages.lengths(d, ["k"], "text"), passages.query_terms(q, "q", "text"), ["k"], "q").collect()}
+    got = {r["q"]: r["score"] for r in passages.bm25(d, ["k"], "text", passages.query_terms(q, "q", "text"), "q").collect()}
     assert got[2] == pytest.approx(2 * got[1]) and got[1] > 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_stems_match_longer_words(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(passages, "ASKED_TERMS", 1)
+    d = spark.createDataFrame([(1, "kurulumu bitti"), (2, "kurul toplandı"), (3, "kurulumlar kurulum"), (4, None), (5, "x y")], "k int, text string")
+    q = spark.createDataFrame([(1, "kurulum bitti")], "q int, text string")
+    hits = {(r["k"], r["term"]): (r["tf"], r["len"]) for r in passages.term_hits(d.where("text is not null"), ["k"], "text", passages.query_terms(q, "q", "text", prefixes=True)).collect()}
+    assert hits == {(1, "kuru*"): (1, 2), (1, "bitti"): (1, 2), (1, "bitt*"): (1, 2), (2, "kuru*"): (1, 2), (3, "kuru*"): (2, 2), (3, "kurulum"): (1, 2)}
+
+
 def test_recall_finds_the_dated_fact(spark):
     docs = spark.createDataFrame([
         ("p", "maple.md", "Maple", "The maple bridge opens in spring with two lanes."), ("p", "birch.md", "Birch", "The birch tower is under review."),
         ("t", "other.md", "Other", "Lunch menus for the team."), ("t", "more.md", "More", "Parking rules apply to everyone."),
-    ], "source_id string, path string, title string, text string")
+    ], "source_id string, path string, title string, body string")
     index = chunked(docs)
     ask = spark.createDataFrame([("q", "when does the maple bridge open")], "qid string, question string")
     assert recall(index, ask).orderBy("place").first()["citation"] == "Maple (p:maple.md)"
     assert recall(index, ask, sources=[]).count() == 0
     assert {r["citation"] for r in recall(index, ask, sources=["t"]).collect()} <= {"Other (t:other.md)", "More (t:more.md)"}
-    days = docs.select("source_id", "path", F.when(F.col("path") == "birch.md", F.lit(dt.date(2026, 9, 26))).otherwise(F.lit(dt.date(2026, 1, 1))).alias("day"))
-    assert recall_in_time(index, days, "what did we do yesterday", dt.date(2026, 9, 27)).first()["citation"] == "Birch (p:birch.md)"
-    assert recall_in_time(index, days, "the maple bridge or tower yesterday", dt.date(2026, 9, 27)).orderBy("place").first()["citation"] == "Birch (p:birch.md)"
+    none = F.lit(None).cast("string")
+    files = docs.select("source_id", "path", F.lit("note").alias("kind"), F.lit("accepted").alias("state"), F.lit(True).alias("current"), F.when(F.col("path") == "birch.md", "2026-09-26").otherwise("2026-01-01").alias("created"), none.alias("dated"), none.alias("updated"), none.cast("date").alias("committed"))
+    today = dt.date(2026, 9, 27)
+    listed = recall_in_time(index, files, "what did we do yesterday", today).collect()
+    assert [r["citation"] for r in listed] == ["Birch (p:birch.md)"] and listed[0]["in_range"]
+    got = recall_in_time(index, files, "the maple bridge or tower yesterday", today).orderBy("place").collect()
+    assert (got[0]["citation"], got[0]["in_range"]) == ("Birch (p:birch.md)", True) and (got[1]["citation"], got[1]["in_range"]) == ("Maple (p:maple.md)", False)
+    assert recall_in_time(index, files, "zebra yesterday", today).count() == 0
+    assert recall(index, ask, gate=lambda rows: rows.where("path = 'more.md'").select("qid", "chunk_id", "rank")).count() == 0
+    variants = spark.createDataFrame([("q", 1, "lunch menus"), ("q", 2, " ")], "qid string, variant int, question string")
+    assert {r["path"] for r in recall(index, ask, variants=variants).collect()} >= {"maple.md", "other.md"}
+    about = described(recall(index, ask), files).orderBy("place").first()
+    assert (str(about["date"]), about["state"], about["current"]) == ("2026-01-01", "accepted", True)
+    assert servable(files.withColumn("pending", F.lit(False)).withColumn("state", F.when(F.col("path") == "more.md", "rejected").otherwise("draft"))).count() == 0
+    assert visible(["a"], None) == ["a"] and visible(None, ["a", "a"]) == ["a"]
+    for asked, scope in ((None, []), (["b"], ["a"])):
+        with pytest.raises(ValueError):
+            visible(asked, scope)
+
+
+def test_listing_hides_raw_notes_of_written_days(spark, rows):
+    day = dt.date(2026, 9, 26)
+    d = spark.createDataFrame([
+        ("a#1", "s", "a.md", "A", "body", "x", "note", day), ("a#2", "s", "a.md", "A", "2026-09-26", "y", "note", day), ("b#1", "s", "b.md", "B", "body", "raw", "chat-raw", day), ("c#1", "s", "c.md", "C", "summary", "z " * 400, "clip", dt.date(2026, 9, 25)),
+    ], "chunk_id string, source_id string, path string, title string, heading string, text string, kind string, day date")
+    got = listing(d).orderBy("rank").collect()
+    assert [(r["path"], r["heading"], r["truncated"]) for r in got] == [("a.md", "2026-09-26", False), ("c.md", "summary", True)] and len(got[1]["text"]) <= 602
+    assert [r["chunk_id"] for r in about_topic(d, "about zzz A yyy").collect()] == []
+    assert [r["chunk_id"] for r in about_topic(d.withColumn("title", F.lit("Yearly plan")), "the yearly plans").orderBy("chunk_id").collect()] == ["a#1", "a#2", "b#1", "c#1"]
 
 
 def test_echo(spark, rows):
@@ -175,6 +240,12 @@ def test_nearest_equals_numpy(spark):
 
 
 def test_hashed_vector():
+    golden = vectors.hashed_vector("Alpha beta b", 16)  # "b" is too short; each word's slot and sign come from its own hash
+    want = np.zeros(16)
+    for word in ("alpha", "beta"):
+        h = hashlib.blake2b(word.encode(), digest_size=8).digest()
+        want[int.from_bytes(h[:4], "big") % 16] += 1 if h[4] % 2 == 1 else -1
+    assert np.allclose(golden, want / np.linalg.norm(want)) and np.count_nonzero(golden) in (1, 2)
     assert vectors.hashed_vector("", 16)[0] == 1.0
     assert np.linalg.norm(vectors.hashed_vector("some words here", 16)) == pytest.approx(1)
 
@@ -183,12 +254,23 @@ def test_two_communities(spark):
     pairs = [(i, j, 1.0) for g in (0, 10) for i in range(g, g + 5) for j in range(i + 1, g + 5)] + [(0, 10, 0.1)]
     got = {r["node"]: r["community"] for r in topics.communities(spark.createDataFrame(pairs, "a long, b long, weight double")).collect()}
     assert {got[i] for i in range(5)} == {0} and {got[i] for i in range(10, 15)} == {10}
+    labels = spark.createDataFrame([(i, 0 if i < 10 else 10) for i in got], "node long, community long")
+    edges = spark.createDataFrame(pairs, "a long, b long, weight double")
+    total, degree = sum(w for *_, w in pairs), {}
+    for a, b, w in pairs:
+        degree[a], degree[b] = degree.get(a, 0) + w, degree.get(b, 0) + w
+    same = lambda a, b: (a < 10) == (b < 10)
+    want = sum(w for a, b, w in pairs if same(a, b)) / total - sum(degree[a] * degree[b] for a in degree for b in degree if same(a, b)) / (4 * total * total)
+    assert topics.modularity(edges, labels) == pytest.approx(want)
 
 
 def test_front_matter_shapes():
     f, body = notes.front_matter('---\ntitle: "A"\ntags: [x, "y, z"]\nverified:\n  - by: human:a\n    at: 2026-01-01\n  - by: bot\non: on\nmap: {a: 1, b: two}\n---\nbody\n')
-    assert f == {"title": "A", "tags": ["x", "y, z"], "verified": ["by: human:a", "by: bot"], "on": True, "map": {"a": 1, "b": "two"}} or f["verified"][1] in ("by: bot", {"by": "bot"})
+    assert f == {"title": "A", "tags": ["x", "y, z"], "verified": [{"by": "human:a", "at": "2026-01-01"}, {"by": "bot"}], "on": True, "map": {"a": 1, "b": "two"}}
     assert body == "body\n"
+    f, _ = notes.front_matter('---\r\ns: "a \\"b\\" \\u00e9"\r\nodd line\r\nq: \'it\'\'s\'\r\nn: -3\r\nx: 1.5\r\nlist:\r\n- a\r\n- {k: [1, two]}\r\nempty:\r\ndeep:\r\n  in:\r\n    k: v\r\n  odd\r\n  more: yes # said\r\n---\r\nb')
+    assert f == {"s": 'a "b" é', "q": "it's", "n": -3, "x": 1.5, "list": ["a", {"k": [1, "two"]}], "empty": None, "deep": {"in": {"k": "v"}, "more": True}}
+    assert notes.scalar("[a, [b], 'c, d'") == "[a, [b], 'c, d'" and notes.scalar("{}") == {} and notes.scalar("~") is None
     assert notes.front_matter("---\n: bad\n---\nkept")[1] == "kept" and notes.front_matter("plain") == ({}, "plain")
 
 

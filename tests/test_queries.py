@@ -11,7 +11,8 @@ from passagework.queries import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"communities", "recall_hybrid"}
+#: Many rounds of small jobs; tests/test_operators.py has its communities on a planted graph.
+SLOW = {"communities"}
 
 
 @pytest.fixture(scope="module")
