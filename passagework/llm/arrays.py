@@ -14,24 +14,10 @@ import pyarrow as pa
 #: Bytes of text that are handled at a time; a longer text is handled alone and whole.
 SLICE_BYTES = 1_000_000
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 64)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -42,11 +28,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of units[s:e] for each pair, from one running sum over all units."""
-    up, down = powers(len(units))
-    sums = np.zeros(len(units) + 1, np.uint64)
-    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * up[: len(units)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of units[s:e] for each pair: the sum of a mixed value for every unit and its place in the span.
+
+    No sums of powers: those have fixed collisions, of a Thue-Morse word and its complement for one.
+    """
+    size = ends - starts
+    stop = np.cumsum(size)
+    sums = np.zeros((int(stop[-1]) if len(stop) else 0) + 1, np.uint64)
+    if len(sums) > 1:
+        every = np.arange(len(sums) - 1)
+        place = every - np.repeat(stop - size, size)
+        value = units[place + np.repeat(starts, size)].astype(np.uint64)
+        value += (place.astype(np.uint64) + np.uint64(1)) << np.uint64(21)
+        np.cumsum(mixed(value * np.uint64(0x9E3779B97F4A7C15)), out=sums[1:])
+    return mixed(sums[stop] - sums[stop - size] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
