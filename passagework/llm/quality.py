@@ -127,7 +127,11 @@ def train(sample: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def score_column(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """(doc_id, score) of every whole text; null and empty texts get the bias alone; repeated rows are scored alike."""
+    """(doc_id, score) of every whole text.
+
+    Null and empty texts get the bias alone; repeated rows and rows without a doc_id are scored each, alike; further
+    columns are ignored; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
