@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm.shared import table
+from passagework.llm.shared import running, table
 
 #: The template's control strings. A turn is BEGIN, ROLE_OPEN role ROLE_CLOSE, its text (between LOSS_OPEN and
 #: LOSS_CLOSE if it is trained on), END. None of them can occur in an escaped role or text.
@@ -31,7 +31,9 @@ def unescaped(text: Column) -> Column:
 def rebuilt(events: DataFrame) -> DataFrame:
     """(conv_id, turn, place, role, text): the final messages of event logs, a row a message.
 
-    `events` has conv_id, turn, place (of a message among those of one turn), seq, kind, role and text. A message's events are applied by seq: "message", "edit"
+    `events` has conv_id, turn, place (of a message among those of one turn), seq (of any type that can be ordered,
+    rising through a conversation), kind, role and text. The log of a conversation is dealt out by its messages, so a
+    hot conversation is many groups. A message's events are applied by seq: "message", "edit"
     and "regenerate" replace its text, "delta" adds to it, "retract" removes the message until one of the former
     follows; the role is that of the last event that names one. Events of equal seq are ordered by kind, role and
     text, so repeated rows count each. Null text is empty; other kinds are ignored; messages without a turn come first.
@@ -75,15 +77,9 @@ def rendered(messages: DataFrame, trained: str = "assistant") -> DataFrame:
     parts = F.split("formatted", f"{LOSS_OPEN}|{LOSS_CLOSE}", -1)
     sizes = F.transform(parts, lambda x: F.length(x))
 
-    def step(acc: Column, n: Column) -> Column:
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            (acc["at"] + n + F.when(acc["i"] % 2 == 0, len(LOSS_OPEN)).otherwise(len(LOSS_CLOSE))).alias("at"),
-            F.when(acc["i"] % 2 == 1, F.array_append(acc["spans"], F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end")))).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    return whole.select("conv_id", "formatted", F.aggregate(sizes, zero, step, lambda acc: acc["spans"]).alias("loss_spans"))
+    widths = F.transform(sizes, lambda n, i: n + F.when(i % 2 == 0, len(LOSS_OPEN)).otherwise(len(LOSS_CLOSE)))
+    spans = F.zip_with(sizes, running(widths), lambda n, at: F.struct(at.alias("start"), (at + n).alias("end")))
+    return whole.select("conv_id", "formatted", F.filter(spans, lambda _, i: i % 2 == 1).alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -101,17 +97,24 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def as_events(turns: DataFrame) -> DataFrame:
-    """A table of final turns (conv_id, turn, role, text) as a log: an empty message that names the role, then a delta for each line.
+    """A table of final turns (conv_id, turn, role, text) as the log of how they came about.
 
-    Rows that share a turn are messages of their own there: each continues the text as a delta would not, so the
-    key of a message is its place among the rows of that turn, by role and text.
+    A user's turn is a message with a slip, an edit that empties it, and a delta for each line. An assistant's is an
+    empty message, a draft's delta, a regeneration, and a delta for each line; other roles lack the middle part. `seq`
+    is (turn, place, step), so one sequence runs through a conversation. Rows that share a turn are messages of their
+    own: the key of a message is its place among the rows of that turn, by role and text.
     """
     kept = F.array_sort(F.collect_list(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
     each = turns.groupBy("conv_id", "turn").agg(kept.alias("rows")).select("conv_id", "turn", F.posexplode("rows").alias("place", "row"))
-    first = F.struct(F.lit("message").alias("kind"), F.col("row.role").alias("role"), F.lit("").alias("text"))
-    lines = F.transform(F.split("row.text", r"(?<=\n)"), lambda x: F.struct(F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), x.alias("text")))
-    log = each.select("conv_id", "turn", "place", F.posexplode(F.concat(F.array(first), lines)).alias("seq", "e"))
-    return log.select("conv_id", "turn", "place", "seq", "e.kind", "e.role", "e.text")
+    event = lambda kind, text, role=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), text.alias("text"))
+    role, lines = F.col("row.role"), F.split("row.text", r"(?<=\n)")
+    opening = (
+        F.when(role == "user", F.array(event("message", F.substring("row.text", 1, 5), role), event("edit", F.lit(""))))
+        .when(role == "assistant", F.array(event("message", F.lit(""), role), event("delta", F.substring("row.text", 1, 5)), event("regenerate", F.lit(None).cast("string"))))
+        .otherwise(F.array(event("message", F.lit(""), role)))
+    )
+    log = each.select("conv_id", "turn", "place", F.posexplode(F.concat(opening, F.transform(lines, lambda x: event("delta", x)))).alias("step", "e"))
+    return log.select("conv_id", "turn", "place", F.struct("turn", "place", "step").alias("seq"), "e.kind", "e.role", "e.text")
 
 
 def format_chats(events: DataFrame, trained: str = "assistant") -> DataFrame:

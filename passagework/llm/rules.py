@@ -36,16 +36,16 @@ def statistics(docs: DataFrame) -> DataFrame:
     base = docs.select(F.struct("*").alias("row")).select("row", F.array_remove(F.split(text, _SPACE + "+", -1), "").alias("w"))
     lines = base.select("*", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     left = F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0)))
-    windows = F.transform(left, lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("b"), F.get("w", i + 2).alias("c"), i.alias("i")))
+    windows = F.transform(left, lambda x, i: F.struct(F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i")))
     ordered = lines.select(
         "row", F.size("w").alias("n_words"), F.length(F.array_join("w", "")).alias("word_chars"), F.size(F.array_distinct("w")).alias("n_distinct"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), F.sort_array(windows).alias("s"),
     )
-    # equal windows are neighbours now; a window is repeated if it equals the one before or after it
+    # windows of one 64-bit hash are neighbours now; a window is repeated if its hash equals that before or after it
     rest = F.greatest(F.size("s") - 1, F.lit(0))
     same = F.zip_with(
         F.slice("s", 1, rest), F.slice("s", 2, rest),
-        lambda x, y: F.when((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.array(x["i"], y["i"])),
+        lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])),
     )
     repeated = F.sort_array(F.flatten(F.array_compact(same)))
 
@@ -134,19 +134,28 @@ def _prune(rows: DataFrame, rule: Rule) -> tuple[Rule, int, int]:
     return rule[:k], got[f"p{k}"] or 0, got[f"n{k}"] or 0
 
 
+def thresholds(labelled: DataFrame) -> dict[str, list[float]]:
+    """The cuts that are tried for each statistic: values at equal ranks among the good rows and among the junk."""
+    ranks = [(k + 1) / CUTS for k in range(CUTS - 1)]
+    of = [F.percentile_approx(F.when(F.col("junk") == y, F.col(s)), ranks, 10_000).alias(f"{s}_{y}") for s in STATISTICS for y in (0, 1)]
+    got = labelled.agg(*of).first()
+    return {s: sorted({*(got[f"{s}_0"] or []), *(got[f"{s}_1"] or [])}) for s in STATISTICS}
+
+
+def for_pruning() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0
+
+
 def learn(labelled: DataFrame) -> list[Rule]:
     """The decision list for a settled table of the STATISTICS and junk (1 or 0), at most TRAINING_ROWS rows.
 
     Ties between conditions go to the first statistic and the lowest threshold, so equal rows give equal rules.
     """
-    ranks = [(k + 1) / CUTS for k in range(CUTS - 1)]
-    of = [F.percentile_approx(F.when(F.col("junk") == y, F.col(s)), ranks, 10_000).alias(f"{s}_{y}") for s in STATISTICS for y in (0, 1)]
-    got = labelled.agg(*of).first()
-    cuts = {s: sorted({*(got[f"{s}_0"] or []), *(got[f"{s}_1"] or [])}) for s in STATISTICS}
+    cuts = thresholds(labelled)
     if not any(cuts.values()):
         return []
     bins = [F.size(F.filter(F.array(*map(F.lit, c)), _below(s))).alias(f"bin_{s}") for s, c in cuts.items()]
-    rows = settled(labelled.select("junk", *STATISTICS, *bins, (F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0).alias("for_pruning")))
+    rows = settled(labelled.select("junk", *STATISTICS, *bins, for_pruning().alias("for_pruning")))
     rules: list[Rule] = []
     left = rows
     while len(rules) < MOST_RULES:
@@ -188,7 +197,8 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The statistics of every row of docs with base_failed and kept, by rules learned from its labelled rows.
 
-    Without labels the list is empty and the base alone decides. Repeated rows are judged each, alike.
+    Without labels the list is empty and the base alone decides. Repeated rows are judged each, alike; null and empty
+    texts fail the base; the columns of docs stay in `row`, so none clashes; an empty table gives no rows.
     """
     rules = learn(labelled_statistics(docs, labels))
     return statistics(docs).withColumns({"base_failed": base_failed(), "kept": verdict(rules)})

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm.shared import BROADCAST_ROWS, settled, table
+from passagework.llm.shared import BROADCAST_ROWS, running, settled, table
 
 
 @dataclass(frozen=True)
@@ -120,36 +120,51 @@ def trigrams(query: Query) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*map(trigrams, query[1]))
 
 
-def _holds(query: Query, bit: dict[str, int], mask: Column) -> Column:
+def _holds(query: Query, held: Column) -> Column:
     if query is True:
         return F.lit(True)
     if isinstance(query, str):
-        return mask.bitwiseAND(F.lit(1 << bit[query])) != 0
-    parts = [_holds(q, bit, mask) for q in query[1]]
+        return F.array_contains(held, query)
+    parts = [_holds(q, held) for q in query[1]]
     return reduce(lambda a, b: a & b if query[0] == "and" else a | b, parts)
 
 
+def _asked(rules: tuple[Rule, ...]) -> dict[str, Query]:
+    """The trigram query of each kind that has one."""
+    return {r.kind: q for r in rules if (q := trigram_query(r.regex)) is not True}
+
+
+def _wanted(asked: dict[str, Query]) -> list[str]:
+    return sorted(set().union(*map(trigrams, asked.values())))
+
+
+def _held(low: Column, wanted: list[str]) -> Column:
+    """Which of the wanted trigrams a lower-cased text holds."""
+    return F.array_compact(F.array(*(F.when(low.contains(t), F.lit(t)) for t in wanted)))
+
+
+def _kinds(held: Column, asked: dict[str, Query]) -> Column:
+    """The kinds whose query the held trigrams satisfy."""
+    return F.array_compact(F.array(*(F.when(_holds(q, held), F.lit(kind)) for kind, q in asked.items())))
+
+
 def postings(docs: DataFrame, wanted: list[str]) -> DataFrame:
-    """(trigram, doc_id): which documents hold which of the wanted trigrams, letters in lower case."""
-    held = [F.when(F.col("low").contains(t), F.lit(t)) for t in wanted]
-    return docs.select("doc_id", F.lower("text").alias("low")).select("doc_id", F.explode(F.array_compact(F.array(*held))).alias("trigram"))
+    """(trigram, doc_id): the index, a row for each of the wanted trigrams and each document that holds it."""
+    return docs.select("doc_id", F.lower("text").alias("low")).select("doc_id", F.explode(_held(F.col("low"), wanted)).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, rules): for each document with any, the bits of the rules whose trigram query its postings satisfy.
+    """(doc_id, kinds): for each document with any, the rules with mandatory trigrams whose query its postings satisfy.
 
-    Postings are intersected by document: the lists of one document's trigrams are at most as many as the trigrams
-    of all rules, so no list meets in one task.
+    The lists of all trigrams are intersected by document: a document is in no more lists than the rules have trigrams,
+    so no list, however long, meets in one task. Rules without mandatory trigrams ask for no list; where no rule has
+    any, there are no candidates.
     """
-    asked = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.regex)) is not True}
-    wanted = sorted(set().union(*map(trigrams, asked.values())))
-    if not wanted or len(wanted) > 63:
-        raise ValueError("between 1 and 63 different trigrams in the rules are supported")
-    bit = {t: i for i, t in enumerate(wanted)}
-    which = reduce(lambda c, t: c.when(F.col("trigram") == t, F.lit(1 << bit[t])), wanted[1:], F.when(F.col("trigram") == wanted[0], F.lit(1 << bit[wanted[0]])))
-    lists = postings(docs.where(F.col("doc_id").isNotNull()), wanted).groupBy("doc_id").agg(F.bit_or(which).alias("held"))
-    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(_holds(q, bit, F.col("held")), F.lit(1 << k)).otherwise(F.lit(0)) for k, q in asked.items()])
-    return lists.select("doc_id", mask.cast("int").alias("rules")).where("rules != 0")
+    asked = _asked(rules)
+    if not asked:
+        return docs.sparkSession.createDataFrame([], docs.select("doc_id", F.array(F.lit("")).alias("kinds")).schema)
+    lists = postings(docs.where(F.col("doc_id").isNotNull()), _wanted(asked)).groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
+    return lists.select("doc_id", _kinds(F.col("held"), asked).alias("kinds")).where(F.size("kinds") > 0)
 
 
 def _spans(text: Column, rule: Rule) -> Column:
@@ -162,32 +177,35 @@ def _spans(text: Column, rule: Rule) -> Column:
     size = whole
     if rule.measured:
         size = F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.measured)), lambda x: F.length(x))
-    steps = F.arrays_zip(between.alias("gap"), whole.alias("len"), size.alias("size"))
+    before = running(F.zip_with(between, whole, lambda gap, n: gap + F.coalesce(n, F.lit(0))))
+    steps = F.arrays_zip(before.alias("at"), between.alias("gap"), whole.alias("len"), size.alias("size"))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["len"]
-        hit = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        kept = F.when(x["len"].isNotNull() & (x["size"] >= rule.least), F.concat(acc["spans"], hit)).otherwise(acc["spans"])
-        return F.struct(F.coalesce(end, start).alias("at"), kept.alias("spans"))
+    def span(x: Column) -> Column:
+        start = x["at"] + x["gap"]
+        return F.struct(start.alias("start"), (start + x["len"]).alias("end"), F.lit(rule.kind).alias("kind"))
 
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.regex), folded).otherwise(none)
+    found = F.transform(F.filter(steps, lambda x: x["len"].isNotNull() & (x["size"] >= rule.least)), span)
+    return F.when(text.rlike(rule.regex), found).otherwise(none)
 
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(row, spans): every row of docs, all its columns in `row`, with its secrets; see scan()."""
+    """(row, spans): every row of docs, all its columns in `row`, with its secrets; see scan().
+
+    Few candidates are broadcast to the texts; where they are many, each text is asked again for its own trigrams, which
+    moves no text and finds the same.
+    """
     whole = docs.select(F.struct("*").alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    asked = _asked(rules)
     found = settled(candidates(whole.select("doc_id", "text"), rules))
-    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    both = whole.join(F.broadcast(found) if few else found, "doc_id", "left")
-    asked = F.when(F.col("doc_id").isNull(), F.lit((1 << len(rules)) - 1)).otherwise(F.coalesce("rules", F.lit(0)))
+    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        both = whole.join(F.broadcast(found), "doc_id", "left")
+        verified = lambda kind: F.col("doc_id").isNull() | F.coalesce(F.array_contains("kinds", kind), F.lit(False))
+    else:
+        both = whole.withColumn("low", F.lower("text")).withColumn("kinds", _kinds(_held(F.col("low"), _wanted(asked)), asked))
+        verified = lambda kind: F.array_contains("kinds", kind)
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    each = [
-        _spans(F.col("text"), r) if trigram_query(r.regex) is True else F.when(asked.bitwiseAND(F.lit(1 << k)) != 0, _spans(F.col("text"), r)).otherwise(none)
-        for k, r in enumerate(rules)
-    ]
+    each = [F.when(verified(r.kind), _spans(F.col("text"), r)).otherwise(none) if r.kind in asked else _spans(F.col("text"), r) for r in rules]
     order = F.create_map(*(x for k, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(k))))
 
     def before(a: Column, b: Column) -> Column:
@@ -211,18 +229,21 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with every secret replaced by its first kind; spans that overlap are one secret."""
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        more = F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("<"), x["kind"], F.lit(">"))))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, more).otherwise(acc["parts"]).alias("parts"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    return F.aggregate(spans, zero, step, lambda acc: F.array_join(F.array_append(acc["parts"], F.substring(text, acc["at"] + 1, F.length(text))), ""))
+    ends = F.transform(spans, lambda x: x["end"])
+    shown = F.zip_with(
+        spans, running(ends, largest=True),
+        lambda x, at: F.when(x["start"] >= at, F.concat(F.substring(text, at + 1, x["start"] - at), F.lit("<"), x["kind"], F.lit(">"))).otherwise(""),
+    )
+    end = F.coalesce(F.array_max(ends), F.lit(0))
+    return F.concat(F.array_join(shown, ""), F.substring(text, end + 1, F.length(text)))
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """docs, all columns and rows, with the secrets in `text` masked; n_chars, where there is one, follows the text."""
+    """docs, all columns and rows, with the secrets in `text` masked; n_chars, where there is one, follows the text.
+
+    Null text stays null; rows without a doc_id are searched for all rules; repeated rows are masked each; an empty
+    table stays empty.
+    """
     found = scanned(docs)
     hit = F.size("spans") > 0
     text = F.when(hit, masked(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))

@@ -13,9 +13,11 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a single machine one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="passagework-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -35,14 +37,26 @@ def attach(left: DataFrame, right: DataFrame, key: str, rows: str, share: int =
     Keys with more than 1/share of all rows are at most `share`, so they are broadcast and their rows stay
     where they are; the others are joined by a shuffle in which no key is large.
     """
-    total = right.agg(F.sum(rows)).first()[0] or 0
-    bound = max(2000, total // share)
+    total, most = right.agg(F.sum(rows), F.max(rows)).first()
+    bound = max(2000, (total or 0) // share)
+    if (most or 0) <= bound:
+        return left.join(right, key, "left")
     hot, cold = right.where(F.col(rows) > bound), right.where(F.col(rows) <= bound)
     spread = left.join(F.broadcast(hot), key, "inner")
     others = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
     return spread.unionByName(others)
 
 
+def running(values: Column, largest: bool = False, block: int = 64) -> Column:
+    """For every element of an array of ints the sum, or the largest, of those before it (0 at first): blocks first, so no step copies an array."""
+    both = (lambda a, x: F.greatest(a, x)) if largest else (lambda a, x: a + x)
+    total = lambda part: F.aggregate(part, F.lit(0), both)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda b: total(F.slice(values, b * block + 1, block)))
+    before = F.transform(blocks, lambda _, b: total(F.slice(blocks, 1, b)))
+    each = F.transform(values, lambda _, i: both(F.get(before, (i / block).cast("int")), total(F.slice(values, i - i % block + 1, i % block))))
+    return F.when(F.size(values) > 0, each).otherwise(F.array().cast("array<int>"))
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id isn't in the settled table ids (doc_id); ids are broadcast only if few, by count."""
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

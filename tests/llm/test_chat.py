@@ -36,7 +36,10 @@ def test_fold(spark):
 def test_turns_become_logs_that_are_folded(spark):
     said = [(1, 0, "user", "a\n\nb\n"), (1, 1, "assistant", ""), (1, 1, "assistant", "\n")]
     log = chat.as_events(spark.createDataFrame(said, SCHEMA))
-    assert [tuple(r) for r in log.where("turn = 0").orderBy("seq").select("kind", "role", "text").collect() if r["text"] or r["role"]] == [("message", "user", ""), ("delta", None, "a\n"), ("delta", None, "\n"), ("delta", None, "b\n")]
+    steps = [tuple(r) for r in log.where("turn = 0").orderBy("seq").select("kind", "role", "text").collect() if r["text"] or r["kind"] != "delta"]
+    assert steps == [("message", "user", "a\n\nb\n"), ("edit", None, ""), ("delta", None, "a\n"), ("delta", None, "\n"), ("delta", None, "b\n")]
+    assert {"message", "delta", "regenerate"} == {r["kind"] for r in log.where("turn = 1").collect()}
+    assert log.select("conv_id", "seq").distinct().count() == log.count()
     assert sorted((r["turn"], r["role"], r["text"]) for r in chat.rebuilt(log.repartition(3)).collect()) == [x[1:] for x in said]
     alone = spark.createDataFrame([(1, 0, 0, 0, "retract", "user", "gone"), (1, 1, 0, 1, "delta", "user", "stays")], "conv_id int, turn int, place int, seq int, kind string, role string, text string")
     assert [(r["turn"], r["text"]) for r in chat.rebuilt(alone).collect()] == [(1, "stays")]

@@ -87,6 +87,88 @@ def test_mask(spark, documents):
 
 
 @pytest.mark.parametrize("n", [1, 3])
-def test_rules_without_trigrams_need_no_index(n):
-    with pytest.raises(ValueError):
-        secrets.candidates(None, (secrets.HEX,) * n)
+def test_rules_without_trigrams_scan_fully(spark, documents, n):
+    docs = documents(*enumerate(TEXTS))
+    assert secrets.candidates(docs, (secrets.HEX,) * n).count() == 0
+    got = {x["doc_id"]: [(y["start"], y["end"]) for y in x["spans"]] for x in secrets.scan(docs, (secrets.HEX,)).collect()}
+    assert got == {i: [m.span() for m in re.finditer("[0-9a-f]{24,}", t or "")] for i, t in enumerate(TEXTS)}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_rules_with_many_trigrams(spark, documents, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    words = ["".join(chr(97 + (7 * i + (3 + i) * k * k + k) % 26) for k in range(6)) for i in range(26)]
+    many = tuple(secrets.Rule(f"k{i}", w + "[0-9]+") for i, w in enumerate(words))
+    assert len(set().union(*(secrets.trigrams(secrets.trigram_query(r.regex)) for r in many))) > 63
+    texts = [f"é {words[i % 26]}{i} {words[(i + 5) % 26].upper()}7 {words[(i + 9) % 26]}1" for i in range(40)]
+    got = {x["doc_id"]: [(y["kind"], y["start"], y["end"]) for y in x["spans"]] for x in secrets.scan(documents(*enumerate(texts)), many).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [(k, s, e) for s, e, k in sorted((*m.span(), r.kind) for r in many for m in re.finditer(r.regex, t))]
+
+
+def test_a_text_with_many_secrets(spark, documents):
+    text = " ".join(f"token=secret{i} x" for i in range(700))
+    row = secrets.mask_secrets(documents((1, text))).first()
+    assert row["text"] == " ".join(["<assign> x"] * 700)
+
+
+def test_overlapping_secrets_are_one(spark, documents):
+    """A long secret that holds many others, more than there are kinds."""
+    inner = "-".join(["x", *["deadbeef" * 3] * 12])
+    row = secrets.mask_secrets(documents((1, f"a token={inner} b"))).first()
+    assert row["text"] == "a <assign> b"
+
+
+def test_learned_list_equals_plain_covering(spark, documents):
+    """Sequential covering by loops over collected rows finds the same rules."""
+    import math
+
+    r = random.Random(12)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) + r.choice(["", "", "%", "!", "%%"]) for _ in range(r.randrange(55, 140)))
+    texts = [text() for _ in range(300)]
+    docs = documents(*enumerate(texts))
+    junk = lambda t: t.count("%") > 60 or (len(t.split()) < 75 and t.count("!") > 14)
+    labels = spark.createDataFrame([(i, int(not junk(t)), 0) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    table = rules.labelled_statistics(docs, labels)
+    rows = [x.asDict() for x in table.withColumn("prune", rules.for_pruning()).collect()]
+    cuts = rules.thresholds(table)
+    holds = lambda rule, x: all((x[s] > c) == above for s, above, c in rule)
+    found, left = [], rows
+    while len(found) < rules.MOST_RULES:
+        grow, rule = [x for x in left if not x["prune"]], []
+        while len(rule) < rules.MOST_CONDITIONS:
+            inside = [x for x in grow if holds(rule, x)]
+            p0 = sum(x["junk"] for x in inside)
+            if not p0 or p0 == len(inside):
+                break
+            best, gain = None, 1e-9
+            for s in sorted(cuts):
+                for c in cuts[s]:
+                    for above in (False, True):
+                        part = [x["junk"] for x in inside if (x[s] > c) == above]
+                        g = sum(part) * (math.log2(sum(part) / len(part)) - math.log2(p0 / len(inside))) if sum(part) else 0
+                        if g > gain + (1e-9 if best else 0):
+                            best, gain = (s, above, c), g
+            if not best:
+                break
+            s, above, c = best
+            low, high = [x[s] for x in inside if x[s] <= c], [x[s] for x in inside if x[s] > c]
+            rule.append((s, above, (max(low) + min(high)) / 2 if low and high else c))
+        if not rule:
+            break
+        prune = [x for x in left if x["prune"]]
+        worth = []
+        for k in range(1, len(rule) + 1):
+            part = [x["junk"] for x in prune if holds(rule[:k], x)]
+            worth.append(((2 * sum(part) - len(part)) / max(len(part), 1), -k, sum(part), len(part)))
+        _, k, p, n = max(worth)
+        if p < 3 or p < rules.PRECISION * n:
+            break
+        found.append(rule[:-k])
+        left = [x for x in left if not holds(rule[:-k], x)]
+    assert found
+    got = [[(c.statistic, c.above, c.threshold) for c in rule] for rule in rules.learn(table)]
+    assert got == found
+    verdicts = {x["doc_id"]: x["kept"] for x in rules.judged(docs, labels).select("row.doc_id", "kept").collect()}
+    assert verdicts == {x["doc_id"]: not any(holds(rule, x) for rule in found) for x in rows}
