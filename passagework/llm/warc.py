@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm.shared import attach, settled, shared_folder, table
+from passagework.llm.shared import BROADCAST_ROWS, attach, settled, shared_folder, table
 
 #: Bytes of records after which a frame, and of frames after which a bundle, is closed. A record is never split.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 8 << 20
@@ -45,12 +45,17 @@ def read_seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
     return frames
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit holds no payload but names the record that does."""
+def record_id(page_id: int | None, digest: str, place: str) -> str:
+    """The record of a page and payload; `place` tells records apart that share both, and those without a page_id."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{place}')}>"
+
+
+def record(page_id: int | None, url: str, payload: bytes, digest: str, size: int, refers_to: int | None, place: str = "") -> bytes:
+    """One WARC/1.1 record; a revisit holds no payload but names the page that does."""
     name = "" if page_id is None else str(page_id)
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{name}')}>"),
+        ("WARC-Record-ID", record_id(page_id, digest, place)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", " ".join(url.split())),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
@@ -59,7 +64,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, size: int
     ]
     if refers_to is not None:
         fields += [
-            ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>"),
+            ("WARC-Refers-To", record_id(refers_to, digest, "")),
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
             ("Refers-To-Page", str(refers_to)),
         ]
@@ -79,18 +84,13 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return head, data[begin : begin + n], begin + n + 4
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        yield pa.record_batch(
-            [batch.column(0), pa.array([hashlib.sha256(d).digest() for d in data], pa.binary()), pa.array([len(d) for d in data], pa.int64())],
-            ["page_id", "digest", "size"],
-        )
+def _payload():
+    return F.coalesce("html", F.lit("")).cast("binary")
 
 
 def payloads(pages: DataFrame) -> DataFrame:
     """(page_id, digest, size) of every row; null html is empty."""
-    return pages.select("page_id", "html").mapInArrow(_hashed, "page_id bigint, digest binary, size bigint")
+    return pages.select("page_id", F.unhex(F.sha2(_payload(), 256)).alias("digest"), F.octet_length(_payload()).cast("long").alias("size"))
 
 
 def firsts(hashed: DataFrame) -> DataFrame:
@@ -130,9 +130,9 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in range(batch.num_rows):
-            page, url, html, refers = (batch.column(i)[row].as_py() for i in range(4))
-            data = (html or "").encode()
-            one = record(page, url or "", b"" if refers is not None else data, hashlib.sha256(data).hexdigest(), len(data), refers)
+            page, url, data, digest, size, refers, shared = (batch.column(i)[row].as_py() for i in range(7))
+            place = f"{part}-{count}-{len(index)}" if shared or page is None else ""
+            one = record(page, url or "", data or b"", digest.hex(), size, refers, place)
             index.append({"page_id": page, "frame": len(frames), "offset": held})
             frame.append(one)
             held += len(one)
@@ -150,14 +150,20 @@ def write(pages: DataFrame, path: str) -> None:
     path is a Parquet table of (bundle, data, records), since only Spark's writers reach every store: data is a
     whole .warc.zst file, records its index of page_id, frame and offset within the decompressed frame. Of equal
     payloads of at least LEAST_SHARED bytes the smallest page_id is a response and the others revisit it; rows
-    without a page_id, and repeated rows of the first one, are responses. Null html is an empty payload, null url an
-    empty one; further columns are ignored; an empty table gives no bundle.
+    without a page_id, and repeated rows of the first one, are responses. Every record has an id of its own; a revisit
+    names that of its response unless the response's row is repeated, and its page in any case. Null html is an empty
+    payload, null url an empty one; further columns are ignored; an empty table gives no bundle.
     """
-    refers = firsts(settled(payloads(pages)))
-    digest = F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
-    rows = pages.select("page_id", "url", "html", digest.alias("digest")).join(refers, ["page_id", "digest"], "left")
+    hashed = settled(payloads(pages))
+    repeated = hashed.where("page_id is not null").groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("page_id", "digest", F.lit(True).alias("shared"))
+    # what the pages must be told: few rows, without texts; pages move to meet them only where they are many
+    told = settled(firsts(hashed).join(repeated, ["page_id", "digest"], "full"))
+    few = told.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
+    rows = pages.select("page_id", "url", "html", F.unhex(F.sha2(_payload(), 256)).alias("digest"), F.octet_length(_payload()).cast("long").alias("size"))
+    met = rows.join(F.broadcast(told) if few else told, ["page_id", "digest"], "left")
     schema = "bundle string, data binary, records array<struct<page_id bigint, frame int, offset bigint>>"
-    rows.select("page_id", "url", "html", "refers_to").mapInArrow(_bundles, schema).write.parquet(path)
+    stored = F.when(F.col("refers_to").isNull(), _payload()).alias("payload")
+    met.select("page_id", "url", stored, "digest", "size", "refers_to", "shared").mapInArrow(_bundles, schema).write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +192,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, path: str, page_ids: DataFrame) -> DataFrame:
-    """(page_id, content) of the records of page_ids (page_id): only their frames are decompressed, by the index."""
+    """(page_id, content) of the records of page_ids (page_id, null for those without one): only their frames are decompressed, by the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -205,7 +211,8 @@ def fetch(spark: SparkSession, path: str, page_ids: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.binary())], ["page_id", "content"])
 
     bundles = spark.read.parquet(path)
-    index = bundles.select("bundle", F.inline("records")).join(page_ids.distinct(), "page_id")
+    asked = page_ids.select(F.col("page_id").alias("_asked")).distinct()
+    index = bundles.select("bundle", F.inline("records")).join(asked, F.col("page_id").eqNullSafe(F.col("_asked")))
     wanted = index.groupBy("bundle").agg(F.collect_list(F.struct("page_id", "frame", "offset")).alias("wanted"))
     return bundles.select("bundle", "data").join(wanted, "bundle").select("data", "wanted").mapInArrow(run, "page_id bigint, content binary")
 
