@@ -135,7 +135,7 @@ def excluded(path: Column, patterns: list[str]) -> Column:
     """Whether a path fits a glob (its * and ? also cross folders) or lies in a named folder."""
     import fnmatch
 
-    tests = [path.rlike(fnmatch.translate(p).replace(r"\Z", "$").replace(r"\z", "$")) | F.startswith(path, F.lit(p.rstrip("/") + "/")) for p in patterns]
+    tests = [path.rlike("^" + fnmatch.translate(p).replace(r"\Z", "$").replace(r"\z", "$")) | F.startswith(path, F.lit(p.rstrip("/") + "/")) for p in patterns]
     found = F.lit(False)
     for t in tests:
         found |= t

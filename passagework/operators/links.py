@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,14 @@ def resolved(links: DataFrame, targets: DataFrame, source: str | None = None) ->
     return found.select(*links.columns, F.coalesce("_exact", near, "_ending").alias("target")).where("target is not null")
 
 
+def backlinks(linked: DataFrame, page: str, target: str, most: int = 200) -> DataFrame:
+    """(target, n_pages, pages): how many pages link to each target, and the first `most` of them."""
+    own = linked.select(target, page).distinct()
+    first = own.withColumn("_place", F.row_number().over(Window.partitionBy(target).orderBy(page))).where(F.col("_place") <= most)
+    listed = first.groupBy(target).agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    return own.groupBy(target).agg(F.count(F.lit(1)).alias("n_pages")).join(listed, target)
+
+
 def edges(linked: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, weight): undirected edges between different nodes, a < b, weighted by the links of both directions."""
     pair = linked.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))

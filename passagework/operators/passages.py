@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.functions.text import prefix_stem, tokens
+from passagework.functions.text import prefix_stem, stems, tokens
+from passagework.operators import ranking
 
 CHUNK, OVERLAP = 1100, 150
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -116,6 +117,26 @@ def prefix_matches(terms: DataFrame, stems: DataFrame) -> DataFrame:
     return cut.join(stem_list, "stem")
 
 
+def unmatched(questions: DataFrame, rows: DataFrame, key: str, question: str, text: str, limit: int = 12) -> DataFrame:
+    """(key, rank, term): the words of three or more characters of each question that no row has, the first ones in their order.
+
+    Rows meet the asked words where they are read, so only hits are shuffled.
+    """
+    asked = questions.select(key, F.posexplode(F.array_distinct(tokens(F.col(question), 3))).alias("_pos", "term"))
+    found = term_hits(rows.select(F.lit(0).alias("_all"), text), ["_all"], text, asked).select("term").distinct()
+    return ranking.top(asked.join(found, "term", "left_anti"), [key], [F.asc("_pos")], limit).select(key, "rank", "term")
+
+
+def best_lines(questions: DataFrame, docs: DataFrame, key: str, doc: str, question: str, text: str) -> DataFrame:
+    """(key, doc, line, raw, score): for each question (key, doc, question) the line of its document whose stems weigh most, a stem weighing one over the lines with it."""
+    lines = docs.join(questions.select(doc).distinct(), doc).select(doc, F.posexplode(F.split(text, "\n")).alias("line", "_t"))
+    words = lines.select(doc, "line", F.explode(stems(F.col("_t"))).alias("stem"))
+    weight = words.groupBy(doc, "stem").agg((1 / F.count(F.lit(1))).alias("w"))
+    asked = questions.select(key, doc, F.explode(stems(F.col(question))).alias("stem"))
+    scored = asked.join(words, [doc, "stem"]).join(weight, [doc, "stem"]).groupBy(key, doc, "line").agg(F.sum("w").alias("raw")).withColumn("score", F.round("raw", 8))
+    return ranking.top(scored, [key], [F.desc("score"), F.asc("line")], 1).select(key, doc, "line", "raw", "score")
+
+
 def term_hits(rows: DataFrame, key: list[str], text: str, asked: DataFrame) -> DataFrame:
     """(key..., len, term, tf): how often each row has each asked term (term), and how many tokens in all.
 

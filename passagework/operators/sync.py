@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,13 +80,16 @@ def eligible(indexed: DataFrame, live: DataFrame, states: DataFrame, drafts: boo
     return same.where(shown)
 
 
-def publish(df: DataFrame, folder: str, version: int) -> str:
+def publish(df: DataFrame, folder: str, version: int, valid: Callable[[DataFrame], bool] = lambda _: True) -> str:
     """Write a version of a table under folder and then name it in _CURRENT, so a reader sees a whole version or the one before.
 
-    The pointer is a one-row table that is written last; read_current() follows the largest version named.
+    A version is written once, so what a reader has open never changes; it is read back and must be valid before it is
+    named. The pointer is a one-row table that is written last; read_current() follows the largest version named.
     """
     path = f"{folder}/v={version}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("error").parquet(path)
+    if not valid(df.sparkSession.read.parquet(path)):
+        raise ValueError(f"version {version} isn't valid and stays unpublished")
     df.sparkSession.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{folder}/_current")
     return path
 

@@ -19,22 +19,24 @@ def exchanges(turns: DataFrame) -> DataFrame:
     return numbered.groupBy("conv_id", "i").agg(text("user").alias("user"), F.coalesce(text("assistant"), F.lit("")).alias("assistant"))
 
 
-def packed(rows: DataFrame, group: str, order: str, size: Column, limit: int) -> DataFrame:
-    """(group, order, part): consecutive rows in parts of at most `limit`; a row that is longer is a part alone.
+def packed(rows: DataFrame, group: str, order: str, size: Column, limit: int, most: int | None = None) -> DataFrame:
+    """(group, order, part): consecutive rows in parts of at most `limit`; a row that is longer is a part alone. Parts from `most` on are left out.
 
-    Sizes alone are folded, in order, per conversation: one array of numbers a group.
+    Sizes alone are folded, in order, per conversation: one array of numbers a group, and one of where parts begin.
     """
     lists = rows.select(group, F.struct(F.col(order).alias("o"), size.cast("int").alias("n")).alias("x")).groupBy(group).agg(F.array_sort(F.collect_list("x")).alias("rows"))
-    kind = dict(rows.dtypes)[order]
 
     def step(acc: Column, x: Column) -> Column:
         fits = (acc["used"] + x["n"] <= limit) | (acc["used"] == 0)
-        part = F.when(fits, acc["part"]).otherwise(acc["part"] + 1)
-        out = F.array_append(acc["out"], F.struct(x["o"].alias("o"), part.alias("part")))
-        return F.struct(F.when(fits, acc["used"] + x["n"]).otherwise(x["n"]).alias("used"), part.alias("part"), out.alias("out"))
-
-    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("part"), F.array().cast(f"array<struct<o:{kind},part:int>>").alias("out"))
-    return lists.select(group, F.explode(F.aggregate("rows", zero, step, lambda a: a["out"])).alias("p")).select(group, F.col("p.o").alias(order), F.col("p.part").alias("part"))
+        begins = F.when(fits, acc["begins"]).otherwise(F.array_append(acc["begins"], acc["i"]))
+        return F.struct(F.when(fits, acc["used"] + x["n"]).otherwise(x["n"]).alias("used"), (acc["i"] + 1).alias("i"), begins.alias("begins"))
+
+    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("begins"))
+    cut = lists.select(group, F.size("rows").alias("_n"), "rows", F.aggregate("rows", zero, step, lambda a: a["begins"]).alias("_begins"))
+    end = F.coalesce(F.get("_begins", F.col("part") + 1), F.col("_n"))
+    parts = cut.select(group, "rows", "_n", "_begins", F.posexplode("_begins").alias("part", "_begin"))
+    found = parts.select(group, "part", F.explode(F.slice("rows", F.col("_begin") + 1, end - F.col("_begin"))).alias("p")).select(group, F.col("p.o").alias(order), "part")
+    return found if most is None else found.where(F.col("part") < most)
 
 
 def held_back(rows: DataFrame, group: str, order: str) -> DataFrame:

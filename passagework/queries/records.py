@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagework.operators import links, ranking, sync, threads
+from passagework.operators import links, ranking, review, sync, threads, vault
 from passagework.sources.tables import table
+from passagework.streaming.events import event_key, first_deliveries
 
 
 def _snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -41,10 +42,8 @@ def index_health(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_state_case(spark: SparkSession, d: str) -> DataFrame:
-    """What the index holds of each live document: excluded by its folder, pending, or indexed."""
-    live, old = _snapshot(spark, d), _older(spark, d).withColumnRenamed("digest", "indexed")
-    state = F.when(F.col("source_id").isin("src18", "src19"), "excluded").when(F.coalesce(F.col("indexed") == F.col("digest"), F.lit(False)), "indexed").otherwise("pending")
-    return live.join(old, ["source_id", "path"], "left").select("source_id", "path", state.alias("index_state"))
+    """What the index holds of each live document: excluded by its path, pending, or indexed."""
+    return vault.index_states(_snapshot(spark, d), _older(spark, d), ["9*", "1?5"]).select("source_id", "path", "index_state")
 
 
 def vector_reuse(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +151,8 @@ def link_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
-    return _paths(spark, d).distinct().groupBy("href").agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page"))
+    found = links.backlinks(_paths(spark, d), "page_id", "href")
+    return found.select("href", "n_pages", F.col("pages")[0].alias("first_page"), F.size("pages").alias("listed"))
 
 
 def undirected_edge_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -200,11 +200,10 @@ def session_gap(spark: SparkSession, d: str) -> DataFrame:
 
 def exactly_once_events(spark: SparkSession, d: str) -> DataFrame:
     """Events delivered twice, some of them altered: accepted once, replays counted, altered ones refused."""
-    e = table(spark, d, "events").select("event_id", F.sha2(F.concat_ws("|", F.lit("client"), F.col("user_id").cast("string"), F.col("event_id").cast("string")), 256).alias("key"), F.col("props").alias("body"))
-    again = e.where("event_id % 4 = 0").withColumn("body", F.when(F.col("event_id") % 8 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
-    both = e.withColumn("seq", F.lit(0)).unionByName(again.withColumn("seq", F.lit(1)))
-    first = both.groupBy("key").agg(F.min(F.struct("seq", "body")).alias("f"), F.count(F.lit(1)).alias("deliveries"), F.min("event_id").alias("event_id"), F.count_distinct("body").alias("bodies"))
-    return first.select("event_id", F.md5("f.body").alias("body_md5"), (F.col("deliveries") - F.col("bodies")).alias("replays"), (F.col("bodies") - 1).alias("refused"))
+    e = table(spark, d, "events").select("event_id", event_key(F.lit("client"), F.col("user_id"), F.col("event_id")).alias("key"), F.col("props").alias("body"), F.lit(0).alias("seq"))
+    again = e.where("event_id % 4 = 0").withColumn("body", F.when(F.col("event_id") % 8 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body"))).withColumn("seq", F.lit(1))
+    found = first_deliveries(e.unionByName(again), "key", "body", "seq").join(e.select("key", "event_id"), "key")
+    return found.select("event_id", F.md5("body").alias("body_md5"), "replays", "refused")
 
 
 def echo_interval_join(spark: SparkSession, d: str) -> DataFrame:
@@ -245,10 +244,14 @@ def mode_spelling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def classify_case(spark: SparkSession, d: str) -> DataFrame:
-    """What becomes of a labelled document: dropped, reviewed, or new with the side that stated it."""
-    both = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    verdict = F.when(F.col("quality") == 0, "drop").when(F.col("toxic") == 1, "review").when(F.length("text") < 500, "new: assistant").otherwise("new: owner")
-    return both.groupBy("lang", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    """Labelled documents as items with a judge's scores; those without a label are new. Verdict and attribution, counted by language."""
+    both = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    score = lambda c: F.when(F.col("quality").isNotNull(), c)
+    rows = both.select(
+        "lang", F.when(F.col("doc_id") % 2 == 0, "decision").otherwise("fact").alias("type"), score(F.when(F.col("quality") == 0, 0.2).otherwise(0.9)).alias("supported"), score(F.lit(0.5)).alias("durable"),
+        score(F.when(F.col("toxic") == 1, 0.7).otherwise(0.1)).alias("withdrawn"), score(F.when(F.col("n_chars") < 500, 0.4).otherwise(0.6)).alias("owner_stated"),
+    )
+    return review.classified(rows).groupBy("lang", "verdict", "attribution").agg(F.count(F.lit(1)).alias("n"))
 
 
 def trust_lifecycle_view(spark: SparkSession, d: str) -> DataFrame:
@@ -277,7 +280,7 @@ SQL = {
     "manifest_diff": f"with {_DIFF} select * from diff",
     "index_health": f"""with {_DIFF} select count(*) filter (status = 'added') as added, count(*) filter (status = 'changed') as changed, count(*) filter (status = 'removed') as removed,
 count(*) filter (status = 'unchanged') as unchanged, case when count(*) filter (status <> 'unchanged') = 0 then 'fresh' else 'stale' end as state from diff""",
-    "index_state_case": f"""with {_SNAP}, {_OLD} select s.source_id, s.path, case when s.source_id in ('src18', 'src19') then 'excluded' when coalesce(o.digest = s.digest, false) then 'indexed' else 'pending' end as index_state
+    "index_state_case": f"""with {_SNAP}, {_OLD} select s.source_id, s.path, case when s.path like '9%' or s.path like '1_5' then 'excluded' when coalesce(o.digest = s.digest, false) then 'indexed' else 'pending' end as index_state
 from snap s left join old o on s.source_id = o.source_id and s.path = o.path""",
     "vector_reuse": """with k as (select doc_id, sha256(coalesce(text, '')) as key from documents)
 select doc_id, case when key in (select key from k where doc_id % 2 = 0) then 'cache' when key in (select key from k where doc_id % 3 = 0) then 'pack' else 'embed' end as origin,
@@ -318,7 +321,7 @@ r as (select *, length(owner) + length(assistant) as size, sum(length(owner) + l
     "link_resolve": rf"""with {_HREF}, t as (select distinct '/' || regexp_extract(url, '([a-z]+)\.example', 1) as path from pages), u as (select distinct page_id, lower(href) as href from links)
 select page_id, href, coalesce(e.path, n.path) as target from u left join t e on e.path = href
 left join (select string_split(path, '/')[-1] as name, min(path) as path from t group by 1) n on n.name = string_split(href, '/')[-1] where coalesce(e.path, n.path) is not null""",
-    "backlinks": f"with {_HREF} select href, count(distinct page_id) as n_pages, min(page_id) as first_page from links group by 1",
+    "backlinks": f"with {_HREF} select href, count(distinct page_id) as n_pages, min(page_id) as first_page, least(count(distinct page_id), 200)::int as listed from links group by 1",
     "undirected_edge_weights": f"with {_SITES} select * from edges",
     "degree": f"with {_SITES} select node, count(*) as degree from (select a as node from edges union all select b from edges) group by 1",
     "retain_latest_two": "select * from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rank from orders) where rank <= 2",
@@ -339,8 +342,8 @@ count(*) filter (regexp_matches(coalesce(text, ''), '[Ll]icen[sc]ed? ')) as with
     "recent_topn": "select o_orderkey, o_orderpriority, o_orderdate::date::varchar as day from orders order by o_orderdate desc, o_orderkey desc limit 12",
     "mode_spelling": """with n as (select lower(substr(p_name, 1, 2)) as fold, string_split(p_name, ' ')[1] || ' ' || p_brand as name, count(*) as n from part group by all)
 select fold, name, n from (select *, row_number() over (partition by fold order by n desc, name) as r from n) where r = 1""",
-    "classify_case": """select lang, case when quality = 0 then 'drop' when toxic = 1 then 'review' when length(text) < 500 then 'new: assistant' else 'new: owner' end as verdict, count(*) as n
-from documents join labels using (doc_id) group by all""",
+    "classify_case": """with i as (select lang, case when quality is null then 'new' when quality = 0 then 'drop' when toxic = 1 then 'review' else 'new' end as verdict, quality, doc_id, n_chars from documents left join labels using (doc_id))
+select lang, verdict, case when verdict = 'new' and quality is not null and doc_id % 2 = 0 and n_chars < 500 then 'assistant' else 'owner' end as attribution, count(*) as n from i group by all""",
     "trust_lifecycle_view": """with e as (select *, json_extract_string(props, '$.k')::int % 5 as k from events)
 select case k when 0 then 'draft' when 2 then 'deprecated' else 'stable' end as status, k <> 3 as known,
 case event_type when 'purchase' then 'human-reviewed' when 'click' then 'machine-confirmed' else 'unverified' end as trust, ts < timestamp '2024-01-08' as stale, count(*) as n from e group by all""",

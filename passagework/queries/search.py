@@ -96,10 +96,8 @@ tf as (select doc_id, term, count(*) as tf from (select * from words union all
 
 def unmatched_terms(spark: SparkSession, d: str) -> DataFrame:
     """Words of three or more characters of each question that no document has, the first twelve in order."""
-    vocabulary = table(spark, d, "documents").select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
-    asked = table(spark, d, "benchmark").select("item_id", F.posexplode(F.array_distinct(F.concat(tokens(F.col("text"), 3), F.array(F.lit("zzunmatched"))))).alias("pos", "term"))
-    missing = asked.join(vocabulary, "term", "left_anti")
-    return ranking.top(missing, ["item_id"], [F.asc("pos")], 12).select("item_id", "rank", "term")
+    asked = table(spark, d, "benchmark").select("item_id", F.concat("text", F.lit(" zzunmatched")).alias("question"))
+    return passages.unmatched(asked, table(spark, d, "documents").where("text is not null"), "item_id", "question", "text")
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -200,15 +198,10 @@ def label_tfidf(spark: SparkSession, d: str) -> DataFrame:
 
 def line_idf_best_match(spark: SparkSession, d: str) -> DataFrame:
     """For each question the line of its best document whose words weigh most, a word weighing 1 / lines with it."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
     best = ranking.top(_bm25(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 1).select("item_id", "doc_id")
-    lines = docs.join(best.select("doc_id").distinct(), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    words = lines.select("doc_id", "line", F.explode(F.array_distinct(F.transform(tokens(F.col("t"), 4), lambda x: F.substring(x, 1, 5)))).alias("stem"))
-    weight = words.groupBy("doc_id", "stem").agg((1 / F.count(F.lit(1))).alias("w"))
-    asked = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.transform(tokens(F.col("text"), 4), lambda x: F.substring(x, 1, 5)))).alias("stem"))
-    scored = words.join(weight, ["doc_id", "stem"]).join(best, "doc_id").join(asked, ["item_id", "stem"])
-    scored = scored.groupBy("item_id", "doc_id", "line").agg(F.sum("w").alias("raw")).withColumn("score", F.round("raw", 8))
-    return ranking.top(scored, ["item_id"], [F.desc("score"), F.asc("line")], 1).select("item_id", "doc_id", "line", F.round("raw", 5).alias("score"))
+    asked = best.join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
+    found = passages.best_lines(asked, table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id", "question", "text")
+    return found.select("item_id", "doc_id", "line", F.round("raw", 5).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -187,7 +187,8 @@ def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def eval_scores(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.scored(*_evidence(spark, d))
+    """The rank of the first expected file for each question, 0 if none is found."""
+    return evaluation.scored(*_evidence(spark, d)).withColumn("rank", F.coalesce("rank", F.lit(0)))
 
 
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -268,7 +269,7 @@ select source_id, path, strftime(max(o_orderdate), '%Y-%m-%d') as committed from
     "recorded_dates": """with r as (select source as source_id, doc_id::varchar as path, doc_id % 3 > 0 and (doc_id % 5 > 0 or coalesce(text, '') = 'old') as reused, doc_id from documents)
 select source_id, path, case when reused then '2024-01-01' else '2025-01-01' end as committed, reused from r where reused or doc_id % 2 = 0""",
     "topic_terms": f"with {_TERMS} select source, term as key, rank, round(raw, 6) as score from ranked where rank <= 12",
-    "eval_scores": f"with {_EVIDENCE} select item_id::varchar as qid, answerable, confirmed, found, rank, files, echo from z",
+    "eval_scores": f"with {_EVIDENCE} select item_id::varchar as qid, answerable, confirmed, found, coalesce(rank, 0) as rank, files, echo from z",
     "eval_metrics": f"""with {_EVIDENCE}, told as (select sum(length(shown)) as passages, sum(length(shown)) + 2 * (count(*) - 1) + 160 as total from own group by item_id)
 select count(*) as questions, count(*) filter (confirmed) as confirmed, count(*) filter (answerable = 'yes') as answerable, count(*) filter (answerable = 'yes' and rank = 1) as hit1, count(*) filter (answerable = 'yes' and rank <= 3) as hit3,
 round(avg(coalesce(1 / rank, 0)) filter (answerable = 'yes'), 6) as mrr, count(*) filter (answerable = 'yes' and not found) as false_none, count(*) filter (answerable = 'no') as unanswerable, count(*) filter (answerable = 'no' and not found) as abstained,

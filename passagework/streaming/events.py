@@ -50,6 +50,16 @@ def with_verdicts(events: DataFrame, key: str, body: str, time: str, delay: str)
     return digested.groupBy("key").applyInPandasWithState(update, "key string, verdict string, n bigint", "digest string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def first_deliveries(events: DataFrame, key: str, body: str, order: str) -> DataFrame:
+    """(key, body, deliveries, replays, refused) of a batch: the first delivery of each key holds; equal ones after it are replays, others are refused.
+
+    Deliveries are counted by key and body digest first, so a key that is sent very often meets nowhere.
+    """
+    each = events.groupBy(key, F.sha2(body, 256).alias("_digest")).agg(F.min(F.struct(order, F.col(body).alias("body"))).alias("_f"), F.count(F.lit(1)).alias("_n"))
+    whole = each.groupBy(key).agg(F.min("_f").alias("_f"), F.sum("_n").alias("deliveries"), F.min_by("_n", "_f").alias("_same"))
+    return whole.select(key, F.col("_f.body").alias("body"), "deliveries", (F.col("_same") - 1).alias("replays"), (F.col("deliveries") - F.col("_same")).alias("refused"))
+
+
 def idle_sessions(events: DataFrame, key: str, time: str, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """(key, start, end, n) of each session, once the watermark says that it has been idle for the gap."""
     counted = events.withWatermark(time, delay).groupBy(F.col(key), F.session_window(time, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))

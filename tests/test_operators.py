@@ -3,6 +3,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from passagework.functions import records, text, timeframe
@@ -226,6 +227,11 @@ def test_publish(spark, tmp_path):
     sync.publish(spark.range(3), str(tmp_path), 1)
     sync.publish(spark.range(5), str(tmp_path), 2)
     assert sync.read_current(spark, str(tmp_path)).count() == 5
+    with pytest.raises(ValueError):
+        sync.publish(spark.range(7), str(tmp_path), 3, lambda df: df.count() < 7)
+    with pytest.raises(AnalysisException):
+        sync.publish(spark.range(1), str(tmp_path), 2)
+    assert sync.read_current(spark, str(tmp_path)).count() == 5
 
 
 def test_nearest_equals_numpy(spark):

@@ -20,7 +20,7 @@ def test_front_views(spark):
     assert one(spark, fm.as_wikilink(x), "/a/b.md") == "[[b]]" and one(spark, fm.as_wikilink(x), "http://a/b.md") == "http://a/b.md"
     assert tuple(one(spark, fm.ref_entry(x, F.lit("s")), "s:a/b.md")) == ("/a/b.md", "b") and tuple(one(spark, fm.ref_entry(x, F.lit("t")), "s:a/b.md")) == ("s:a/b.md", "b")
     assert one(spark, fm.is_reserved(F.lit("a/index.md"), x), "{}") and not one(spark, fm.is_reserved(F.lit("index.md"), x), '{"type":"note"}')
-    assert [one(spark, fm.excluded(F.lit(p), ["drafts", "*.tmp.md"]), "") for p in ("drafts/a.md", "x/a.tmp.md", "a.md", "drafts.md")] == [True, True, False, False]
+    assert [one(spark, fm.excluded(F.lit(p), ["drafts", "*.tmp.md", "9?"]), "") for p in ("drafts/a.md", "x/a.tmp.md", "a.md", "drafts.md", "90", "190", "901")] == [True, True, False, False, True, False, False]
     assert one(spark, fm.safe_title(x), ' ..a/b: "c"\n.. ') == "a b c" and one(spark, fm.safe_title(x), "...") == "Untitled"
 
 
