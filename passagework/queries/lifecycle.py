@@ -68,6 +68,16 @@ def superseded_records(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (rerank_gate, judge_gate, extracted_items, ledger_append, decisions_apply, superseded_records)}
 SQL = {
+    "extracted_items": r"""with recursive c as (select * from conversations where text is not null), s as (select conv_id, turn, text, length(text) + 24 as n, row_number() over (partition by conv_id order by turn) as r from c),
+p(conv_id, turn, text, r, used, part) as (select conv_id, turn, text, r, n, 0 from s where r = 1
+ union all select s.conv_id, s.turn, s.text, s.r, case when used + n <= 4000 then used + n else n end, case when used + n <= 4000 then part else part + 1 end from p join s on s.conv_id = p.conv_id and s.r = p.r + 1),
+i as (select conv_id, conv_id * 1000 + part as item_id, string_split(string_agg(text, chr(10) order by turn, text), chr(10))[1] as t from p group by conv_id, part),
+n as (select *, sum((role = 'user')::int) over (partition by conv_id order by turn, role rows unbounded preceding)::bigint as i from c),
+x as (select conv_id, i, arg_max(text, turn) filter (role = 'user') as u, coalesce(arg_max(text, turn) filter (role = 'assistant'), '') as a from n where i > 0 group by all),
+said as (select conv_id, i, 0 as who, lower(trim(regexp_replace(u, '\s+', ' ', 'g'))) as t from x union all select conv_id, i, 1, lower(trim(regexp_replace(a, '\s+', ' ', 'g'))) from x),
+h as (select item_id, i.t as statement, said.i, who, row_number() over (partition by item_id order by said.i <> 1, said.i, who) as r from i join said on said.conv_id = i.conv_id and trim(regexp_replace(i.t, '\s+', ' ', 'g')) <> '' and contains(said.t, lower(trim(regexp_replace(i.t, '\s+', ' ', 'g'))))),
+f as (select *, row_number() over (partition by lower(trim(statement)) order by item_id) as k from h where r = 1)
+select item_id, md5(statement) as statement_md5, i, case when who = 0 then 'owner' else 'assistant' end as speaker from f where k = 1""",
     "rerank_gate": f"""with {SQL_BM25}, best as (select item_id, doc_id, {_TOP} as rank from scored), g as (
 select item_id, doc_id, rank, (length(text) - length(replace(text, 'e', ''))) / greatest(length(text), 1) as s from best join documents using (doc_id) where rank <= 20)
 select item_id, doc_id, row_number() over (partition by item_id order by round(s, 10) desc, rank, doc_id) as rank, round(s, 6) as gate_score from g where s > 0.1""",
