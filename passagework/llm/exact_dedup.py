@@ -2,33 +2,29 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm.arrays import mixed
-from passagework.llm.shared import attach, one_each, own_ids, settled, table, without
+from passagework.llm.shared import attach, one_each, own_ids, settled, table, text_digest, without
 
 #: Distinct digests of a shard of the index, on average.
 SHARD_KEYS = 100_000
 INDEX = "shard int, levels array<binary>, digests binary, winners array<bigint>, sizes array<bigint>"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [hashlib.sha256((t or "").encode().lower()).digest() for t in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["doc_id", "digest", "history"])
-
-
 def keyed(docs: DataFrame, history: Column) -> DataFrame:
     """(doc_id, digest, history): SHA-256 of the text after lower-casing A-Z only; null text is empty."""
-    narrow = docs.select("doc_id", "text", F.coalesce(history, F.lit(False)).alias("history"))
-    return narrow.mapInArrow(_digests, "doc_id bigint, digest binary, history boolean")
+    return docs.select("doc_id", text_digest().alias("digest"), F.coalesce(history, F.lit(False)).alias("history"))
+
+
+def _asked(digests: np.ndarray, level: int, size: int) -> np.ndarray:
+    """The bit of a level that each digest asks for: by the next 8 bytes at each level, so digests that agree in some part later."""
+    part = 8 * (level % 4)
+    keys = digests[:, part : part + 8].copy().view("<u8").ravel()
+    return (mixed(keys ^ np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(size)).astype(np.int64)
 
 
 def _slots(digests: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
@@ -36,14 +32,13 @@ def _slots(digests: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
 
     Foreign digests also get slots; only the comparison of full digests tells them apart.
     """
-    keys = digests[:, :8].copy().view("<u8").ravel()
-    slot = np.full(len(keys), -1, np.int64)
+    slot = np.full(len(digests), -1, np.int64)
     before = 0
     for k, bits in enumerate(levels):
         open_ = np.flatnonzero(slot < 0)
         if not len(open_):
             break
-        at = (mixed(keys[open_] ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(len(bits))).astype(np.int64)
+        at = _asked(digests[open_], k, len(bits))
         hit = bits[at]
         slot[open_[hit]] = before + (np.cumsum(bits) - 1)[at[hit]]
         before += int(bits.sum())
@@ -53,19 +48,15 @@ def _slots(digests: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
 def perfect_hash(digests: np.ndarray) -> list[np.ndarray]:
     """Levels of bits: a key owns the bit that no other remaining key asks for; the others go on to the next level.
 
-    The number of set bits equals the number of keys, so slots are minimal. Keys must differ in their first
-    8 bytes or be few; a level that places none widens the next, and equal 8-byte prefixes end the build.
+    The number of set bits equals the number of keys, so slots are minimal. Digests are distinct.
     """
-    keys = digests[:, :8].copy().view("<u8").ravel()
-    if len(np.unique(keys)) < len(keys):
-        raise ValueError("two digests share their first 8 bytes; rebuild with another digest")
     levels: list[np.ndarray] = []
-    while len(keys):
-        size = 2 * len(keys) + 1
-        at = (mixed(keys ^ np.uint64(len(levels) * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(size)).astype(np.int64)
+    while len(digests):
+        size = 2 * len(digests) + 1
+        at = _asked(digests, len(levels), size)
         bits = np.bincount(at, minlength=size) == 1
         levels.append(bits)
-        keys = keys[~bits[at]]
+        digests = digests[~bits[at]]
     return levels
 
 
@@ -161,7 +152,11 @@ def exact_dedup(docs: DataFrame, history: Column | None = None) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each text left: that of the largest doc_id, and of several with it the least by all columns."""
+    """docs with one row of each text left: that of the largest doc_id, and of several with it the least by all columns.
+
+    Rows go by their doc_id and text together, so a copy takes no other row of its doc_id along. Null text is empty; of
+    a group without any doc_id one row stays; repeated rows leave one; all columns stay; an empty table stays empty.
+    """
     if not own_ids(docs):
         return one_each(docs, settled(exact_dedup(docs).select("doc_id", "digest", "kept")))
     return without(docs, settled(exact_dedup(docs).where("not kept").select("doc_id")))

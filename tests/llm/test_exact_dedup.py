@@ -43,3 +43,9 @@ def test_one_row_of_each_text_stays(spark, documents):
     kept = sorted(((r["doc_id"], r["text"]) for r in op.drop_copies(docs).collect()), key=str)
     assert kept == [(1, "only"), (2, "A"), (3, "same"), (4, None), (None, "b")]
     assert op.drop_copies(docs).columns == docs.columns
+
+
+def test_digests_may_share_beginnings():
+    keys = [b"same 8 b" + hashlib.sha256(str(i).encode()).digest()[:24] for i in range(500)]
+    slots = op._slots(op._matrix(keys), op.perfect_hash(op._matrix(keys)))
+    assert sorted(slots) == list(range(500))
