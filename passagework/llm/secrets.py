@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.functions.text import once
 from passagework.llm.shared import BROADCAST_ROWS, running, settled, table
 
 
@@ -177,16 +178,19 @@ def _spans(text: Column, rule: Rule) -> Column:
     size = whole
     if rule.measured:
         size = F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.measured)), lambda x: F.length(x))
-    before = running(F.zip_with(between, whole, lambda gap, n: gap + F.coalesce(n, F.lit(0))))
-    steps = F.arrays_zip(before.alias("at"), between.alias("gap"), whole.alias("len"), size.alias("size"))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
     def span(x: Column) -> Column:
         start = x["at"] + x["gap"]
         return F.struct(start.alias("start"), (start + x["len"]).alias("end"), F.lit(rule.kind).alias("kind"))
 
-    found = F.transform(F.filter(steps, lambda x: x["len"].isNotNull() & (x["size"] >= rule.least)), span)
-    return F.when(text.rlike(rule.regex), found).otherwise(none)
+    def found(p: Column) -> Column:
+        before = running(F.zip_with(p["gap"], p["len"], lambda gap, n: gap + F.coalesce(n, F.lit(0))))
+        steps = F.zip_with(before, F.arrays_zip(p["gap"].alias("gap"), p["len"].alias("len"), p["size"].alias("size")), lambda at, x: F.struct(at.alias("at"), x["gap"].alias("gap"), x["len"].alias("len"), x["size"].alias("size")))
+        return F.transform(F.filter(steps, lambda x: x["len"].isNotNull() & (x["size"] >= rule.least)), span)
+
+    parts = F.struct(between.alias("gap"), whole.alias("len"), size.alias("size"))
+    return F.when(text.rlike(rule.regex), once(parts, found)).otherwise(none)
 
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -230,6 +234,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def masked(text: Column, spans: Column) -> Column:
     """The text with every secret replaced by its first kind; spans that overlap are one secret."""
     ends = F.transform(spans, lambda x: x["end"])
+    # the running ends are computed once for all spans
     shown = F.zip_with(
         spans, running(ends, largest=True),
         lambda x, at: F.when(x["start"] >= at, F.concat(F.substring(text, at + 1, x["start"] - at), F.lit("<"), x["kind"], F.lit(">"))).otherwise(""),

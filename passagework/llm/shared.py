@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.functions.text import once
+
 #: A side is broadcast only up to this many narrow rows (two longs each, about 16 MB).
 BROADCAST_ROWS = 500_000
 
@@ -51,10 +53,13 @@ def running(values: Column, largest: bool = False, block: int = 64) -> Column:
     """For every element of an array of ints the sum, or the largest, of those before it (0 at first): blocks first, so no step copies an array."""
     both = (lambda a, x: F.greatest(a, x)) if largest else (lambda a, x: a + x)
     total = lambda part: F.aggregate(part, F.lit(0), both)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda b: total(F.slice(values, b * block + 1, block)))
-    before = F.transform(blocks, lambda _, b: total(F.slice(blocks, 1, b)))
-    each = F.transform(values, lambda _, i: both(F.get(before, (i / block).cast("int")), total(F.slice(values, i - i % block + 1, i % block))))
-    return F.when(F.size(values) > 0, each).otherwise(F.array().cast("array<int>"))
+
+    def summed(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda b: total(F.slice(v, b * block + 1, block)))
+        before = once(blocks, lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, 1, b))))
+        return once(before, lambda begins: F.transform(v, lambda _, i: both(F.get(begins, (i / block).cast("int")), total(F.slice(v, i - i % block + 1, i % block)))))
+
+    return once(values, lambda v: F.when(F.size(v) > 0, summed(v)).otherwise(F.array().cast("array<int>")))
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
