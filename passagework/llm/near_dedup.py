@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm.arrays import mixed, owners, slices, span_hashes, words
+from passagework.llm.arrays import SLICE_BYTES, mixed, owners, slices, span_hashes, words
 from passagework.llm.graph import components
 from passagework.llm.shared import BROADCAST_ROWS, attach, one_each, own_ids, settled, table, text_digest, without
 
@@ -32,8 +32,8 @@ BITS = 90
 SIMILAR = 80
 #: Sets of so few shingles are similar to equal sets only.
 ALONE = 3
-#: Clusters of so many classes are tried pair by pair, larger ones in blocks of BLOCK by BLOCK.
-SMALL, BLOCK = 24, 2048
+#: Clusters of so many classes are tried pair by pair, larger ones in blocks of BLOCK by BLOCK; lists in blocks of LIST_BLOCK.
+SMALL, BLOCK, LIST_BLOCK = 24, 256, 2048
 #: Buckets in which coordinate values are counted, to tell common from rare ones.
 BUCKETS = 1 << 18
 
@@ -79,7 +79,7 @@ def signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _signed(n_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, part in slices(batch.column(1)):
+            for row, part in slices(batch.column(1), SLICE_BYTES // 2):
                 values, first = shingle_sets(part, n_words)
                 marks, at = signatures(values, first), first.tolist()
                 digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at, at[1:], strict=False)]
@@ -168,7 +168,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(n_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, part in slices(batch.column(1)):
+            for row, part in slices(batch.column(1), SLICE_BYTES // 2):
                 values, first = shingle_sets(part, n_words)
                 at = first.tolist()
                 yield pa.record_batch([batch.column(0).slice(row, len(part)), pa.array([values[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["rep", "shingles"])
@@ -230,7 +230,7 @@ def _within(members: DataFrame, classes: DataFrame, docs: DataFrame, n_words: in
     """
     sizes = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("largest")).where("n > largest")
-    split = settled(members.join(sizes, "cluster"))
+    split = settled(attach(members, settled(sizes), "cluster", "n").where("main is not null"))
     small = split.where(F.col("n") <= SMALL)
     x, y = (small.select("cluster", F.col("rep").alias(f"{c}_rep"), F.col("component").alias(f"{c}_component")) for c in "xy")
     pairs = x.join(y, "cluster").where("x_rep < y_rep and x_component <> y_component").select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
@@ -250,16 +250,23 @@ def _within(members: DataFrame, classes: DataFrame, docs: DataFrame, n_words: in
 def _across(own: DataFrame) -> DataFrame:
     """(a, b): classes of one list that are in different clusters and whose bits agree.
 
-    Of two such classes one is outside the list's largest cluster, so a list of one large cluster makes no pairs.
+    Of two such classes one is outside the list's largest cluster, so a list of one large cluster makes no pairs. A long
+    list is compared in blocks of LIST_BLOCK by LIST_BLOCK, each a group of its own.
     """
     parts = own.groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    major = parts.groupBy("key").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rest = settled(own.join(major.select("key", "major"), "key"))
-    x, y = (rest.select(*(F.col(c).alias(f"{side}_{c}") for c in rest.columns)) for side in "xy")
-    once = (F.col("y_cluster") == F.col("y_major")) | (F.col("x_rep") < F.col("y_rep"))
-    apart = (F.col("x_key") == F.col("y_key")) & (F.col("x_cluster") != F.col("y_cluster")) & once & _alike("x_", "y_")
-    met = x.where("x_cluster <> x_major").join(y, apart)
-    return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+    major = parts.groupBy("key").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+    rest = settled(attach(own, settled(major.select("key", "major", "n")), "key", "n").where("major is not null").withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int")))
+    own_block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    short, long = rest.where("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}), rest.where("blocks > 1")
+    found = []
+    for left, right in ((short, short), (long.withColumn("i", own_block).withColumn("j", every_block), long.withColumn("j", own_block).withColumn("i", every_block))):
+        x, y = (side.select(*(F.col(c).alias(f"{name}_{c}") for c in side.columns)) for name, side in (("x", left), ("y", right)))
+        once = (F.col("y_cluster") == F.col("y_major")) | (F.col("x_rep") < F.col("y_rep"))
+        block = (F.col("x_key") == F.col("y_key")) & (F.col("x_i") == F.col("y_i")) & (F.col("x_j") == F.col("y_j"))
+        met = x.where("x_cluster <> x_major").join(y, block & (F.col("x_cluster") != F.col("y_cluster")) & once & _alike("x_", "y_"))
+        found.append(met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")))
+    return found[0].unionByName(found[1]).distinct()
 
 
 def linked(classes: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
@@ -269,18 +276,19 @@ def linked(classes: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
     and their lists, then between the components that this leaves in a cluster, then between clusters.
     """
     spread = classes.where(F.col("n_shingles") > ALONE)
-    posted = postings(spread, value_counts(spread))
+    posted = settled(postings(spread, value_counts(spread)))
     # the center of a list is the class whose values are most common in all: the likely origin of a group of near copies
     center = F.max(F.struct("common", (-F.col("rep")).alias("order"), "rep", "b0", "b1")).alias("c")
     lists = posted.groupBy("key").agg(center, F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = settled(posted.join(lists.select("key", F.col("c.rep").alias("c_rep"), F.col("c.b0").alias("c_b0"), F.col("c.b1").alias("c_b1")), "key"))
+    centers = settled(lists.select("key", "n", F.col("c.rep").alias("c_rep"), F.col("c.b0").alias("c_b0"), F.col("c.b1").alias("c_b1")))
+    shared = settled(attach(posted, centers, "key", "n").where("c_rep is not null").drop("n"))
     near = colliding(settled(_stars(shared)), classes)
     found = confirmed(near, docs, n_words)
     clusters = settled(components(near).withColumnRenamed("component", "cluster"))
     parts = components(found)
     members = clusters.join(parts, "node", "left").select(F.col("node").alias("rep"), "cluster", F.coalesce("component", "node").alias("component"))
     pairs, links = _within(settled(members), classes, docs, n_words)
-    own = shared.select("key", "rep", "b0", "b1").join(clusters.withColumnRenamed("node", "rep"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    own = settled(shared.select("key", "rep", "b0", "b1").join(clusters.withColumnRenamed("node", "rep"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep")))
     others = confirmed(colliding(settled(pairs.unionByName(_across(own)).distinct().join(near, ["a", "b"], "left_anti")), classes), docs, n_words)
     return settled(components(found.unionByName(settled(links)).unionByName(others)))
 
@@ -306,7 +314,7 @@ def near_dedup(docs: DataFrame, n_words: int = 5) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, n_words: int = 5) -> DataFrame:
-    """docs with one row of each component left, and every row without a doc_id or without words.
+    """docs, all columns, with one row of each component left, and every row without a doc_id or without words.
 
     The row of the smallest doc_id stays. Rows of one doc_id and different texts are decided each: they get numbers in
     the order of doc_id and text, and only the numbers are linked.

@@ -72,6 +72,39 @@ def test_a_copy_takes_no_other_row_of_its_id_along(spark, documents):
     assert kept == [(3, "a b c d e f"), (5, "u v w x y z"), (8, ""), (8, ""), (None, "a b c d e f")]
 
 
+def test_long_lists_of_unlike_classes(spark, documents, monkeypatch):
+    """A value that many unlike texts share makes one long list; it is compared in blocks, and the links are those of all pairs."""
+    monkeypatch.setattr(near_dedup, "LIST_BLOCK", 16)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    pairs = []
+    for i in range(0, 300, 2):
+        own = [word() for _ in range(4)]
+        pairs.append((i, " ".join(["the common words of all", *own])))
+        if i % 10 == 0:
+            pairs.append((i + 1, " ".join(["the common words of all", *own, word()])))
+    got = near_dedup.near_dedup(documents(*pairs), 1)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect())) == brute(pairs, 1)
+
+
+def test_structured_words_stay_apart(spark, documents):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    got = near_dedup.near_dedup(documents((1, f"x {word} y"), (2, f"x {word.translate(str.maketrans('ab', 'ba'))} y")), 2).collect()
+    assert all(r["kept"] for r in got)
+
+
+@pytest.mark.parametrize("share", [1000, 3])
+def test_components_with_a_hub(spark, monkeypatch, share):
+    """One node with most links, and chains that end in it."""
+    attach = graph.attach
+    monkeypatch.setattr(graph, "attach", lambda *a: attach(*a, share=share))
+    links = [(500, i) for i in range(400)] + [(i, 1000 + i) for i in range(0, 400, 7)] + [(2000, 2001)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert set(got.values()) == {0, 2000} and len(got) == len({x for p in links for x in p}) and got[2001] == 2000 and got[1007] == 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.components(links).collect()}
@@ -81,7 +114,7 @@ def test_components_of_a_chain(spark):
 def test_components_that_do_not_settle_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(graph, "MOST_ROUNDS", 1)
     with pytest.raises(RuntimeError):
-        graph.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"))
+        graph.components(spark.createDataFrame([(i, i + 1) for i in range(90)], "a long, b long"))
 
 
 def test_bits_lose_less_than_collisions():
@@ -129,6 +162,40 @@ def test_bundles_are_standard_and_seekable(spark, tmp_path):
     assert all(r["payload_digest"] == hashlib.sha256(bytes(r["content"])).hexdigest() for r in warc.read(spark, path).where("record_type = 'response'").collect())
 
 
+def test_every_record_has_an_id_of_its_own(spark, tmp_path):
+    rows = [(None, "u", "a" * 200), (None, "u", "a" * 200), (3, "u", "b"), (3, "u", "b"), (3, "u", "c"), (4, "u", "d" * 200), (5, "u", "d" * 200)]
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("size", F.lit(1)), path)
+    import io
+
+    import zstandard
+
+    heads = []
+    for row in spark.read.parquet(path).collect():
+        data, at = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(bytes(row["data"])), read_across_frames=True).read(), 0
+        while at < len(data):
+            head, _, at = warc.parse(data, at)
+            heads.append(head)
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(rows)
+    revisit = next(h for h in heads if h["WARC-Type"] == "revisit")
+    assert ids[revisit["WARC-Refers-To"]]["Page-Id"] == "4"
+    asked = spark.createDataFrame([(None,), (3,)], "page_id long")
+    assert sorted(bytes(r["content"])[:1] for r in warc.fetch(spark, path, asked).collect()) == [b"a", b"a", b"b", b"b", b"c"]
+
+
+def test_pipeline_keeps_unlike_rows_of_one_id(spark, documents, folder):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(4)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(70))
+    a, b, c = text(), text(), text()
+    docs = documents((5, a), (7, a.upper()), (5, b), (9, c), (9, c), (3, b + " tail"), (None, c), (None, None))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = corpus_pipeline.run(spark, folder(documents=docs.withColumn("digest", F.lit("clash")), labels=labels)).collect()
+    # of a the row of 7 stays; b and its near copy are one group, of which 3 stays; c once, by the row that has an id
+    assert sorted(x["doc_id"] for x in got) == [3, 7, 9]
+
+
 def test_pipeline_equals_brute_force(spark, documents, folder):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(3)
