@@ -5,7 +5,8 @@ Word hashes are 64 bits wide; two different words of one task collide with odds
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -44,6 +45,18 @@ def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed(sums[stop] - sums[stop - size] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def lean(run: Callable) -> Callable:
+    """A function on batches that gives freed memory back to the system at its end: Spark keeps its workers for the tasks that follow."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
+    return wrapped
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, rows) with at most `limit` bytes of text, or one longer text; null counts as empty."""
     texts = texts.cast(pa.large_string()).fill_null("")

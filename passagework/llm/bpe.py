@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm.arrays import slices, span_hashes, text_bytes
+from passagework.llm.arrays import lean, slices, span_hashes, text_bytes
 from passagework.llm.shared import table
 
 #: The pattern whose matches are encoded separately; split_points() follows it.
@@ -387,7 +387,7 @@ def encode_column(docs: DataFrame, ranks_path: str) -> DataFrame:
     Null and empty texts have no ids; repeated rows are encoded each for itself; an empty table gives no rows; further
     columns are ignored.
     """
-    return docs.select("doc_id", "text").mapInArrow(_encode(ranks_path, False), "doc_id bigint, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(_encode(ranks_path, False)), "doc_id bigint, ids binary")
 
 
 def decode_column(encoded_docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -401,12 +401,12 @@ def decode_column(encoded_docs: DataFrame, ranks_path: str) -> DataFrame:
             data = decoder.decode(np.frombuffer(b"".join(packed), "<u4"), first)
             yield pa.record_batch([part.column(0), part.column(1), data], ["doc_id", "ids", "data"])
 
-    return encoded_docs.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, data binary")
+    return encoded_docs.select("doc_id", "ids").mapInArrow(lean(run), "doc_id bigint, ids binary, data binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, ids, data): encode_column() and decode_column() in one pass, so that a core keeps one Python worker."""
-    return docs.select("doc_id", "text").mapInArrow(_encode(ranks_path, True), "doc_id bigint, ids binary, data binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(_encode(ranks_path, True)), "doc_id bigint, ids binary, data binary")
 
 
 def tokenizer_file(name: str) -> str:

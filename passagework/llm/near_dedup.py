@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm.arrays import SLICE_BYTES, mixed, owners, slices, span_hashes, words
+from passagework.llm.arrays import SLICE_BYTES, lean, mixed, owners, slices, span_hashes, words
 from passagework.llm.graph import components
 from passagework.llm.shared import BROADCAST_ROWS, attach, one_each, own_ids, settled, table, text_digest, without
 
@@ -93,7 +93,7 @@ def _signed(n_words: int) -> Callable:
 
 def signed(docs: DataFrame, n_words: int) -> DataFrame:
     """(doc_id, n_shingles, digest of the set, signature) of every row."""
-    return docs.select("doc_id", "text").mapInArrow(_signed(n_words), "doc_id bigint, n_shingles bigint, digest binary, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(_signed(n_words)), "doc_id bigint, n_shingles bigint, digest binary, signature binary")
 
 
 def _marks(column: pa.Array) -> np.ndarray:
@@ -114,7 +114,7 @@ def value_counts(classes: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    found = classes.select("signature").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = classes.select("signature").mapInArrow(lean(run), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(BUCKETS, np.int64)
     total[found["bucket"].to_numpy("int64")] = found["n"].to_numpy("int64")
     return total
@@ -141,7 +141,7 @@ def postings(classes: DataFrame, counts: np.ndarray) -> DataFrame:
                 ["key", "rep", "common", "b0", "b1"],
             )
 
-    return classes.select("rep", "signature").mapInArrow(run, "key bigint, rep bigint, common bigint, b0 bigint, b1 bigint")
+    return classes.select("rep", "signature").mapInArrow(lean(run), "key bigint, rep bigint, common bigint, b0 bigint, b1 bigint")
 
 
 def _alike(a: str, b: str):
@@ -180,7 +180,7 @@ def colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The settled pairs (a, b) with at least MATCHES equal coordinates, settled."""
     marks = classes.select("rep", "signature")
     both = pairs.join(marks.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(marks.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
-    return settled(both.select("a", "b", "sa", "sb").mapInArrow(_colliding, "a bigint, b bigint"))
+    return settled(both.select("a", "b", "sa", "sb").mapInArrow(lean(_colliding), "a bigint, b bigint"))
 
 
 def _full_sets(ids: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
@@ -188,14 +188,14 @@ def _full_sets(ids: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
     asked = settled(ids.distinct())
     few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = docs.select("doc_id", "text").join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", "text")
-    return settled(texts.mapInArrow(_sets(n_words), "rep bigint, shingles binary"))
+    return settled(texts.mapInArrow(lean(_sets(n_words)), "rep bigint, shingles binary"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
     """(a, b) of the settled pairs that are similar on their full sets, settled."""
     sets = _full_sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, n_words)
     full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb")), "b")
-    return settled(full.select("a", "b", "xa", "xb").mapInArrow(_confirmed, "a bigint, b bigint").distinct())
+    return settled(full.select("a", "b", "xa", "xb").mapInArrow(lean(_confirmed), "a bigint, b bigint").distinct())
 
 
 def _stars(shared: DataFrame) -> DataFrame:

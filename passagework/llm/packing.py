@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm.arrays import slices
+from passagework.llm.arrays import lean, slices
 from passagework.llm.bpe import PATTERN, binaries, read_ranks, tokenizer_file
 from passagework.llm.shared import table
 
@@ -209,7 +209,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits =
                 )
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm.arrays import Words, mixed, owners, slices, span_hashes, words
+from passagework.llm.arrays import Words, lean, mixed, owners, slices, span_hashes, words
 from passagework.llm.shared import table
 
 #: Labelled rows that the model is trained on at most, chosen by a hash of doc_id; the bound keeps training in one small task.
@@ -119,8 +119,8 @@ def train(sample: DataFrame) -> tuple[np.ndarray, float]:
         weights, bias = follow_leader([r[1:] for r in rows])
         yield pa.record_batch([pa.array([weights.tobytes()]), pa.array([bias])], ["weights", "bias"])
 
-    rows = sample.select("doc_id", "text", "label").mapInArrow(sparse, "doc_id bigint, label int, bucket array<int>, value array<float>")
-    model = rows.repartition(1).mapInArrow(fit, "weights binary, bias double").first()
+    rows = sample.select("doc_id", "text", "label").mapInArrow(lean(sparse), "doc_id bigint, label int, bucket array<int>, value array<float>")
+    model = rows.repartition(1).mapInArrow(lean(fit), "weights binary, bias double").first()
     if model is None:
         return np.zeros(BUCKETS, np.float32), 0.0
     return np.frombuffer(model["weights"], np.float32), model["bias"]
@@ -138,7 +138,7 @@ def score_column(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array(scores(batch.column(1), shared.value, bias))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, score double")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm.arrays import Words, owners, slices, span_hashes, words
+from passagework.llm.arrays import Words, lean, owners, slices, span_hashes, words
 from passagework.llm.quality import held_out, labelled_sample
 from passagework.llm.shared import settled, table
 
@@ -100,7 +100,7 @@ def learn(sample: DataFrame) -> Model:
         at = np.flatnonzero(kept[0] + kept[1])
         yield pa.record_batch([pa.array(x) for x in (at, kept[1][at], kept[0][at], near[at])], ["bucket", "bad", "good", "near"])
 
-    found = sample.select("doc_id", "text", "label").mapInArrow(counts, "bucket bigint, bad bigint, good bigint, near bigint")
+    found = sample.select("doc_id", "text", "label").mapInArrow(lean(counts), "bucket bigint, bad bigint, good bigint, near bigint")
     found = found.groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.bit_count(F.bit_or("near")).alias("near"))
     # what reaches the driver is bounded by the number of buckets
     counted = found.toPandas()
@@ -180,7 +180,7 @@ def calibrated(sample: DataFrame, model: Model) -> Model:
         for batch in batches:
             yield pa.record_batch([pa.array(judged(batch.column(0), model)[0]), batch.column(1)], ["strength", "label"])
 
-    rows = sample.select("text", "label").mapInArrow(run, "strength double, label int").toPandas()
+    rows = sample.select("text", "label").mapInArrow(lean(run), "strength double, label int").toPandas()
     if rows["label"].nunique() < 2:
         return model
     x, y = np.log1p(rows["strength"].to_numpy()), rows["label"].to_numpy("float64")
@@ -208,7 +208,7 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
             spans = pa.array([[{"first_word": s, "end_word": e, "score": x} for s, e, x in p] for p in passages], kind)
             yield pa.record_batch([batch.column(0), pa.array(score), spans], ["doc_id", "score", "passages"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, passages array<struct<first_word bigint, end_word bigint, score double>>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, score double, passages array<struct<first_word bigint, end_word bigint, score double>>")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.llm.arrays import lean
 from passagework.llm.shared import BROADCAST_ROWS, attach, settled, shared_folder, table
 
 #: Bytes of records after which a frame, and of frames after which a bundle, is closed. A record is never split.
@@ -163,7 +164,7 @@ def write(pages: DataFrame, path: str) -> None:
     met = rows.join(F.broadcast(told) if few else told, ["page_id", "digest"], "left")
     schema = "bundle string, data binary, records array<struct<page_id bigint, frame int, offset bigint>>"
     stored = F.when(F.col("refers_to").isNull(), _payload()).alias("payload")
-    met.select("page_id", "url", stored, "digest", "size", "refers_to", "shared").mapInArrow(_bundles, schema).write.parquet(path)
+    met.select("page_id", "url", stored, "digest", "size", "refers_to", "shared").mapInArrow(lean(_bundles), schema).write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the bundles at path, each frame decompressed alone and every stored payload checked."""
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, content binary"
-    return spark.read.parquet(path).select("data").mapInArrow(_read, schema)
+    return spark.read.parquet(path).select("data").mapInArrow(lean(_read), schema)
 
 
 def fetch(spark: SparkSession, path: str, page_ids: DataFrame) -> DataFrame:
@@ -214,7 +215,7 @@ def fetch(spark: SparkSession, path: str, page_ids: DataFrame) -> DataFrame:
     asked = page_ids.select(F.col("page_id").alias("_asked")).distinct()
     index = bundles.select("bundle", F.inline("records")).join(asked, F.col("page_id").eqNullSafe(F.col("_asked")))
     wanted = index.groupBy("bundle").agg(F.collect_list(F.struct("page_id", "frame", "offset")).alias("wanted"))
-    return bundles.select("bundle", "data").join(wanted, "bundle").select("data", "wanted").mapInArrow(run, "page_id bigint, content binary")
+    return bundles.select("bundle", "data").join(wanted, "bundle").select("data", "wanted").mapInArrow(lean(run), "page_id bigint, content binary")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
