@@ -11,9 +11,9 @@ from passagework.functions import records
 RAW_KINDS = ("chat-raw", "source", "meeting")
 RESERVED = ("index.md", "log.md")
 INBOX = "+"
-#: Files that a collection ships with (fixed values).
+#: Files that a collection ships with (fixed values), and the folders of its tools; any hidden folder at the top is one.
 SYSTEM_NAMES = ("AGENTS.md", "AGENTS.override.md", "CLAUDE.md", "claude.md", "LLM-GUIDE.md", "VAULT-RULES.md", "SETUP-GUIDE.md", "Home.md")
-SYSTEM_FOLDERS = r"^(?:x|tools|\.carry)/"
+SYSTEM_FOLDERS = r"^(?:x|tools|\.[^/]+)/"
 
 
 def field(front: Column, name: str) -> Column:

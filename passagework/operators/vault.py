@@ -66,7 +66,7 @@ def approvals(notes: DataFrame) -> DataFrame:
 
 
 def conformance(notes: DataFrame) -> DataFrame:
-    """One row of counts over notes (path, front): how many carry what the format asks for, and what is left of older spellings."""
+    """One row of counts over notes (path, front): how many have what the format asks for, and what is left of older spellings."""
     front = F.col("front")
     has = lambda name: F.coalesce(fm.field(front, name), F.lit("")) != ""
     concept = ~fm.is_reserved(F.col("path"), front)
