@@ -8,16 +8,24 @@ order's steps. Documents only enter as counts of their failure masks.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.functions.text import once
+from passagework.llm.arrays import lean
 from passagework.llm.shared import attach, settled, table
 
-WORD_GAP = r"[\x20\x09-\x0D]+"
 FILTERS = "ABCDE"
+CAPITALS, SIGNS, CONTINUED = bytes(range(65, 91)), b"#$%&*|", bytes(range(0x80, 0xC0))
+#: Bytes of a text whose words are held at a time.
+PART_BYTES = 1 << 20
+
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def lattice(n: int) -> list[tuple[int, int, int]]:
@@ -35,24 +43,34 @@ def lattice(n: int) -> list[tuple[int, int, int]]:
     return [(s, i, reaching[s] * leaving[s | 1 << i]) for s in range(full + 1) for i in range(n) if not s >> i & 1]
 
 
-def _words_and_distinct(text: Column) -> Column:
-    words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
-    return once(words, lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("kinds")))
+def failed(text: bytes) -> int:
+    """The bits of the filters A to D that a text fails; words are split in parts, so that no list holds all words of a long text."""
+    n, kinds, at = 0, set(), 0
+    while at < len(text):
+        end = len(text)
+        if end - at > PART_BYTES and (gap := _GAP.search(text, at + PART_BYTES)):
+            end = gap.start()
+        found = text[at:end].split()  # bytes are split at the six blanks of ASCII only
+        n += len(found)
+        kinds.update(found)
+        at = end
+    capitals = len(text) - len(text.translate(None, CAPITALS))
+    points = len(text.translate(None, CONTINUED))
+    signs = len(text) - len(text.translate(None, SIGNS))
+    return (n < 50) | (100 * len(kinds) < 65 * n) << 1 | (100 * capitals > 5 * points) << 2 | (signs > 0) << 3
+
+
+def _failures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = (x.as_py() or b"" for x in batch.column(2).cast(pa.large_binary()))
+        found = [(failed(text), hashlib.sha256(text).digest()) for text in texts]
+        yield pa.record_batch([*batch.columns[:2], pa.array([m for m, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["doc_id", "part", "mask", "digest"])
 
 
 def failures(docs: DataFrame) -> DataFrame:
     """(doc_id, part, mask, digest) of every row: the bits of the filters A to D that its text fails, and the text's SHA-256."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text.alias("text"))
-    counted = rows.select("doc_id", "part", "text", _words_and_distinct(F.col("text")).alias("w"))
-    checks = (
-        F.col("w.n") < 50,
-        100 * F.col("w.kinds") < 65 * F.col("w.n"),
-        100 * F.length(F.regexp_replace("text", "[^A-Z]+", "")).cast("long") > 5 * F.length("text").cast("long"),
-        F.col("text").rlike(r"[#$%&*|]"),
-    )
-    mask = sum((F.when(check, 1 << i).otherwise(0) for i, check in enumerate(checks)), F.lit(0))
-    return counted.select("doc_id", "part", mask.alias("mask"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), "text")
+    return rows.mapInArrow(lean(_failures), "doc_id bigint, part string, mask int, digest binary")
 
 
 def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -81,3 +81,10 @@ def test_empty_tables(spark, tables):
     assert op.audit(docs.limit(0), labels).count() == 0
     none = op.audit(docs, spark.createDataFrame([], LABELS))
     assert none.agg(F.sum(F.col("good_lost") + F.col("toxic_lost"))).first()[0] == 0
+
+
+def test_long_texts_go_in_parts(monkeypatch):
+    texts = ["a b\x0bc\x1cd " * 20 + " ".join(f"w{i}" for i in range(40)), "É # " * 3, "", "ABC"]
+    whole = [op.failed(t.encode()) for t in texts]
+    monkeypatch.setattr(op, "PART_BYTES", 5)
+    assert [op.failed(t.encode()) for t in texts] == whole == [0b0010, 0b1011, 0b0001, 0b0101]

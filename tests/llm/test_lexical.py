@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,10 +50,9 @@ def answered(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("limits", [{}, {"BLOCK_ITEMS": 5, "CELLS": 16, "PART_BYTES": 1000}])
-def test_against_all_pairs(spark, documents, pairs, limits, monkeypatch):
-    for name, value in limits.items():
-        monkeypatch.setattr(op, name, value)
+@pytest.mark.parametrize("block", [2000, 5])
+def test_against_all_pairs(spark, documents, pairs, block, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_ITEMS", block)
     docs, items = pairs
     table = documents(*docs).withColumn("n", F.lit("clash")).withColumn("score", F.lit(0))
     assert answered(op.search(table, spark.createDataFrame([(*i, "clash") for i in items], ITEMS + ", rank string"))) == plain(docs, items)
@@ -75,3 +75,23 @@ def test_empty_tables(spark, documents):
     assert op.search(documents((1, "a")).limit(0), items).count() == 0
     assert op.search(documents((1, "a")), items.limit(0)).count() == 0
     assert answered(op.search(documents((1, "a"), (2, "b")), items)) == plain([(1, "a"), (2, "b")], [(1, "a")])
+
+
+def test_long_texts_and_lists_go_in_parts(monkeypatch):
+    monkeypatch.setattr(op, "PART_BYTES", 7)
+    text = "Ab-cdefghijklmnop é,qR  s" * 3
+    assert [t.decode() for part in op.term_lists(text.encode()) for t in part] == terms(text)
+    widths = np.array([3, 0, 9, 1, 1, 1, 20, 2])
+    runs = list(op._runs(np.cumsum(widths), 4))
+    assert [i for a, b in runs for i in range(a, b)] == list(range(8))
+    assert all(b - a == 1 or widths[a:b].sum() <= 4 for a, b in runs)
+
+
+def test_heaps_hold_the_best():
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), i, rng.randrange(1, 9)) for i in range(300)]
+    heaps = op.Heaps(3, 4)
+    for at in range(0, 300, 50):
+        heaps.add(*(np.array(c) for c in zip(*rows[at : at + 50], strict=True)))
+    want = [r for i in range(3) for r in sorted((x for x in rows if x[0] == i), key=lambda r: (-r[2], r[1]))[:4]]
+    assert list(zip(heaps.item.tolist(), heaps.doc.tolist(), heaps.score.tolist(), strict=True)) == want
