@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm.arrays import Words, lean, mixed, owners, slices, span_hashes, words
-from passagework.llm.shared import table
+from passagework.llm.shared import one_text_each, table
 
 #: Labelled rows that the model is trained on at most, chosen by a hash of doc_id; the bound keeps training in one small task.
 TRAINING_ROWS = 8192
@@ -83,12 +83,12 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int =
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """(doc_id, text, label) of at most `rows` labelled documents that may be learned from, by order of a hash.
 
-    Rows whose crc32(doc_id) leaves 1 modulo 3 are held out. Of repeated labels the smallest holds. The sample is
-    bounded, so it is broadcast and the texts stay where they are.
+    Rows whose crc32(doc_id) leaves 1 modulo 3 are held out. Of repeated labels the smallest holds, of repeated
+    documents one. The ids are bounded, so they are broadcast and the other texts stay where they are.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     usable = usable.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")
+    return one_text_each(docs, usable)
 
 
 def held_out():
@@ -96,7 +96,10 @@ def held_out():
 
 
 def train(sample: DataFrame) -> tuple[np.ndarray, float]:
-    """Fit on the bounded sample: executors make the sparse rows, one small task follows the leader over them."""
+    """Fit on the bounded sample: executors make the sparse rows, one small task follows the leader over them.
+
+    A row has BUCKETS values at most, however long its text. Null and empty texts teach the bias alone; without rows all weights are zero.
+    """
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm.shared import settled, table
+from passagework.llm.shared import one_text_each, settled, table
 
 #: Labelled rows that rules are learned from at most, chosen by a hash of doc_id.
 TRAINING_ROWS = 20_000
@@ -187,10 +187,10 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, junk and STATISTICS of a bounded sample of labelled documents; rows that fail the base teach nothing."""
+    """doc_id, junk and STATISTICS of at most TRAINING_ROWS labelled documents, one row an id; rows that fail the base teach nothing."""
     usable = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
-    found = statistics(docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id"))
+    found = statistics(one_text_each(docs, usable))
     return settled(found.where(~base_failed()).select("row.doc_id", (F.col("row.quality") == 0).cast("int").alias("junk"), *STATISTICS))
 
 
@@ -205,7 +205,10 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows that the rules reject."""
+    """docs, all columns, without the rows that the rules reject.
+
+    Null and empty texts fail the base and go; repeated rows stay or go alike; an empty table stays empty.
+    """
     return judged(docs, labels).where("kept").select("row.*")
 
 

@@ -82,16 +82,27 @@ def text_digest() -> Column:
 def one_each(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """Rows of docs by the decision on their doc_id and text: decided is settled and has doc_id, digest and kept, a row for each row of docs.
 
-    Rows that aren't kept go; of repeated ones that are, the least row by all columns stays. Ids may be null or repeated.
+    Rows that aren't kept go; of repeated ones that are, the one whose JSON form is least stays. Ids may be null or
+    repeated. Rows travel as one struct, so columns of any name and type, maps too, stay as they are.
     """
-    counted = decided.groupBy("doc_id", "digest").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("n"))
-    marked = settled(counted.where("not _kept or n > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_kept"))
+    counted = decided.groupBy(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = settled(counted.where("not stays or n > 1").drop("n"))
     few = marked.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
-    rows = docs.withColumn("_own", text_digest())
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("own") == F.col("of_digest"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), text_digest().alias("own"))
     met = rows.join(F.broadcast(marked) if few else marked, same, "left")
-    repeated = met.where("_kept").groupBy("doc_id", "_own").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return met.where("_kept is null").select(*docs.columns).unionByName(repeated)
+    repeated = met.where("stays").groupBy("id", "own").agg(F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row"))
+    return met.where("stays is null").select("row.*").unionByName(repeated.select("row.*"))
+
+
+def one_text_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text, the columns of ids) for a bounded number of ids (doc_id, not repeated): the text of each, so no more rows than ids.
+
+    The ids are broadcast, so other texts stay where they are. Of several texts of an id the one with the least SHA-256 counts; null text is empty.
+    """
+    text = F.coalesce("text", F.lit(""))
+    met = docs.select("doc_id", F.struct(F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text")).alias("t")).join(F.broadcast(ids), "doc_id")
+    return met.groupBy(*ids.columns).agg(F.min("t").alias("t")).select("doc_id", F.col("t.text").alias("text"), *(c for c in ids.columns if c != "doc_id"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

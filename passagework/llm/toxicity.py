@@ -195,7 +195,8 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, passages) of every whole text.
 
     passages are the significant segments as word ranges with their scores. Null and empty texts have none and get
-    the lowest score; repeated rows are judged alike; further columns are ignored.
+    the lowest score; repeated rows are judged alike; further columns are ignored; an empty table gives no rows. Tokens that
+    aren't toxic count one cost each, model.decay, whatever their own log-odds: those of ordinary words are noise.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("score", pa.float64())]))

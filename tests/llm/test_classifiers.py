@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from passagework.llm import arrays, quality, toxicity
+from passagework.llm import arrays, quality, rules, toxicity
 
 
 def corpus(spark, documents, n=900):
@@ -201,3 +201,18 @@ def test_repeated_and_missing_ids_and_clashing_names(spark, documents, folder, q
     rows = query(spark, folder(documents=clash, labels=labels)).collect()
     assert len(rows) == 65 and sum(r["doc_id"] == 3 for r in rows) == 3 and sum(r["doc_id"] is None for r in rows) == 1
     assert all(r["held_out"] is False for r in rows if r["doc_id"] is None)
+
+
+def test_the_bound_of_the_sample_holds_for_repeated_rows(spark, documents):
+    docs = documents(*[(i % 3, f"text {i}") for i in range(50)], (7, None), (None, "x"))
+    labels = spark.createDataFrame([(i, 1) for i in (0, 1, 2, 7)] + [(0, 0), (None, 1)], "doc_id bigint, toxic int")
+    got = quality.labelled_sample(docs, labels, "toxic", 2).collect()
+    assert 0 < len(got) <= 2 and len({r["doc_id"] for r in got}) == len(got)
+    assert {(r["doc_id"], r["text"], r["label"]) for r in quality.labelled_sample(docs, labels, "toxic", 99).collect() if r["doc_id"] == 7} <= {(7, "", 1)}
+
+
+def test_the_bound_of_the_rules_holds_for_repeated_rows(spark, documents, monkeypatch):
+    monkeypatch.setattr(rules, "TRAINING_ROWS", 2)
+    docs = documents(*[(i % 3, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(50)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id bigint, quality int")
+    assert rules.labelled_statistics(docs, labels).count() == 2

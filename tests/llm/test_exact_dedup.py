@@ -1,9 +1,11 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from passagework.llm import exact_dedup as op
+from passagework.llm.near_dedup import drop_near_copies
 
 
 def test_perfect_hash_is_minimal_and_checked():
@@ -49,3 +51,19 @@ def test_digests_may_share_beginnings():
     keys = [b"same 8 b" + hashlib.sha256(str(i).encode()).digest()[:24] for i in range(500)]
     slots = op._slots(op._matrix(keys), op.perfect_hash(op._matrix(keys)))
     assert sorted(slots) == list(range(500))
+
+
+@pytest.mark.parametrize("drop", [op.drop_copies, drop_near_copies])
+def test_clashing_columns_and_maps_stay_as_they_are(documents, drop):
+    docs = documents((1, "a b c d e f"), (1, "only one here"), (1, "only one here"), (2, "A b c d e f"), (None, "A b c d e f"), (None, "none of them"), (3, None), (3, None))
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in ("_kept", "_own", "_digest", "_id", "kept", "own", "digest", "id", "row", "stays", "_number", "n", "of_id")})
+    docs = docs.withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id")))
+    got = drop(docs)
+    assert got.columns == docs.columns
+    rows = [r.asDict() for r in got.collect()]
+    assert all(r[c] == f"own {c}" for r in rows for c in ("_kept", "_own", "_digest", "_id", "row", "stays"))
+    assert all(r["tags"] == {"k": r["doc_id"]} for r in rows)
+    kept = sorted(((r["doc_id"], r["text"]) for r in rows), key=str)
+    empty = [(3, None)] if drop is op.drop_copies else [(3, None), (3, None)]
+    copies = [(2, "A b c d e f")] if drop is op.drop_copies else [(1, "a b c d e f"), (None, "A b c d e f")]
+    assert kept == sorted([(1, "only one here"), *copies, (None, "none of them"), *empty], key=str)
