@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagework.queries import compare, composed, lifecycle, records, search, vault, work
+from passagework.queries import compare, composed, lifecycle, records, search, stewardship, vault, work
 
-_MODULES = (search, records, composed, lifecycle, vault, work, compare)
+_MODULES = (search, records, composed, lifecycle, vault, work, compare, stewardship)
 
 
 def queries() -> dict:
