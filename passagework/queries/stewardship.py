@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.operators import intake, lifecycle
+from passagework.sources import notes
 from passagework.sources.tables import table
 from passagework.streaming.harvest import TooLong, harvested
 
@@ -93,7 +94,16 @@ def proposal_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.proposals(*_requests(spark, d)).select("request_id", "event_key", "outcome", "revision")
 
 
-QUERIES = {f.__name__: f for f in (harvest_marks, intake_states, capture_status, record_catalog, proposal_outcomes)}
+def front_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Documents held as literal block scalars in front matter, between values with comments behind quotes; read back whole."""
+    header = F.when(F.col("doc_id") % 2 == 0, "m: |2-").otherwise("m: |2 # whole")
+    text = F.concat(F.lit("---\nowner: 'it''s ann' # said so\n"), header, F.lit("\n  "), F.replace("text", F.lit("\n"), F.lit("\n  ")), F.lit('\nafter: "x # y"  # end\n---\nbody'))
+    front = notes.parsed(table(spark, d, "documents").where("text is not null").select("doc_id", text.alias("content")))
+    get = lambda p: F.get_json_object("front", p)
+    return front.select("doc_id", get("$.owner").alias("owner"), F.md5(get("$.m")).alias("m_md5"), get("$.after").alias("after"), "body")
+
+
+QUERIES = {f.__name__: f for f in (harvest_marks, intake_states, capture_status, record_catalog, proposal_outcomes, front_scalars)}
 _RECEIPTS = """raw as (select lpad(conv_id::varchar, 9, '0') || '-' || lpad(turn::varchar, 5, '0') || '-' || role as name, text, role, conv_id, turn // 4 as native, conv_id % 13 as k,
   ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST', 'MARS', 'AFRICA', 'MIDDLE EAST'][conv_id % 8 + 1] as client from conversations where text is not null),
 judged as (select *, case client when 'MARS' then 'not_configured' when 'ASIA' then 'paused' when 'AMERICA' then 'opt_in_required' when 'EUROPE' then 'unsupported_version' else
@@ -103,6 +113,8 @@ firsts as (select client, conv_id, native, arg_min(prompt, name) as prompt, min(
 receipts as (select j.client, j.name, case when s <> 'captured' then s when j.name = f.name then s when j.prompt = f.prompt then 'duplicate' else 'event_identity_conflict' end as state
   from judged j left join firsts f using (client, conv_id, native))"""
 SQL = {
+    "front_scalars": r"""with t as (select doc_id, regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '(\n *)+$', '') as t from documents where text is not null)
+select doc_id, 'it''s ann' as owner, md5(case when trim(t, ' ') = '' then '' when doc_id % 2 = 0 then t else t || chr(10) end) as m_md5, 'x # y' as after, 'body' as body from t""",
     "harvest_marks": """with u as (select * from conversations where role = 'user' and text is not null), l as (select conv_id, max(turn) as last from u group by 1),
 g as (select conv_id, count(*) as n, max(turn) as upto, count(*) filter (length(text) > 100) as items, bool_or(length(text) > 380) as bad from u join l using (conv_id) where turn > conv_id % 3 - 1 and turn < last group by 1 having count(*) >= 2)
 select conv_id::varchar as thread, case when n is null then 'empty' when bad then 'pending' else 'done' end as status, case when not bad then upto else conv_id % 3 - 1 end::bigint as done,

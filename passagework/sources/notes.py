@@ -30,7 +30,8 @@ class _Flow:
         try:
             value = self.value("")
             self.blanks()
-            if self.at == len(self.text):
+            comment = self.text[self.at - 1 : self.at].isspace() and self.text[self.at : self.at + 1] == "#"
+            if self.at == len(self.text) or comment:
                 return value
         except (ValueError, IndexError):
             pass
@@ -114,14 +115,58 @@ def scalar(raw: str):
 _KEY = re.compile(r"([A-Za-z0-9_.\-]+)\s*:(?:\s+(.*)|\s*)$")
 
 
+_HEADER = re.compile(r"([|>])(?:([1-9])([-+])?|([-+])([1-9])?)?(?:\s+#.*)?$")
+
+
+def block_scalar(header: re.Match, lines: list[str], parent: int) -> str:
+    """The text of a literal (|) or folded (>) block scalar from its lines, below a key indented by `parent`.
+
+    Its indentation is the digit's or its first line's; lines that are indented further keep what they have more. Folding makes one line of
+    lines of text, except around those further ones; blank lines stay line ends. The end has one line end, none (-) or all (+).
+    """
+    fold, digit, chomp = header[1] == ">", header[2] or header[5], header[3] or header[4]
+    own = parent + int(digit) if digit else next((len(x) - len(x.lstrip(" ")) for x in lines if x.strip()), 0)
+    rows = [x[own:] if len(x) > own else "" for x in lines]
+    while rows and not rows[-1].strip(" "):
+        rows.pop()
+    text = ""
+    for i, row in enumerate(rows):
+        before = rows[i - 1] if i else None
+        if before is None:
+            text = row
+        elif not fold or row[:1] in (" ", "\t") or before[:1] in (" ", "\t"):
+            text += "\n" + row
+        elif not row:
+            text += "\n"
+        else:
+            # a line end is a blank, unless blank lines stand for it
+            text += row if not before and text.endswith("\n") and any(rows[:i]) else "\n" + row if not before else " " + row
+    if chomp == "-":
+        return text
+    return text + "\n" * (len(lines) - len(rows) + (1 if rows else 0)) if chomp == "+" else text + "\n" if rows else text
+
+
 class _Block:
-    """Reads maps and lists by indentation; a line that is neither is left out, and all others stay."""
+    """Reads maps, lists and block scalars by indentation; a line that is none is left out, and all others stay."""
 
     def __init__(self, text: str) -> None:
-        lines = [(len(x) - len(x.lstrip()), x.strip()) for x in text.split("\n")]
+        self.raw = text.removesuffix("\n").split("\n")
+        lines = [(len(x) - len(x.lstrip()), x.strip(), n) for n, x in enumerate(self.raw)]
         self.lines = [x for x in lines if x[1] and not x[1].startswith("#")]
         self.at = 0
 
+    def scalar(self, raw: str, indent: int, number: int):
+        """The value behind a key or dash on line `number`; a block scalar takes the lines below that are indented more."""
+        header = _HEADER.fullmatch(raw)
+        if header is None:
+            return scalar(raw)
+        end = number + 1
+        while end < len(self.raw) and (not self.raw[end].strip() or len(self.raw[end]) - len(self.raw[end].lstrip(" ")) > indent):
+            end += 1
+        while self.at < len(self.lines) and self.lines[self.at][2] < end:
+            self.at += 1
+        return block_scalar(header, self.raw[number + 1 : end], indent)
+
     def _dash(self) -> bool:
         return self.lines[self.at][1] == "-" or self.lines[self.at][1].startswith("- ")
 
@@ -140,22 +185,22 @@ class _Block:
                     break
                 self.at += 1
                 continue
-            own, text = self.lines[self.at]
+            own, text, number = self.lines[self.at]
             content = text[1:].strip()
             if content[:1] not in ("'", '"', "[", "{") and _KEY.fullmatch(content):
                 # the item is a map whose first pair stands behind the dash
                 inner = own + len(text) - len(text[1:].lstrip())
-                self.lines[self.at] = (inner, content)
+                self.lines[self.at] = (inner, content, number)
                 found.append(self.pairs(inner))
             else:
                 self.at += 1
-                found.append(scalar(content) if content else self.block(own + 1))
+                found.append(self.scalar(content, own, number) if content else self.block(own + 1))
         return found
 
     def pairs(self, indent: int) -> dict:
         found: dict = {}
         while self.at < len(self.lines) and self.lines[self.at][0] >= indent:
-            own, text = self.lines[self.at]
+            own, text, number = self.lines[self.at]
             if self._dash() and own == indent and found:
                 break
             m = _KEY.fullmatch(text) if own == indent else None
@@ -163,7 +208,7 @@ class _Block:
             if m is None:
                 continue
             if m[2]:
-                found[m[1]] = scalar(m[2])
+                found[m[1]] = self.scalar(m[2], own, number)
             elif self.at < len(self.lines) and self._dash() and self.lines[self.at][0] >= own:
                 found[m[1]] = self.items(self.lines[self.at][0])
             else:

@@ -327,3 +327,16 @@ def test_cards(spark):
     others = spark.createDataFrame([("note", 1, "see /c/c2"), ("chat", 2, "about #7"), ("chat", 3, "about #8")], "origin string, id int, text string")
     got = {(r["code"], tuple(r["badges"])) for r in review.merged_cards(cards, others).collect()}
     assert got == {("c1", ("card", "chat")), ("c2", ("card", "note")), ("c3", ("card",)), (None, ("chat",))}
+
+
+def test_block_scalars_and_comments_behind_quotes():
+    front, body = notes.front_matter(
+        "---\nm: |\n  one\n   two: x\n\n  # no comment\n  - three\n\nf: >-  # folded\n  a\n  b\n\n  c\n    d\n  e\nk: |+\n  x\n\n\nn: 'x' # c\nq: \"a # b\"   # c\nl: [1, '#2'] # d\nh: 'a'b # e\n"
+        "items:\n  - |-\n    p\n    q\n  - key: >\n      r\n      s\n    more: t\n  - u\nd: |2\n    two more\n  base\nempty: |\nlast: 'it''s' #\n---\nbody")
+    assert front == {
+        "m": "one\n two: x\n\n# no comment\n- three\n", "f": "a b\nc\n  d\ne", "k": "x\n\n\n", "n": "x", "q": "a # b", "l": [1, "#2"], "h": "'a'b # e", "items": ["p\nq", {"key": "r s\n", "more": "t"}, "u"],
+        "d": "  two more\nbase\n", "empty": "", "last": "it's"}
+    assert body == "body"
+    assert notes.front_matter("---\nt: >\n  a\n\n\n  b\n  c\n---\n")[0] == {"t": "a\n\nb c\n"}
+    assert notes.front_matter("---\nt: >\n\n  a\n---\n")[0] == {"t": "\na\n"}
+    assert notes.front_matter("---\nt: |-\n  end\n---\n")[0] == {"t": "end"}
