@@ -140,14 +140,20 @@ def html_link_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, d: str) -> DataFrame:
-    """Every link target is a place; the places that the most pages name, and all ending alike, are resolved to one."""
+    """(page_id, href) of every link of the pages."""
     return links.html_links(table(spark, d, "pages"), "page_id", "html")
 
 
 def link_resolve(spark: SparkSession, d: str) -> DataFrame:
-    found = _paths(spark, d)
-    targets = table(spark, d, "pages").select(F.concat(F.lit("/"), F.regexp_extract("url", r"([a-z]+)\.example", 1)).alias("path")).distinct()
-    return links.resolved(found.select("page_id", F.lower("href").alias("href")).distinct(), targets).select("page_id", "href", "target")
+    """Pages as notes in a folder of their site and language, with links by path, to a sibling, by the end of a path, by name and upwards."""
+    k = F.expr("page_id div 2").cast("string")
+    folder = F.concat_ws("/", F.regexp_extract("url", r"//([^/]+)/", 1), F.regexp_extract("url", r"//[^/]+/([a-z]+)/", 1))
+    p = table(spark, d, "pages").select("page_id", folder.alias("folder"), F.col("page_id").cast("string").alias("id"), k.alias("k"))
+    text = F.concat(*(F.lit(x) if x != "k" else F.col("k") for x in ("see [[all/page-", "k", ".md]], [[part#intro|its part]], [[", "k", "/part]], [[", "k", "]], [up](../", "k", ".md) and [[nowhere/", "k", "]]")))
+    written = p.select("page_id", F.concat("folder", F.lit("/"), "id", F.lit("/index.md")).alias("path"), text.alias("text"))
+    paths = F.array(F.concat(F.lit("all/page-"), "id", F.lit(".md")), *(F.concat("folder", F.lit("/"), "id", F.lit(end)) for end in (".md", "/index.md", "/part.md")))
+    found = links.resolved(links.note_links(written, "path", "text"), p.select(F.explode(paths).alias("path")), "path")
+    return found.join(written.select("page_id", "path"), "path").select("page_id", "href", "target")
 
 
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
@@ -318,9 +324,13 @@ t as (select item_id, i, substr(string_agg(s, ' ' order by n), 1, 1500) as about
 l as (select item_id, x.i, substr(coalesce(user_text, ''), 1, 400) as owner, coalesce(about, '') as assistant from items join x on x.conv_id = items.conv_id and x.i > exchange left join t using (item_id, i)),
 r as (select *, length(owner) + length(assistant) as size, sum(length(owner) + length(assistant)) over (partition by item_id order by i desc rows unbounded preceding)::bigint as running from l) select * from r where running <= 12000""",
     "html_link_targets": f"with {_HREF} select page_id, href, count(*) as n from links group by all",
-    "link_resolve": rf"""with {_HREF}, t as (select distinct '/' || regexp_extract(url, '([a-z]+)\.example', 1) as path from pages), u as (select distinct page_id, lower(href) as href from links)
-select page_id, href, coalesce(e.path, n.path) as target from u left join t e on e.path = href
-left join (select string_split(path, '/')[-1] as name, min(path) as path from t group by 1) n on n.name = string_split(href, '/')[-1] where coalesce(e.path, n.path) is not null""",
+    "link_resolve": r"""with p as (select page_id, regexp_extract(url, '//([^/]+)/', 1) || '/' || regexp_extract(url, '//[^/]+/([a-z]+)/', 1) as folder, page_id // 2 as k from pages),
+o as (select p.page_id, p.folder, p.k, t.folder as there from p join p t on t.page_id = p.k)
+select page_id, 'all/page-' || k || '.md' as href, 'all/page-' || k || '.md' as target from o union all
+select page_id, 'part', folder || '/' || page_id || '/part.md' from p union all
+select page_id, k || '/part', there || '/' || k || '/part.md' from o union all
+select page_id, k::varchar, there || '/' || k || '.md' from o union all
+select page_id, folder || '/' || k || '.md', folder || '/' || k || '.md' from o where folder = there""",
     "backlinks": f"with {_HREF} select href, count(distinct page_id) as n_pages, min(page_id) as first_page, least(count(distinct page_id), 200)::int as listed from links group by 1",
     "undirected_edge_weights": f"with {_SITES} select * from edges",
     "degree": f"with {_SITES} select node, count(*) as degree from (select a as node from edges union all select b from edges) group by 1",
