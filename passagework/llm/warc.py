@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from passagework.llm.arrays import lean
 from passagework.llm.shared import BROADCAST_ROWS, attach, settled, shared_folder, table
+from passagework.sources.intake import opened
 
 #: Bytes of records after which a frame, and of frames after which a bundle, is closed. A record is never split.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 8 << 20
@@ -108,7 +109,7 @@ def firsts(hashed: DataFrame) -> DataFrame:
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows to bundles: bytes of a bundle with its seek table, and where each record lies."""
     pack, part, count = zstandard.ZstdCompressor(level=6), TaskContext.get().partitionId(), 0
-    kind = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64())]))
+    kind = pa.list_(pa.struct([("record_id", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.binary()), ("frame", pa.int32()), ("offset", pa.int64())]))
     frames, sizes, index, frame, held = [], [], [], [], 0
 
     def close_frame() -> None:
@@ -134,7 +135,7 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page, url, data, digest, size, refers, shared = (batch.column(i)[row].as_py() for i in range(7))
             place = f"{part}-{count}-{len(index)}" if shared or page is None else ""
             one = record(page, url or "", data or b"", digest.hex(), size, refers, place)
-            index.append({"page_id": page, "frame": len(frames), "offset": held})
+            index.append({"record_id": record_id(page, digest.hex(), place), "page_id": page, "refers_to": refers, "digest": digest, "frame": len(frames), "offset": held})
             frame.append(one)
             held += len(one)
             if held >= FRAME_BYTES:
@@ -149,7 +150,8 @@ def write(pages: DataFrame, path: str) -> None:
     """Write a record for every row of pages (page_id, url, html) into bundles at path.
 
     path is a Parquet table of (bundle, data, records), since only Spark's writers reach every store: data is a
-    whole .warc.zst file, records its index of page_id, frame and offset within the decompressed frame. Of equal
+    whole .warc.zst file, records its index from record ids to frame and offset within the decompressed frame, with the
+    record's page, digest and the page that it refers to; export() makes files of it. Of equal
     payloads of at least LEAST_SHARED bytes the smallest page_id is a response and the others revisit it; rows
     without a page_id, and repeated rows of the first one, are responses. Every record has an id of its own; a revisit
     names that of its response unless the response's row is repeated, and its page in any case. Null html is an empty
@@ -162,7 +164,7 @@ def write(pages: DataFrame, path: str) -> None:
     few = told.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
     rows = pages.select("page_id", "url", "html", F.unhex(F.sha2(_payload(), 256)).alias("digest"), F.octet_length(_payload()).cast("long").alias("size"))
     met = rows.join(F.broadcast(told) if few else told, ["page_id", "digest"], "left")
-    schema = "bundle string, data binary, records array<struct<page_id bigint, frame int, offset bigint>>"
+    schema = "bundle string, data binary, records array<struct<record_id string, page_id bigint, refers_to bigint, digest binary, frame int, offset bigint>>"
     stored = F.when(F.col("refers_to").isNull(), _payload()).alias("payload")
     met.select("page_id", "url", stored, "digest", "size", "refers_to", "shared").mapInArrow(lean(_bundles), schema).write.parquet(path)
 
@@ -187,35 +189,73 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the bundles at path, each frame decompressed alone and every stored payload checked."""
+    """Every record of the bundles at path, each frame decompressed alone and every stored payload checked.
+
+    A revisit has no content of its own here; fetch() follows it. A table without bundles gives no rows.
+    """
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, content binary"
     return spark.read.parquet(path).select("data").mapInArrow(lean(_read), schema)
 
 
-def fetch(spark: SparkSession, path: str, page_ids: DataFrame) -> DataFrame:
-    """(page_id, content) of the records of page_ids (page_id, null for those without one): only their frames are decompressed, by the index."""
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bundle the wanted frames are decompressed, one after the other."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            name, bundle, wanted = (batch.column(c)[i].as_py() for c in range(3))
+            table_ = read_seek_table(bundle)
+            for f in sorted({w["frame"] for w in wanted}):
+                at, packed, size = table_[f]
+                data = unpack.decompress(bundle[at : at + packed], max_output_size=size)
+                offsets = [w["offset"] for w in wanted if w["frame"] == f]
+                found = [parse(data, o)[1] for o in offsets]
+                yield pa.record_batch(
+                    [pa.array([name] * len(found)), pa.array([f] * len(found), pa.int32()), pa.array(offsets, pa.int64()), pa.array(found, pa.binary())], ["bundle", "frame", "offset", "content"])
+
+
+def fetch(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """(record_id, page_id, content) of the records that ids name by record_id, or by page_id if it has no such column (null: those without one).
+
+    Only their frames are decompressed, by the index. A revisit has the payload of the response that it refers to; a
+    payload that many revisits share is decompressed once. Repeated ids count once; ids that no record has, empty ids
+    and a table without bundles give no rows.
+    """
+    key = "record_id" if "record_id" in ids.columns else "page_id"
+    bundles = spark.read.parquet(path)
+    index = bundles.select("bundle", F.inline("records"))
+    asked = index.join(ids.select(F.col(key).alias("_asked")).distinct(), F.col(key).eqNullSafe(F.col("_asked"))).drop("_asked")
+    asked = settled(asked)
+    place = F.struct("bundle", "frame", "offset")
+    named = asked.where("refers_to is not null").select(F.col("refers_to").alias("page_id"), "digest").distinct()
+    first = index.where("refers_to is null").join(named, ["page_id", "digest"]).groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.min(place).alias("place"))
+    revisits = asked.where("refers_to is not null").select("record_id", "page_id", "refers_to", "digest").join(first, ["refers_to", "digest"])
+    placed = asked.where("refers_to is null").select("record_id", "page_id", place.alias("place")).unionByName(revisits.select("record_id", "page_id", "place")).select("record_id", "page_id", "place.*")
+    wanted = placed.select("bundle", "frame", "offset").distinct().groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset")).alias("wanted"))
+    found = bundles.select("bundle", "data").join(wanted, "bundle").select("bundle", "data", "wanted").mapInArrow(lean(_contents), "bundle string, frame int, offset bigint, content binary")
+    return placed.join(found, ["bundle", "frame", "offset"]).select("record_id", "page_id", "content")
+
+
+def export(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Write every bundle of the table as a file <bundle> in folder, a store that pyarrow opens by its address; returns (bundle, bytes), settled.
+
+    A file gets its name when it is whole, so a task that is run again leaves the same files. An empty table writes none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        store, base = opened(folder)
         for batch in batches:
-            found: tuple[list, list] = ([], [])
-            for i in range(batch.num_rows):
-                bundle, wanted = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                table_ = read_seek_table(bundle)
-                for f in sorted({w["frame"] for w in wanted}):
-                    at, packed, size = table_[f]
-                    data = unpack.decompress(bundle[at : at + packed], max_output_size=size)
-                    for w in wanted:
-                        if w["frame"] == f:
-                            found[0].append(w["page_id"])
-                            found[1].append(parse(data, w["offset"])[1])
-            yield pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.binary())], ["page_id", "content"])
-
-    bundles = spark.read.parquet(path)
-    asked = page_ids.select(F.col("page_id").alias("_asked")).distinct()
-    index = bundles.select("bundle", F.inline("records")).join(asked, F.col("page_id").eqNullSafe(F.col("_asked")))
-    wanted = index.groupBy("bundle").agg(F.collect_list(F.struct("page_id", "frame", "offset")).alias("wanted"))
-    return bundles.select("bundle", "data").join(wanted, "bundle").select("data", "wanted").mapInArrow(lean(run), "page_id bigint, content binary")
+            names, sizes = batch.column(0).to_pylist(), []
+            for i, name in enumerate(names):
+                draft = f"{base}/.{name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(draft, compression=None) as f:
+                    f.write(data := batch.column(1)[i].as_buffer())
+                store.move(draft, f"{base}/{name}")
+                sizes.append(data.size)
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["bundle", "bytes"])
+
+    store, base = opened(folder)
+    store.create_dir(base, recursive=True)
+    return settled(spark.read.parquet(path).select("bundle", "data").mapInArrow(run, "bundle string, bytes bigint"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def test_bundles_are_standard_and_seekable(spark, tmp_path):
         frames = warc.read_seek_table(bytes(row["data"]))
         assert len(whole) == sum(f[2] for f in frames) and whole.count(b"WARC/1.1\r\nWARC-Type") == len(row["records"])
     got = {r["page_id"]: bytes(r["content"]) for r in warc.fetch(spark, path, spark.createDataFrame([(2,), (9,), (6,)], "page_id long")).collect()}
-    assert got[9] == b"" and got[6] == b"y" * 400_000 and got[2].endswith("é</html>".encode())
+    assert got[9] == got[2] and got[6] == b"y" * 400_000 and got[2].endswith("é</html>".encode())
     assert all(r["payload_digest"] == hashlib.sha256(bytes(r["content"])).hexdigest() for r in warc.read(spark, path).where("record_type = 'response'").collect())
 
 
@@ -184,6 +184,39 @@ def test_every_record_has_an_id_of_its_own(spark, tmp_path):
     assert sorted(bytes(r["content"])[:1] for r in warc.fetch(spark, path, asked).collect()) == [b"a", b"a", b"b", b"b", b"c"]
 
 
+def test_fetch_follows_revisits_by_record_and_by_page(spark, tmp_path):
+    rows = [(4, "u", "d" * 200), (4, "u", "d" * 200), (5, "u", "d" * 200), (6, "v", "d" * 200), (5, "u", "e"), (7, "w", None), (None, "u", "d" * 200)]
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    ids = lambda kind, *values: spark.createDataFrame([(v,) for v in values], kind)
+    by_page = warc.fetch(spark, path, ids("page_id long", 5, 6, 6, 7, 99)).collect()
+    assert sorted((r["page_id"], bytes(r["content"])) for r in by_page) == [(5, b"d" * 200), (5, b"e"), (6, b"d" * 200), (7, b"")]
+    every = [r["record_id"] for r in spark.read.parquet(path).select(F.inline("records")).collect()]
+    assert len(set(every)) == len(rows)
+    by_record = warc.fetch(spark, path, ids("record_id string", *every)).collect()
+    assert sorted((r["record_id"], len(r["content"])) for r in by_record) == sorted((r["record_id"], len(r["content"])) for r in warc.fetch(spark, path, ids("page_id long", 4, 5, 6, 7, None)).collect())
+    assert sorted(len(r["content"]) for r in by_record) == [0, 1, 200, 200, 200, 200, 200]
+    assert warc.fetch(spark, path, ids("page_id long", 1)).count() == 0
+
+
+def test_exported_bundles_are_read_by_the_plain_format(spark, tmp_path):
+    import io
+
+    import zstandard
+
+    path, folder = str(tmp_path / "w"), str(tmp_path / "files")
+    warc.write(pages(spark).repartition(2), path)
+    told = {r["bundle"]: r["bytes"] for r in warc.export(spark, path, folder).collect()}
+    assert told == {f.name: f.stat().st_size for f in (tmp_path / "files").iterdir()}
+    found = []
+    for file in (tmp_path / "files").iterdir():
+        data, at = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(file.read_bytes()), read_across_frames=True).read(), 0
+        while at < len(data):
+            head, content, at = warc.parse(data, at)
+            found.append((head["Page-Id"], content))
+    assert sorted(found) == sorted((str(r["page_id"]), bytes(r["content"])) for r in warc.read(spark, path).collect())
+
+
 def test_pipeline_keeps_unlike_rows_of_one_id(spark, documents, folder):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(4)
