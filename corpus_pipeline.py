@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from passagework.llm.bpe import tokenizer_file
 from passagework.llm.exact_dedup import drop_copies
 from passagework.llm.near_dedup import drop_near_copies
-from passagework.llm.packing import digest, pack
+from passagework.llm.packing import digest, pack, refilled
 from passagework.llm.rules import keep_good
 from passagework.llm.secrets import mask_secrets
 from passagework.llm.shared import settled, table
@@ -35,7 +35,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents with their places in the training sequences."""
-    return digest(pack(docs, tokenizer_file("byte_bpe_50k.json")))
+    return refilled(settled(digest(pack(docs, tokenizer_file("byte_bpe_50k.json")))))
 
 
 STAGES = [

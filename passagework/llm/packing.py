@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 
 from passagework.llm.arrays import lean, slices
 from passagework.llm.bpe import PATTERN, binaries, read_ranks, tokenizer_file
-from passagework.llm.shared import table
+from passagework.llm.shared import BROADCAST_ROWS, settled, table
 
 #: Characters after which a long text is encoded in parts, so that its ids are never a list of Python's as a whole.
 PART_CHARS = 1 << 18
+#: Sequences that lack a larger share of their tokens than one in TAIL_SHARE are packed anew, so many in a group.
+TAIL_SHARE, GROUP_SEQUENCES = 256, 4096
 
 _BREAK = re.compile(r"(?<=[A-Za-z0-9])(?= )")
 
@@ -212,6 +215,37 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits =
     return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
+def refilled(pieces: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The settled pieces with those of ill-filled sequences packed anew together, as each task of pack() leaves some at its end.
+
+    Sequences that lack more than 1/TAIL_SHARE of their tokens are taken apart; their pieces, as rows of lengths alone,
+    are dealt to groups of about GROUP_SEQUENCES sequences, and each group is packed longest first. Sequences packed anew
+    have negative numbers. All columns stay; pieces are told apart by sequence_id and offset; an empty table stays empty.
+    """
+    size = F.col("length")
+    filled = pieces.groupBy("sequence_id").agg(F.sum(size).alias("tokens"))
+    tails = settled(filled.where(F.col("tokens") * TAIL_SHARE < limits.tokens * (TAIL_SHARE - 1)))
+    n, tokens = tails.agg(F.count(F.lit(1)), F.sum("tokens")).first()
+    if n < 2:
+        return pieces
+    groups = max(1, round(tokens / (limits.tokens * GROUP_SEQUENCES)))
+    few = n <= BROADCAST_ROWS
+    loose = pieces.select("sequence_id", "offset", "length").join(F.broadcast(tails.select("sequence_id")) if few else tails.select("sequence_id"), "sequence_id")
+
+    def again(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["sequence_id", "offset"], ignore_index=True)
+        sequence, offset = BestFit(limits).place(group["length"].to_numpy("int64"))
+        number = -1 - (sequence + (int(group["group"].iat[0]) << 40))
+        return pd.DataFrame({"sequence_id": group["sequence_id"], "offset": group["offset"], "new_sequence": number, "new_offset": offset})
+
+    dealt = loose.withColumn("group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).cast("int"))
+    moved = settled(dealt.groupBy("group").applyInPandas(again, "sequence_id bigint, offset bigint, new_sequence bigint, new_offset bigint"))
+    few = moved.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
+    met = pieces.join(F.broadcast(moved) if few else moved, ["sequence_id", "offset"], "left")
+    new = {"sequence_id": F.coalesce("new_sequence", "sequence_id"), "offset": F.coalesce("new_offset", "offset")}
+    return met.select(*(new.get(c, F.col(c)).alias(c) for c in pieces.columns))
+
+
 def sequences(pieces: DataFrame) -> DataFrame:
     """Packed pieces by sequence: sequence_id, its ids in order, and its documents."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids", "doc_id")))
@@ -225,4 +259,4 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    return digest(pack(table(spark, sf_dir, "documents"), tokenizer_path or tokenizer_file("byte_bpe_50k.json")))
+    return refilled(settled(digest(pack(table(spark, sf_dir, "documents"), tokenizer_path or tokenizer_file("byte_bpe_50k.json")))))

@@ -181,3 +181,28 @@ def test_sequences_join_their_pieces(spark, documents):
     pieces = packing.pack(documents((1, "a b c"), (2, "d e")), bpe.tokenizer_file("byte_bpe_50k.json"))
     got = packing.sequences(pieces).collect()
     assert sum(len(r["ids"]) for r in got) == 4 * sum(r["length"] for r in pieces.collect())
+
+
+def test_tails_of_many_tasks_are_packed_anew(spark):
+    r = np.random.default_rng(3)
+    rows, limits = [], packing.Limits(tokens=100, documents=6, attention=6000)
+    for task in range(60):  # each task leaves sequences of its own half empty
+        bins, lengths = packing.BestFit(limits), r.integers(1, 70, 25)
+        rows += [(task * 100 + i, int(n), (task << 40) + int(s), int(o), f"kept {i}") for i, (n, s, o) in enumerate(zip(lengths, *bins.place(lengths), strict=True))]
+    pieces = spark.createDataFrame(rows, "doc_id long, length long, sequence_id long, offset long, more string")
+    got = packing.refilled(pieces, limits)
+    assert got.columns == pieces.columns
+    after = got.collect()
+    assert sorted((x["doc_id"], x["length"], x["more"]) for x in after) == sorted((x[0], x[1], x[4]) for x in rows)
+    sequences = {}
+    for x in after:
+        sequences.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == np.cumsum([0] + [n for _, n in parts])[:-1].tolist()
+        assert sum(n for _, n in parts) <= 100 and len(parts) <= 6 and sum(n * n for _, n in parts) <= 6000
+    least = max(-(-sum(x[1] for x in rows) // 100), -(-sum(x[1] ** 2 for x in rows) // 6000))
+    before = len({x[2] for x in rows})
+    assert len(sequences) < before and len(sequences) <= least * 1.02
+    assert packing.refilled(pieces.limit(0), limits).count() == 0
+    assert packing.refilled(pieces.limit(1), limits).count() == 1
