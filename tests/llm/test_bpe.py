@@ -202,8 +202,8 @@ def test_tails_of_many_tasks_are_packed_anew(spark):
         parts.sort()
         assert [o for o, _ in parts] == np.cumsum([0] + [n for _, n in parts])[:-1].tolist()
         assert sum(n for _, n in parts) <= 100 and len(parts) <= 6 and sum(n * n for _, n in parts) <= 6000
-    least = max(-(-sum(x[1] for x in rows) // 100), -(-sum(x[1] ** 2 for x in rows) // 6000))
+    together = packing.BestFit(limits).place(np.array([x[1] for x in rows]))[0].max() + 1  # all pieces in one task
     before = len({x[2] for x in rows})
-    assert len(sequences) < before and len(sequences) <= least * 1.02
+    assert len(sequences) < before and len(sequences) <= together * 1.01
     assert packing.refilled(pieces.limit(0), limits).count() == 0
     assert packing.refilled(pieces.limit(1), limits).count() == 1
