@@ -64,8 +64,10 @@ def proposals(records: DataFrame, requests: DataFrame) -> DataFrame:
         "current", F.col("revision").alias("revision"), "state", digest("content").alias("digest"))).alias("found"))
     # a target without a source must be the only one of its id in any
     anywhere = found.groupBy("target_id").agg(F.sum("same").alias("n"), F.max(F.struct("found", "found_source")).alias("any"))
-    within = found.select("target_id", F.col("found_source").alias("target_source"), F.col("same").alias("n_in"), F.struct("found", "found_source").alias("in_source"))
-    met = asked.join(first, "event_key").join(of_event, "event_key", "left").join(anywhere, "target_id", "left").join(within, ["target_id", "target_source"], "left")
+    within = found.select(F.col("target_id").alias("_key"), F.col("found_source").alias("target_source"), F.col("same").alias("n_in"), F.struct("found", "found_source").alias("in_source"))
+    # requests without a target are spread over all tasks by a key that no record has
+    keyed = asked.withColumn("_key", _spread("target_id", "request_id"))
+    met = keyed.join(first, "event_key").join(of_event, "event_key", "left").join(anywhere.withColumnRenamed("target_id", "_key"), "_key", "left").join(within, ["_key", "target_source"], "left")
     named = F.col("target_source").isNotNull()
     n, target = F.coalesce(F.when(named, F.col("n_in")).otherwise(F.col("n")), F.lit(0)), F.when(named, F.col("in_source")).otherwise(F.col("any"))
     t, has = F.col("t.found"), F.col("target_id").isNotNull()
@@ -97,9 +99,14 @@ def proposed(answered: DataFrame) -> DataFrame:
         none.alias("superseded_by"))
 
 
+def _spread(key: str, row: str) -> Column:
+    """A join key that is `key`, and where that is null one of the row's own that nothing has: nulls of an outer join would all meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.col(row).cast("string")))
+
+
 def _targets(records: DataFrame) -> DataFrame:
     return records.select(
-        F.col("record_id").alias("target_id"), F.col("source_id").alias("target_source"), F.col("revision").alias("now_revision"), F.col("state").alias("now_state"), F.col("current").alias("now_current"),
+        F.col("record_id").alias("_key"), F.col("source_id").alias("target_source"), F.col("revision").alias("now_revision"), F.col("state").alias("now_state"), F.col("current").alias("now_current"),
         digest("content").alias("now_digest"), F.col("content").alias("old_content"))
 
 
@@ -117,7 +124,7 @@ def token() -> Column:
 def reviews(records: DataFrame) -> DataFrame:
     """(record_id, revision, title, token, conflict, diff) of every current draft: the diff is against its target, or against nothing."""
     drafts = records.where("state = 'draft' and current")
-    met = drafts.join(_targets(records), ["target_id", "target_source"], "left").select("record_id", "revision", "title", "content", token().alias("token"), _conflict().alias("conflict"), "old_content")
+    met = drafts.withColumn("_key", _spread("target_id", "record_id")).join(_targets(records), ["_key", "target_source"], "left").select("record_id", "revision", "title", "content", token().alias("token"), _conflict().alias("conflict"), "old_content")
     texts = ledger.diffs(met, "record_id", "old_content", "content")
     return met.drop("content", "old_content").join(texts, "record_id")
 
@@ -131,7 +138,7 @@ def finished(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataF
     revision above its target's, and the target is superseded by it.
     """
     asked = decisions.groupBy("record_id").agg(F.count_distinct(F.struct("expected_revision", "token", "state")).alias("kinds"), F.min(F.struct("expected_revision", "token", "state", "reviewer")).alias("d"))
-    met = asked.join(records, "record_id", "left").join(_targets(records), ["target_id", "target_source"], "left")
+    met = asked.join(records, "record_id", "left").withColumn("_key", _spread("target_id", "record_id")).join(_targets(records), ["_key", "target_source"], "left")
     accept = F.col("d.state") == "accepted"
     outcome = (
         F.when(F.col("kinds") > 1, "contradictory").when(F.col("revision").isNull(), "not_found").when(~F.col("d.state").isin("accepted", "rejected"), "invalid_state")

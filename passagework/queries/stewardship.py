@@ -74,18 +74,17 @@ def record_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(orders as records, a third of them drafts of events; their line items as requests for these events, some to correct another order)."""
-    key = F.col("o_orderkey")
-    state = F.when(F.col("o_orderstatus") == "O", "draft").when(F.col("o_orderstatus") == "F", "accepted").otherwise("imported")
-    content = F.concat_ws(" ", "o_orderpriority", "o_custkey")
-    records = table(spark, d, "orders").select(
-        key.cast("string").alias("record_id"), F.lit("s").alias("source_id"), (key % 3 + 1).cast("int").alias("revision"), state.alias("state"), (key % 11 != 0).alias("current"), content.alias("content"),
-        F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("e"), key)).alias("event_key"), F.lit(None).cast("string").alias("request_hash"))
-    correcting = F.col("l_returnflag") == "R"
-    requests = table(spark, d, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("request_id"), F.concat(F.lit("e"), F.col("l_orderkey")).alias("event_key"), F.when(F.col("l_suppkey") % 17 == 0, "other").otherwise("s").alias("source_id"),
-        F.col("l_linestatus").alias("title"), F.concat_ws(" ", F.col("l_partkey") % 4, "l_returnflag").alias("content"), F.when(correcting, F.col("l_suppkey").cast("string")).alias("target_id"), F.lit(None).cast("string").alias("target_source"),
-        F.when(correcting, F.col("l_suppkey") % 3 + F.when(F.col("l_linenumber") == 3, 2).otherwise(1)).cast("int").alias("expected_revision"), F.col("l_linenumber").cast("int").alias("expected_proposal_revision"))
+    """(documents as records, half of them drafts of events; the turns of conversations as requests for these events, answers to correct another document)."""
+    key, conv, turn = F.col("doc_id"), F.col("conv_id"), F.col("turn")
+    k = key % 4
+    records = table(spark, d, "documents").select(
+        key.cast("string").alias("record_id"), F.lit("s").alias("source_id"), (key % 3 + 1).cast("int").alias("revision"), F.when(k < 2, "draft").when(k == 2, "accepted").otherwise("imported").alias("state"),
+        (key % 11 != 0).alias("current"), F.coalesce("text", F.lit("")).alias("content"), F.when(k < 2, F.concat(F.lit("e"), key)).alias("event_key"), F.lit(None).cast("string").alias("request_hash"))
+    correcting, target = F.col("role") == "assistant", conv * 3 + turn
+    requests = table(spark, d, "conversations").select(
+        F.concat_ws("-", F.lpad(conv.cast("string"), 9, "0"), F.lpad(turn.cast("string"), 5, "0"), "role").alias("request_id"), F.concat(F.lit("e"), conv).alias("event_key"),
+        F.when(conv % 17 == 0, "other").otherwise("s").alias("source_id"), F.col("role").alias("title"), F.concat(F.lit("part "), turn % 3).alias("content"), F.when(correcting, target.cast("string")).alias("target_id"),
+        F.lit(None).cast("string").alias("target_source"), F.when(correcting, target % 3 + F.when(turn % 5 == 4, 2).otherwise(1)).cast("int").alias("expected_revision"), (turn % 3 + 1).cast("int").alias("expected_proposal_revision"))
     return records, requests
 
 
@@ -133,9 +132,10 @@ every as (select * from known union all select null, path, digest, 'imported' fr
 claims as (select 'r' || doc_id as record_id, count(*) as n, min('c' || doc_id) as claim from labels where toxic = 1 group by 1)
 select record_id, 'notes' as source_id, path, digest, presence, case when n = 1 then 'corrected' when n > 1 then 'conflict' else 'accepted' end as state, case when n = 1 then claim end as superseded_by, coalesce(n, 0) <> 1 as current
 from every left join claims using (record_id)""",
-    "proposal_outcomes": """with rec as (select o_orderkey as id, o_orderkey % 3 + 1 as revision, case o_orderstatus when 'O' then 'draft' when 'F' then 'accepted' else 'imported' end as state, o_orderkey % 11 <> 0 as current from orders),
-req as (select l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') as request_id, l_orderkey as event, l_suppkey % 17 = 0 as other, case when l_returnflag = 'R' then l_suppkey end as target, l_suppkey % 3 + case when l_linenumber = 3 then 2 else 1 end as expected,
-  l_linenumber as own, (l_partkey % 4) || ' ' || l_returnflag || '|' || l_linestatus || '|' || case when l_returnflag = 'R' then l_suppkey || '|' || (l_suppkey % 3 + case when l_linenumber = 3 then 2 else 1 end) else '' end as asks from lineitem),
+    "proposal_outcomes": """with rec as (select doc_id as id, doc_id % 3 + 1 as revision, case doc_id % 4 when 2 then 'accepted' when 3 then 'imported' else 'draft' end as state, doc_id % 11 <> 0 as current from documents),
+asked as (select *, lpad(conv_id::varchar, 9, '0') || '-' || lpad(turn::varchar, 5, '0') || '-' || role as request_id, case when role = 'assistant' then conv_id * 3 + turn end as target from conversations),
+req as (select request_id, conv_id as event, conv_id % 17 = 0 as other, target, target % 3 + case when turn % 5 = 4 then 2 else 1 end as expected, turn % 3 + 1 as own,
+  turn % 3 || '|' || role || '|' || coalesce(target || '|' || (turn % 5 = 4), '') as asks from asked),
 met as (select r.*, first_value(request_id) over w as f, first_value(asks) over w as fa, e.revision as drev, e.state is not null as has_draft, e.current as dcurrent, e.id as did, t.revision as trev, t.state as tstate, t.current as tcurrent, t.id as tid
   from req r left join rec e on e.id = event and e.state = 'draft' left join rec t on t.id = target window w as (partition by event order by request_id))
 select request_id, 'e' || event as event_key, case when has_draft and other then 'event_of_another_source' when f <> request_id and fa = asks then 'duplicate' when has_draft and not dcurrent then 'proposal_already_reviewed'
