@@ -71,8 +71,9 @@ def identified(receipts: DataFrame) -> DataFrame:
     Firsts are found by a partial aggregate, so an event that is delivered very often meets in no one task but as its first.
     """
     taken = F.col("state") == "captured"
-    first = receipts.where(taken).groupBy("event_id").agg(F.min(F.struct("name", "digest")).alias("first"))
-    met = receipts.join(first, "event_id", "left")
+    first = receipts.where(taken).groupBy(F.col("event_id").alias("_key")).agg(F.min(F.struct("name", "digest")).alias("first"))
+    # receipts without an event are spread over all tasks by a key that no event has
+    met = receipts.withColumn("_key", F.coalesce("event_id", F.concat(F.lit("\x00"), "name"))).join(first, "_key", "left")
     again = F.when(F.col("first.name") == F.col("name"), "captured").when(F.col("first.digest") == F.col("digest"), "duplicate").otherwise("event_identity_conflict")
     return met.withColumn("state", F.when(taken, again).otherwise(F.col("state"))).select(*receipts.columns)
 
