@@ -1,4 +1,4 @@
-"""A question to cited evidence: one lazy plan from notes to the budgeted rows."""
+"""A question to cited evidence, from notes to the budgeted rows."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions.text import citation, shortened
 from passagework.functions.timeframe import Timeframe, parse, passage_date, topic_words
-from passagework.operators import passages, ranking, vectors
+from passagework.operators import lexical, passages, ranking, vectors
 from passagework.operators.tables import written
 
 #: What a caller may ask for at most.
@@ -75,17 +75,16 @@ def candidates(index: DataFrame, questions: DataFrame, sources: list[str] | None
     passages that have a lexical hit as a second branch; they never add others.
     """
     asked = passages.query_terms(questions, "qid", "question", prefixes=True)
-    hits = passages.bm25(index.select("chunk_id", "text"), ["chunk_id"], "text", asked, "qid")
+    open_ = None
     if sources is not None or eligible is not None:
         open_ = scoped(index.select("chunk_id", "source_id", "path"), sources)
         open_ = open_ if eligible is None else open_.join(eligible.select("source_id", "path"), ["source_id", "path"], "left_semi")
-        hits = hits.join(open_.select("chunk_id"), "chunk_id", "left_semi")
-    lexical = ranking.top(hits, ["qid"], [F.desc("score"), F.asc("chunk_id")], branch)
-    branches = [lexical]
+    first = lexical.best(index, "chunk_id", "text", asked, "qid", branch, open_)
+    branches = [first]
     if dim:
-        v = vectors.hash_embedding(index.join(lexical.select("chunk_id").distinct(), "chunk_id").withColumn("chunk", F.xxhash64("chunk_id")), "chunk", "text", dim)
+        v = vectors.hash_embedding(index.join(first.select("chunk_id").distinct(), "chunk_id").withColumn("chunk", F.xxhash64("chunk_id")), "chunk", "text", dim)
         q = vectors.hash_embedding(questions.withColumn("q", F.xxhash64("qid")), "q", "question", dim)
-        pair = lexical.select("qid", "chunk_id", F.xxhash64("chunk_id").alias("chunk"), F.xxhash64("qid").alias("q"))
+        pair = first.select("qid", "chunk_id", F.xxhash64("chunk_id").alias("chunk"), F.xxhash64("qid").alias("q"))
         dot = F.aggregate(F.zip_with("x", "y", lambda a, b: (a * b).cast("double")), F.lit(0.0), lambda a, x: a + x)
         both = pair.join(v.withColumnRenamed("vector", "x"), "chunk").join(q.withColumnRenamed("vector", "y"), "q").select("qid", "chunk_id", F.round(dot, 10).alias("cosine")).where("cosine >= 0.01")
         branches.insert(0, ranking.top(both, ["qid"], [F.desc("cosine"), F.asc("chunk_id")], branch))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from passagework.functions.timeframe import parse
 from passagework.operators import review, topics, vectors
 from passagework.operators.passages import sections
+from passagework.operators.tables import written
 from passagework.plans import recall as plan
 from passagework.plans.recall import chunked, described, recall, servable
 from passagework.sources import notes
@@ -31,6 +32,11 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     ))
 
 
+def _saved(spark: SparkSession, d: str) -> DataFrame:
+    """The passages as a table, for plans that read them more than once."""
+    return written(_index(spark, d))
+
+
 def _files(spark: SparkSession, d: str) -> DataFrame:
     """The records of the notes: kinds, states and dates by the numbers of the documents."""
     i = F.col("doc_id")
@@ -54,13 +60,13 @@ def note_passages(spark: SparkSession, d: str) -> DataFrame:
 def recall_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Cited evidence for every question from the passages of all documents: the lexical branch with stems, servable files only, and their records."""
     files = _files(spark, d)
-    found = described(recall(_index(spark, d), _questions(spark, d), eligible=servable(files)), files)
+    found = described(recall(_saved(spark, d), _questions(spark, d), eligible=servable(files)), files)
     return found.select("qid", "place", "citation", "heading", F.md5("shown").alias("shown_md5"), "truncated", "state", "kind", F.col("date").cast("string").alias("date"))
 
 
 def recall_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """The same with hashed vectors as a second branch."""
-    found = recall(_index(spark, d), _questions(spark, d), dim=256)
+    found = recall(_saved(spark, d), _questions(spark, d), dim=256)
     return found.select("qid", "place", "citation", F.md5("shown").alias("shown_md5"), "truncated")
 
 
@@ -70,7 +76,7 @@ TODAY = dt.date(2025, 2, 12)
 def recall_in_time(spark: SparkSession, d: str) -> DataFrame:
     """The first question with "last week": passages of that week's documents first, then the others."""
     text = table(spark, d, "benchmark").orderBy("item_id").first()["text"]
-    found = plan.recall_in_time(_index(spark, d), _files(spark, d), text + " last week", TODAY)
+    found = plan.recall_in_time(_saved(spark, d), _files(spark, d), text + " last week", TODAY)
     return found.select("place", "citation", F.md5("shown").alias("shown_md5"), "truncated", "in_range")
 
 
@@ -83,13 +89,13 @@ def dated_listing(spark: SparkSession, d: str) -> DataFrame:
 
 def listing_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The same question answered within the budget, as a text for a reader."""
-    found = plan.recall_in_time(_index(spark, d), _files(spark, d), "what did we do last week", TODAY)
+    found = plan.recall_in_time(_saved(spark, d), _files(spark, d), "what did we do last week", TODAY)
     return found.select("place", "citation", "truncated", "in_range")
 
 
 def recall_text(spark: SparkSession, d: str) -> DataFrame:
     """The evidence of every question as one text, and how many notes it cites."""
-    found = recall(_index(spark, d), _questions(spark, d))
+    found = recall(_saved(spark, d), _questions(spark, d))
     cited = plan.sources_of(found).groupBy("qid").agg(F.count(F.lit(1)).alias("notes"))
     return plan.formatted(found).join(cited, "qid").select("qid", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars"), "notes")
 

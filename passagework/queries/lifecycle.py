@@ -20,7 +20,7 @@ gates.register("vowels", _share_of_vowels)
 
 def rerank_gate(spark: SparkSession, d: str) -> DataFrame:
     """The best documents of each question, reordered by a scorer and cut at its threshold."""
-    best = ranking.top(_bm25(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 20).select("item_id", "doc_id", "rank")
+    best = _bm25(spark, d, 20).select("item_id", "doc_id", "rank")
     rows = best.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumn("question", F.lit(""))
     scored = gates.scored(rows, "question", "text", gates.provider("vowels"))
     return gates.reranked(scored, "item_id", ["doc_id"], 0.1).select("item_id", "doc_id", "rank", F.round("gate_score", 6).alias("gate_score"))

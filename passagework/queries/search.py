@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.text import MASK, SECRETS, masked, mask_kinds, normalised, prefix_stem, tokens
-from passagework.operators import passages, ranking, vectors
+from passagework.operators import lexical, passages, ranking, vectors
 from passagework.sources.tables import table
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -49,9 +49,9 @@ words as (select distinct item_id, unnest(regexp_extract_all(lower(text), '{TOKE
 stems as (select distinct item_id, substr(term, 1, greatest(4, length(term) - 3)) as stem from words where length(term) >= 5)"""
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    asked = passages.query_terms(table(spark, d, "benchmark"), "item_id", "text")
-    return passages.bm25(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", asked, "item_id")
+def _bm25(spark: SparkSession, d: str, n: int, among: DataFrame | None = None, prefixes: bool = False) -> DataFrame:
+    asked = passages.query_terms(table(spark, d, "benchmark"), "item_id", "text", prefixes)
+    return lexical.best(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", asked, "item_id", n, among)
 
 
 def _shown(rows: DataFrame) -> DataFrame:
@@ -59,21 +59,18 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(ranking.top(_bm25(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 20))
+    return _shown(_bm25(spark, d, 20))
 
 
 def bm25_prefixes(spark: SparkSession, d: str) -> DataFrame:
     """The same, where words of five or more characters ask for their stems as well."""
-    asked = passages.query_terms(table(spark, d, "benchmark"), "item_id", "text", prefixes=True)
-    found = passages.bm25(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", asked, "item_id")
-    return _shown(ranking.top(found, ["item_id"], [F.desc("score"), F.asc("doc_id")], 20))
+    return _shown(_bm25(spark, d, 20, prefixes=True))
 
 
 def bm25_scoped_after_scoring(spark: SparkSession, d: str) -> DataFrame:
     """Statistics cover all documents; the scope, and then the limit, come after the scores."""
     scope = table(spark, d, "documents").where(F.col("source").isin("src1", "src2", "src3")).select("doc_id", "source")
-    scoped = _bm25(spark, d).join(scope, "doc_id")
-    return _shown(ranking.top(scoped, ["item_id"], [F.desc("score"), F.asc("doc_id")], 5))
+    return _shown(_bm25(spark, d, 5, scope).join(scope, "doc_id"))
 
 
 SQL_BM25 = f"""{SQL_TF},
@@ -126,12 +123,12 @@ def mean_vector_per_label(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Fuse the BM25 branch with a branch of rare shared words, per question."""
-    lexical = ranking.top(_bm25(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 20)
+    first = _bm25(spark, d, 20)
     asked = passages.query_terms(table(spark, d, "benchmark"), "item_id", "text")
     hits = passages.term_hits(table(spark, d, "documents").where("text is not null"), ["doc_id"], "text", asked)
     shared = hits.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     second = ranking.top(shared, ["item_id"], [F.desc("n"), F.asc("doc_id")], 20)
-    return ranking.fused([second, lexical], ["doc_id"], 18, "item_id").select("item_id", "doc_id", "rank", F.round("raw", 6).alias("rrf"))
+    return ranking.fused([second, first], ["doc_id"], 18, "item_id").select("item_id", "doc_id", "rank", F.round("raw", 6).alias("rrf"))
 
 
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +138,7 @@ def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
 def budget_select(spark: SparkSession, d: str) -> DataFrame:
     """Evidence for each question from its 18 best passages: 6 texts, 7000 characters, 2 a source."""
     docs = table(spark, d, "documents")
-    best = ranking.top(_bm25(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 18)
+    best = _bm25(spark, d, 18)
     rows = best.join(docs.select("doc_id", "source", "text"), "doc_id")
     return ranking.within_budget(rows, "item_id", "rank", "source", "text", 6, 7000, 2).select("item_id", "place", "source", F.md5("shown").alias("shown_md5"), "truncated")
 
@@ -161,7 +158,7 @@ def dedup_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 def pool_variants(spark: SparkSession, d: str) -> DataFrame:
     """Pool a question's own best documents with those of its last words; first seen wins, at most 32."""
-    own = ranking.top(_bm25(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 20).select("item_id", "doc_id", "rank", F.lit(0).alias("variant"))
+    own = _bm25(spark, d, 20).select("item_id", "doc_id", "rank", F.lit(0).alias("variant"))
     bench = table(spark, d, "benchmark")
     tail = bench.select("item_id", F.explode(F.slice(F.reverse(tokens(F.col("text"))), 1, 6)).alias("term")).distinct()
     found = passages.term_hits(table(spark, d, "documents").where("text is not null"), ["doc_id"], "text", tail)
@@ -198,7 +195,7 @@ def label_tfidf(spark: SparkSession, d: str) -> DataFrame:
 
 def line_idf_best_match(spark: SparkSession, d: str) -> DataFrame:
     """For each question the line of its best document whose words weigh most, a word weighing 1 / lines with it."""
-    best = ranking.top(_bm25(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 1).select("item_id", "doc_id")
+    best = _bm25(spark, d, 1).select("item_id", "doc_id")
     asked = best.join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
     found = passages.best_lines(asked, table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id", "question", "text")
     return found.select("item_id", "doc_id", "line", F.round("raw", 5).alias("score"))

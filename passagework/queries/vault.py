@@ -178,7 +178,7 @@ def topic_names(spark: SparkSession, d: str) -> DataFrame:
 def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The ten best documents of each question, and the question set: it expects those among them that hold its text."""
     docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    best = ranking.top(_bm25(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 10).join(docs.select("doc_id", "source", "text"), "doc_id").join(bench.select("item_id", F.col("text").alias("asked")), "item_id")
+    best = _bm25(spark, d, 10).join(docs.select("doc_id", "source", "text"), "doc_id").join(bench.select("item_id", F.col("text").alias("asked")), "item_id")
     evidence = best.select("item_id", F.col("item_id").cast("string").alias("qid"), F.col("rank").alias("place"), F.col("source").alias("source_id"), F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.when(F.col("doc_id") % 3 == 0, "chat-raw").otherwise("note").alias("kind"), F.col("text").alias("shown"), "asked")
     held = evidence.where(F.contains("shown", F.col("asked"))).groupBy("item_id").agg(F.collect_list(F.struct(F.lit("*").alias("source"), F.regexp_extract("path", r"([0-9]+)\.md$", 1).alias("name"))).alias("expected"))
     none = F.array().cast("array<struct<source:string,name:string>>")
