@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.text import normalised
@@ -28,7 +28,8 @@ def scored(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     path, kind and shown. rank is that of the first expected file among the files that the evidence names, each once.
     """
     asked = evidence.join(questions.select("qid", "question", "expected"), "qid")
-    files = ranking.top(ranking.top(asked, ["qid", "source_id", "path"], [F.asc("place")], 1, "_one"), ["qid"], [F.asc("place")], 10_000, "file")
+    once = ranking.top(asked, ["qid", "source_id", "path"], [F.asc("place")], 1, "_one")
+    files = once.withColumn("file", F.row_number().over(Window.partitionBy("qid").orderBy("place")))
     hit = matches(F.col("expected"), F.col("source_id"), F.col("path"))
     ranks = files.groupBy("qid").agg(F.min(F.when(hit, F.col("file"))).alias("rank"), F.count(F.lit(1)).alias("files"))
     echo = asked.groupBy("qid").agg(F.count_if(is_echo(F.col("kind"), F.col("path"), F.col("shown"), F.col("question"))).alias("echo"))

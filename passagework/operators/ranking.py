@@ -17,6 +17,26 @@ def top(rows: DataFrame, by: list[str], order: list[Column], n: int, rank: str =
     return rows.withColumn(rank, place).where(F.col(rank) <= n)
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """All rows with their place from 1 in their group, or in all if by is empty, by an order that ends in a key.
+
+    Rows are dealt out by ranges of group and order and written; each range counts on from those before it, so neither
+    a large group nor an order of all rows meets in one task. Null groups are a group; empty tables stay empty.
+    """
+    keys = [F.col(f"`{c}`") for c in by]
+    ranged = written(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_before > 0")
+    begins = begins.select(F.col("_range").alias("_r"), "_before", *(F.col(f"`{c}`").alias(f"_by{i}") for i, c in enumerate(by)))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & k.eqNullSafe(F.col(f"_by{i}"))
+    inside = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))
+    placed = ranged.withColumn("_inside", inside).join(begins, same, "left")
+    return placed.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("_inside") + F.coalesce("_before", F.lit(0))).alias(rank))
+
+
 def fused(branches: list[DataFrame], key: list[str], n: int, question: str, k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of ranked branches (question, key..., rank): the sum of 1 / (k + rank), best n.
 

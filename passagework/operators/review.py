@@ -14,7 +14,7 @@ def items(lines: DataFrame) -> DataFrame:
     `## name` opens a section, `- [mark] **tag** statement` is an item, and an indented `> quote` below belongs to it.
     """
     order = Window.partitionBy("path").orderBy("line")
-    mark = lines.withColumn("section", F.last(F.when(F.col("text").startswith("## "), F.trim(F.substring("text", 4, 1000))), ignorenulls=True).over(order))
+    mark = lines.withColumn("section", F.last(F.when(F.col("text").startswith("## "), F.trim(F.substring("text", F.lit(4), F.length("text")))), ignorenulls=True).over(order))
     is_item = F.col("text").rlike(r"^- \[.\] ")
     own = mark.withColumn("item_line", F.last(F.when(is_item, F.col("line")).when(F.col("text").startswith("## "), F.lit(-1)), ignorenulls=True).over(order))
     quote = F.when(F.col("text").rlike(r"^\s+> "), F.trim(F.regexp_replace("text", r"^\s+> ", "")))

@@ -51,7 +51,7 @@ def overview(listing: DataFrame, now: Column, days: int = 7) -> DataFrame:
 def folders(listing: DataFrame) -> DataFrame:
     """(source_id, folder, n, place): notes of each top folder, most first."""
     n = listing.where("not system").groupBy("source_id", top_folder(F.col("path")).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
-    return ranking.top(n, ["source_id"], [F.desc("n"), F.asc("folder")], 10_000, "place")
+    return ranking.numbered(n, ["source_id"], [F.desc("n"), F.asc("folder")], "place")
 
 
 def recent(listing: DataFrame, n: int = 12) -> DataFrame:

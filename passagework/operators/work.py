@@ -61,7 +61,7 @@ def board_counts(boards: DataFrame, cards: DataFrame, since: str | None = None)
     """(board_id, board, cards, place): boards with the number of their cards, zeros included, most first."""
     n = shown_cards(cards, [], since).groupBy("board_id").agg(F.count(F.lit(1)).alias("n"))
     rows = boards.join(n, "board_id", "left").select("board_id", "board", F.coalesce("n", F.lit(0)).cast("long").alias("cards"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("cards"), F.lower("board"), "board_id")))
+    return ranking.numbered(rows, [], [F.desc("cards"), F.lower("board").asc(), F.asc("board_id")], "place")
 
 
 def by_urgency(rows: DataFrame, by: list[str], key: list[str], place: str = "place") -> DataFrame:
@@ -102,7 +102,7 @@ def recaps_of_window(paths: DataFrame, today: str, days: int = 14) -> DataFrame:
     name = F.substring_index("path", "/", -1)
     day = F.when(name.rlike(r"^\d{4}-\d{2}-\d{2} — (?:session|harvest) .*\.md$"), F.try_to_date(F.substring(name, 1, 10), "yyyy-MM-dd"))
     rows = paths.where(F.startswith("path", F.lit("+/"))).withColumn("day", day).where(F.datediff(F.lit(today).cast("date"), F.col("day")) <= days)
-    return ranking.top(rows.withColumn("_all", F.lit(0)), ["_all"], [F.desc(F.substring_index("path", "/", -1))], 100_000, "place").drop("_all")
+    return ranking.numbered(rows, [], [F.desc(F.substring_index("path", "/", -1)), F.asc("path")], "place")
 
 
 def waiting_counts(items: DataFrame) -> DataFrame:

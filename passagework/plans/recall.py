@@ -167,7 +167,7 @@ def listing(rows: DataFrame) -> DataFrame:
     told = F.coalesce(F.col("heading").rlike(r"^\d{4}"), F.lit(False))
     best = ranking.top(without_raw_of_written_days(rows), ["source_id", "path"], [F.desc("day"), F.desc(told), F.desc(F.col("heading") == "summary"), F.asc("chunk_id")], 1, "_first")
     shown = best.withColumns({"truncated": F.length("text") > LISTED, "text": shortened(F.col("text"), LISTED)})
-    return ranking.top(shown.drop("_first").withColumn("_all", F.lit(0)), ["_all"], [F.desc("day"), F.desc("written"), F.desc("path"), F.desc("source_id")], 10_000).drop("_all", "written", "kind")
+    return ranking.numbered(shown.drop("_first"), [], [F.desc("day"), F.desc("written"), F.desc("path"), F.desc("source_id")]).drop("written", "kind")
 
 
 def about_topic(rows: DataFrame, residual: str) -> DataFrame:
@@ -229,4 +229,5 @@ def formatted(evidence: DataFrame) -> DataFrame:
 def sources_of(evidence: DataFrame) -> DataFrame:
     """(qid, source_id, path, title, citation): the cited notes of each question, each once, in the order of their first passage."""
     first = ranking.top(evidence, ["qid", "source_id", "path"], [F.asc("place")], 1, "_first")
-    return ranking.top(first.drop("_first"), ["qid"], [F.asc("place")], 10_000, "position").select("qid", "position", "source_id", "path", "title", "citation")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("place"))
+    return first.withColumn("position", place).select("qid", "position", "source_id", "path", "title", "citation")
