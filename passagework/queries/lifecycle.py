@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.functions.marker import marked, same_but_for_marker
 from passagework.operators import gates, ledger, ranking, threads
 from passagework.queries.search import _TOP, SQL_BM25, _bm25
 from passagework.sources.tables import table
@@ -66,8 +67,18 @@ def superseded_records(spark: SparkSession, d: str) -> DataFrame:
     return ledger.current(ledger.superseded(p, s)).select("record_id", "revision", "state", "content")
 
 
-QUERIES = {f.__name__: f for f in (rerank_gate, judge_gate, extracted_items, ledger_append, decisions_apply, superseded_records)}
+def marker_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as notes, every third with front matter, marked as replaced; every fifth is edited afterwards and no longer matches."""
+    i, record = F.col("doc_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string"))
+    raw = F.concat(F.when(i % 3 == 0, "---\ntitle: note\n---\n").otherwise(""), F.coalesce("text", F.lit("")))
+    rows = table(spark, d, "documents").select("doc_id", raw.alias("raw")).withColumn("marked", marked(F.col("raw"), record))
+    now = F.concat("marked", F.when(i % 5 == 0, "!").otherwise(""))
+    return rows.select("doc_id", F.md5("marked").alias("marked_md5"), same_but_for_marker(now, record, F.sha2(F.col("raw").cast("binary"), 256)).alias("same"))
+
+
+QUERIES = {f.__name__: f for f in (marker_digests, rerank_gate, judge_gate, extracted_items, ledger_append, decisions_apply, superseded_records)}
 SQL = {
+    "marker_digests": """select doc_id, md5('---' || chr(10) || case when doc_id % 3 = 0 then 'title: note' || chr(10) else '' end || 'superseded_by: r' || doc_id || chr(10) || '---' || chr(10) || coalesce(text, '')) as marked_md5, doc_id % 5 <> 0 as same from documents""",
     "extracted_items": r"""with recursive c as (select * from conversations where text is not null), s as (select conv_id, turn, text, length(text) + 24 as n, row_number() over (partition by conv_id order by turn) as r from c),
 p(conv_id, turn, text, r, used, part) as (select conv_id, turn, text, r, n, 0 from s where r = 1
  union all select s.conv_id, s.turn, s.text, s.r, case when used + n <= 4000 then used + n else n end, case when used + n <= 4000 then part else part + 1 end from p join s on s.conv_id = p.conv_id and s.r = p.r + 1),
