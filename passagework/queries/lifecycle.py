@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions.marker import marked, same_but_for_marker
-from passagework.operators import gates, ledger, ranking, threads
+from passagework.operators import gates, ledger, threads
 from passagework.queries.search import _TOP, SQL_BM25, _bm25
 from passagework.sources.tables import table
 

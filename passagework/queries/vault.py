@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import front as fm
 from passagework.functions.text import guessed_name, imported_id, moment, plain_key
-from passagework.operators import commits, evaluation, labels, ranking, vault
+from passagework.operators import commits, evaluation, labels, vault
 from passagework.queries.search import _TOP, SQL_BM25, _bm25
 from passagework.sources.tables import table
 
