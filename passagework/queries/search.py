@@ -123,11 +123,9 @@ def mean_vector_per_label(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Fuse the BM25 branch with a branch of rare shared words, per question."""
-    first = _bm25(spark, d, 20)
     asked = passages.query_terms(table(spark, d, "benchmark"), "item_id", "text")
-    hits = passages.term_hits(table(spark, d, "documents").where("text is not null"), ["doc_id"], "text", asked)
-    shared = hits.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    second = ranking.top(shared, ["item_id"], [F.desc("n"), F.asc("doc_id")], 20)
+    index = lexical.indexed(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", asked)
+    first, second = lexical.best_in(index, asked, "item_id", 20), lexical.most_shared(index, asked, "item_id", 20)
     return ranking.fused([second, first], ["doc_id"], 18, "item_id").select("item_id", "doc_id", "rank", F.round("raw", 6).alias("rrf"))
 
 

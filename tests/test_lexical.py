@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagework.operators import lexical, passages, ranking
+from passagework.queries import search
 
 WORDS = ["kurul", "kurulum", "kurulumlar", "rapor", "raporu", "on", "at", "zebra", "ölçü", "Straße", "x"]
 
@@ -64,3 +65,24 @@ def test_nothing_asked_and_nothing_there(spark):
     asked = passages.query_terms(q, "q", "ask")
     assert lexical.best(d.where("k = 'null'"), "k", "text", asked, "q", 3).count() == 0
     assert lexical.best(d, "k", "text", asked, "q", 3, d.where("k = 'absent'").select("k")).count() == 0
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+@pytest.mark.parametrize("at_once", [1, 50, 1_000_000])
+def test_most_shared_is_the_plain_plan(spark, monkeypatch, repeats, at_once):
+    monkeypatch.setattr(lexical, "AT_ONCE", at_once)
+    d, asked = corpus(spark), passages.query_terms(questions(spark), "q", "ask")
+    hits = passages.term_hits(d.where("text is not null"), ["k"], "text", asked).join(asked, "term").groupBy("q", "k").agg(F.sum("tf" if repeats else F.lit(1)).alias("n"))
+    want = {(r["q"], r["rank"]): (r["k"], r["n"]) for r in ranking.top(hits, ["q"], [F.desc("n"), F.asc("k")], 7).collect()}
+    index = lexical.indexed(d, "k", "text", asked)
+    got = {(r["q"], r["rank"]): (r["k"], r["score"]) for r in lexical.most_shared(index, asked, "q", 7, repeats).collect()}
+    assert got == want and len(want) >= 21
+    monkeypatch.setattr(lexical, "ASKED_TERMS", 2)
+    plain = lexical.most_shared(lexical.indexed(d, "k", "text", asked), asked, "q", 7, repeats)
+    assert {(r["q"], r["rank"]): (r["k"], r["score"]) for r in plain.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion"])
+def test_no_pair_of_question_and_document_is_shuffled(spark, monkeypatch, name):
+    monkeypatch.setattr(passages, "term_hits", None)
+    assert getattr(search, name)(spark, "/root/testdata/sf0.001").count() > 200
