@@ -156,12 +156,12 @@ def dedup_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 def pool_variants(spark: SparkSession, d: str) -> DataFrame:
     """Pool a question's own best documents with those of its last words; first seen wins, at most 32."""
-    own = _bm25(spark, d, 20).select("item_id", "doc_id", "rank", F.lit(0).alias("variant"))
     bench = table(spark, d, "benchmark")
+    asked = passages.query_terms(bench, "item_id", "text")
     tail = bench.select("item_id", F.explode(F.slice(F.reverse(tokens(F.col("text"))), 1, 6)).alias("term")).distinct()
-    found = passages.term_hits(table(spark, d, "documents").where("text is not null"), ["doc_id"], "text", tail)
-    hits = found.join(tail, "term").groupBy("item_id", "doc_id").agg(F.sum("tf").alias("n"))
-    other = ranking.top(hits, ["item_id"], [F.desc("n"), F.asc("doc_id")], 20).select("item_id", "doc_id", "rank", F.lit(1).alias("variant"))
+    index = lexical.indexed(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", asked)
+    own = lexical.best_in(index, asked, "item_id", 20).select("item_id", "doc_id", "rank", F.lit(0).alias("variant"))
+    other = lexical.most_shared(index, tail, "item_id", 20, repeats=True).select("item_id", "doc_id", "rank", F.lit(1).alias("variant"))
     return ranking.pooled(own.unionByName(other), "item_id", ["doc_id"], "variant", "rank", 32).select("item_id", "doc_id", "variant", "rank", "place")
 
 

@@ -82,7 +82,7 @@ def test_most_shared_is_the_plain_plan(spark, monkeypatch, repeats, at_once):
     assert {(r["q"], r["rank"]): (r["k"], r["score"]) for r in plain.collect()} == want
 
 
-@pytest.mark.parametrize("name", ["rrf_fusion"])
+@pytest.mark.parametrize("name", ["rrf_fusion", "pool_variants"])
 def test_no_pair_of_question_and_document_is_shuffled(spark, monkeypatch, name):
     monkeypatch.setattr(passages, "term_hits", None)
     assert getattr(search, name)(spark, "/root/testdata/sf0.001").count() > 200
