@@ -245,6 +245,28 @@ def test_nearest_equals_numpy(spark):
     assert {(r["query_id"], r["id_"]) for r in vectors.nearest(d, d, "id_", "v", 3).collect()} == want
 
 
+@pytest.mark.parametrize("block", [10, 2000])
+def test_nearest_in_tiles_with_copies_and_ties(spark, monkeypatch, block):
+    rng = np.random.default_rng(2)
+    m = np.repeat(rng.normal(size=(40, 5)), [8, 3] + [2] * 38, axis=0)
+    ids = rng.permutation(len(m))
+    ids[3] = ids[4]  # an id twice is never its own neighbour
+    for name, value in (("BLOCK", block), ("ASKED_CELLS", 100), ("ROW_CELLS", 150), ("TILE", (7, 9))):
+        monkeypatch.setattr(vectors, name, value)
+    d = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, m)], "id_ long, v array<double>").repartition(3)
+    u = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
+    scores = np.round(u @ u.T, 10)
+    want = {}
+    for q in set(ids.tolist()) - {int(ids[3])}:
+        at = int(np.flatnonzero(ids == q)[0])
+        rest = sorted((-s, int(i)) for s, i in zip(scores[at], ids) if i != q)
+        want |= {(q, k + 1): i for k, (_, i) in enumerate(rest[:4])}
+    got = vectors.nearest(d.where(F.col("id_") != int(ids[3])), d, "id_", "v", 4)
+    assert {(r["query_id"], r["rank"]): r["id_"] for r in got.collect()} == want
+    twice = vectors.nearest(d, d, "id_", "v", 4).where(F.col("query_id") == F.col("id_"))
+    assert twice.count() == 0
+
+
 def test_hashed_vector():
     golden = vectors.hashed_vector("Alpha beta b", 16)  # "b" is too short; each word's slot and sign come from its own hash
     want = np.zeros(16)
