@@ -83,20 +83,47 @@ def owners(value: Column) -> Column:
     return F.filter(parts, lambda x: ~person(x).isin("", "team", "ekip", "name", "tbd", "todo", "owner", "yok", "-"))
 
 
+#: What a text with a secret of each kind holds, in lower case for kinds that ignore case; checked before the costlier pattern. Those have no i, whose lower case hangs on the language.
+_HOLDS = {
+    "openai_key": ("sk-",), "bearer": ("bearer",), "slack": ("xox",), "github": ("ghp_",), "aws": ("AKIA", "ASIA"), "google": ("AIza",), "jwt": ("eyJ",),
+    "assignment": ("password", "secret", "key", "token"), "private_key": ("PRIVATE KEY-----",),
+}
+
+
+def _may_hold(text: Column, low: Column, kind: str) -> Column:
+    """Whether a text, whose lower case is low, may have a secret of a kind."""
+    side = low if kind in ("bearer", "assignment") else text
+    held = F.lit(False)
+    for word in _HOLDS[kind]:
+        held = held | F.contains(side, F.lit(word))
+    return held
+
+
+def masked_with_kinds(text: Column) -> Column:
+    """struct<text, kinds>: every kind of secret replaced, kinds in order, and those that were; a kind sees what the kinds before it have left.
+
+    Each pattern runs once over what may hold its secrets, and most texts hold none of any kind.
+    """
+    state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
+
+    def step(kind: str, pattern: str) -> Callable[[Column], Column]:
+        found = lambda s: F.when(_may_hold(s["text"], F.lower(s["text"]), kind), s["text"].rlike(pattern)).otherwise(False)
+        replaced = lambda s: F.struct(F.regexp_replace(s["text"], pattern, MASK).alias("text"), F.array_append(s["kinds"], F.lit(kind)).alias("kinds"))
+        return lambda s: F.when(found(s), replaced(s)).otherwise(s)
+
+    for kind, pattern in SECRETS:
+        state = once(state, step(kind, pattern))
+    return state
+
+
 def masked(text: Column) -> Column:
     """Every kind of secret replaced, kinds in order."""
-    for _, pattern in SECRETS:
-        text = F.regexp_replace(text, pattern, MASK.replace("*", r"*"))
-    return text
+    return masked_with_kinds(text)["text"]
 
 
 def mask_kinds(text: Column) -> Column:
     """The kinds that masked() replaces, in order; a kind sees what the kinds before it have left."""
-    found = []
-    for kind, pattern in SECRETS:
-        found.append(F.when(text.rlike(pattern), F.lit(kind)))
-        text = F.regexp_replace(text, pattern, MASK)
-    return F.array_compact(F.array(*found))
+    return masked_with_kinds(text)["kinds"]
 
 
 def slug(text: Column, limit: int = 48) -> Column:

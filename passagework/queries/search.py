@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagework.functions.text import MASK, SECRETS, masked, mask_kinds, normalised, prefix_stem, tokens
+from passagework.functions.text import MASK, SECRETS, masked_with_kinds, normalised, prefix_stem, tokens
 from passagework.operators import lexical, passages, ranking, vectors
 from passagework.sources.tables import table
 
@@ -166,8 +166,8 @@ def pool_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, d: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").select("doc_id", F.md5(masked(text)).alias("masked_md5"), F.array_join(mask_kinds(text), ",").alias("kinds"))
+    rows = table(spark, d, "documents").select("doc_id", masked_with_kinds(F.coalesce("text", F.lit(""))).alias("found"))
+    return rows.select("doc_id", F.md5("found.text").alias("masked_md5"), F.array_join("found.kinds", ",").alias("kinds"))
 
 
 def _sql_mask() -> tuple[str, str]:

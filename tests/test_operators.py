@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from passagework.functions import records, text, timeframe
 from passagework.operators import links, passages, ranking, review, sync, threads, topics, vectors
 from passagework.plans.recall import Budget, about_topic, chunked, described, listing, recall, recall_in_time, servable, visible
+from passagework.queries import search
 from passagework.sources import notes, transcripts
 
 
@@ -35,6 +36,22 @@ def test_passages_say_where_they_come_from(spark, rows):
     assert [(r["chunk_no"], r["heading"], r["text"][:9], len(r["text"])) for r in got] == [(0, "summary", "T - sum", 7), (1, "body", "T\nintro", 7), (2, "One", "T > One\na", 1108), (3, "One", "T > One\na", 258)]
 
 
+def test_mask_is_each_pattern_in_order(spark):
+    draw = np.random.default_rng(5)
+    parts = ["sk-abcdefghijklmnop1", "BEARER abcdefghijkl", "xoxb-12345678", "ghp_" + "a" * 20, "ASIA0123456789AB", "AIza" + "b" * 20, "eyJ" + "c" * 20, "PassWord = x", "API_KEY:y", "api-key=z", "tOKEN : sk-" + "d" * 16, "-----BEGIN RSA PRIVATE KEY-----", "İI key", "ordinary words", "sk-", "secret", "\n"]
+    texts = [" ".join(draw.choice(parts, 4)) for _ in range(150)] + ["", None, *parts]
+    x = F.col("x")
+    want, kinds = x, []
+    for kind, pattern in text.SECRETS:
+        kinds.append(F.when(want.rlike(pattern), F.lit(kind)))
+        want = F.regexp_replace(want, pattern, text.MASK)
+    d = spark.createDataFrame([(t,) for t in texts], "x string").select(text.masked(x).alias("m"), text.mask_kinds(x).alias("k"), want.alias("wm"), F.array_compact(F.array(*kinds)).alias("wk"))
+    found = d.collect()
+    assert all(r["m"] == r["wm"] and r["k"] == r["wk"] for r in found) and len({k for r in found for k in r["k"]}) == len(text.SECRETS)
+    once = search.mask_secrets(spark, "/root/testdata/sf0.001")
+    assert once._jdf.queryExecution().analyzed().toString().count("regexp_replace") == len(text.SECRETS)
+
+
 def test_mask(spark):
     x = F.col("x")
     got = one(spark, F.struct(text.masked(x), text.mask_kinds(x)), "key sk-abcdefghijklmnop1 and token = abc AKIAABCDEFGHIJKL")
