@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.operators.ranking import top
+from passagework.session import small_batches
 
 #: Asked vectors that are broadcast at most.
 BLOCK = 2000
@@ -163,7 +164,8 @@ def hashed_vector(text: str, dim: int) -> np.ndarray:
 
 
 def hash_embedding(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
-    """(key, vector array<float>) of every whole text, token hashes remembered per batch."""
+    """(key, vector array<float>) of every whole text, a small batch of texts at a time."""
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagework import session
-
+from passagework.operators import vectors
 from passagework.sources import notes
 
 LIMIT = session._LIMIT
 
+
 @pytest.fixture
 def unset(spark):
     before = spark.conf.get(LIMIT, None)
@@ -17,10 +18,13 @@ def unset(spark):
     yield
     spark.conf.unset(LIMIT) if before is None else spark.conf.set(LIMIT, before)
 
+
 STAGES = {
     "parsed": lambda d: notes.parsed(d, "text"),
+    "hash_embedding": lambda d: vectors.hash_embedding(d, "id", "text", 8),
 }
 
+
 @pytest.mark.parametrize("name", STAGES)
 def test_batches_have_few_bytes(spark, unset, name):
     d = spark.range(3000, numPartitions=1).select("id", F.repeat(F.lit("a b "), 1000).alias("text"))
@@ -33,6 +37,7 @@ def test_batches_have_few_bytes(spark, unset, name):
     most, n = d.mapInArrow(sizes, "bytes long").agg(F.max("bytes"), F.count("bytes")).first()
     assert most <= session.BATCH_BYTES + 10_000 and n >= 3
 
+
 def test_a_limit_of_the_session_stays(spark, unset):
     spark.conf.set(LIMIT, "1m")
     session.small_batches(spark)
