@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagework import session
-from passagework.operators import vectors
+from passagework.operators import gates, lexical, vectors
 from passagework.sources import notes
 
 LIMIT = session._LIMIT
@@ -22,6 +22,8 @@ def unset(spark):
 STAGES = {
     "parsed": lambda d: notes.parsed(d, "text"),
     "hash_embedding": lambda d: vectors.hash_embedding(d, "id", "text", 8),
+    "found": lambda d: lexical.found(d, "id", "text", ["a"]),
+    "scored": lambda d: gates.scored(d, "text", "text", lambda: lambda q, t: [0.0] * len(t)),
 }
 
 
