@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from passagework.operators.tables import written
@@ -28,44 +28,76 @@ def communities(edges: DataFrame) -> DataFrame:
     more, its communities are the next level's nodes, and the last level is the one that joins nothing. Everything is
     joins and sums, and the result depends on the edges alone.
     """
-    edges = written(edges.select("a", "b", F.col("weight").cast("double").alias("weight")))
-    names = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node")))
-    graph = edges
+    given = edges.select("a", "b", F.col("weight").cast("double").alias("weight"))
+    # every edge from both of its ends, so a loop counts twice
+    graph = written(given.unionByName(given.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
+    names = None
     while True:
-        labels = _moved(graph)
-        named = names.join(labels.select(F.col("node").alias("community"), F.col("community").alias("to")), "community", "left")
-        before = names
-        names = written(named.select("node", F.coalesce("to", "community").alias("community")))
-        if not before.join(names, ["node", "community"], "left_anti").limit(1).count():
+        labels, moved = _moved(graph)
+        if names is None:
+            names = labels
+        elif moved:
+            names = written(names.join(labels.select(F.col("node").alias("community"), F.col("community").alias("to")), "community").select("node", F.col("to").alias("community")))
+        if not moved:
             break
-        lab = labels.select(F.col("node").alias("n"), F.col("community").alias("c"))
-        merged = graph.join(lab, F.col("a") == F.col("n")).select(F.col("c").alias("ca"), "b", "weight").join(lab, F.col("b") == F.col("n")).select("ca", F.col("c").alias("cb"), "weight")
-        graph = written(merged.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")))
+        ca, cb = (labels.select(F.col("node").alias(x), F.col("community").alias(f"c{x}")) for x in ("a", "b"))
+        merged = graph.join(ca, "a").groupBy("ca", "b").agg(F.sum("weight").alias("weight")).join(cb, "b")
+        graph = written(merged.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")))
     least = names.groupBy("community").agg(F.min("node").alias("name"))
     return names.join(least, "community").select("node", F.col("name").alias("community"))
 
 
-def _moved(graph: DataFrame) -> DataFrame:
-    """Labels after the rounds of one level; loops count for a node's degree but pull nowhere."""
-    ends = graph.select("a", "b", "weight").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    degree = written(ends.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
-    total = degree.agg(F.sum("k")).first()[0] or 1.0
-    near = written(ends.where("a <> b"))
-    labels = written(degree.select("node", F.col("node").alias("community")))
-    best, idle = modularity(graph, labels), 0
-    for r in itertools.count():
-        sums = labels.join(degree, "node").groupBy("community").agg(F.sum("k").alias("tot"))
-        pull = near.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
-        own = labels.select("node", "community", F.lit(0.0).alias("w"))
-        choice = pull.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w")).join(sums, "community").join(degree, "node").join(labels.select("node", F.col("community").alias("now")), "node")
-        others = F.col("tot") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - F.col("k") * others / total, 10)
-        place = Window.partitionBy("node").orderBy(F.desc("gain"), F.desc(F.col("community") == F.col("now")), F.asc("community"))
-        picked = choice.withColumn("gain", gain).withColumn("place", F.row_number().over(place)).where("place = 1").select("node", F.col("community").alias("to"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        moved = written(labels.join(picked, "node", "left").select("node", F.when(turn & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("community")).alias("community")))
-        now = modularity(graph, moved)
-        if now > best + 1e-12:
-            labels, best, idle = moved, now, 0
-        elif (idle := idle + 1) == 2:
-            return labels
+class _Weighed(NamedTuple):
+    """Labels as a table (node, community, to, k): where each node is and would go, and its degree; with their modularity."""
+
+    table: DataFrame
+    modularity: float
+
+    def after(self, parity: int) -> DataFrame:
+        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == parity
+        return self.table.select("node", F.when(turn, F.col("to")).otherwise(F.col("community")).alias("community"), "k")
+
+
+def _moved(graph: DataFrame) -> tuple[DataFrame, bool]:
+    """Labels after the rounds of one level, and whether any node moved; loops count for a node's degree but pull nowhere.
+
+    One pass weighs labels and finds where the nodes of either parity would go from them, so a round is one pass over
+    the edges, and what the labels before it chose serves again if its moves are taken back.
+    """
+    loop = F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)
+    seen = Observation()
+    degree = graph.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k"), F.sum(loop).alias("loops"))
+    degree = written(degree.observe(seen, F.sum("k").alias("total"), F.sum("loops").alias("loops")))
+    total, loops = seen.get["total"] or 1.0, seen.get["loops"] or 0.0
+    near = written(graph.where("a <> b").join(degree.select(F.col("node").alias("a"), "k"), "a"))
+    best = _weighed(near, degree.select("node", F.col("node").alias("community"), "k"), total, loops)
+    r = idle = 0
+    moved = False
+    while idle < 2:
+        now = _weighed(near, best.after(r % 2), total, loops)
+        if now.modularity > best.modularity + 1e-12:
+            best, idle, moved = now, 0, True
+        else:
+            idle += 1
+        r += 1
+    return best.table.select("node", "community"), moved
+
+
+def _weighed(near: DataFrame, labels: DataFrame, total: float, loops: float) -> _Weighed:
+    """Labels (node, community, k) weighed over near (a, b, weight, k), where k is the degree of a."""
+    tot = labels.groupBy("community").agg(F.sum("k").alias("tot"))
+    there = labels.join(tot, "community")
+    pull = near.join(there.select(F.col("node").alias("b"), "community", "tot"), "b").select(F.col("a").alias("node"), "community", "weight", "k", "tot", F.lit(False).alias("now"))
+    own = there.select("node", "community", F.lit(0.0).alias("weight"), "k", "tot", F.lit(True).alias("now"))
+    # a node's rows are dealt once, for both of the sums below
+    choice = pull.unionByName(own).repartition("node").groupBy("node", "community").agg(F.sum("weight").alias("w"), F.max("k").alias("k"), F.max("tot").alias("tot"), F.max("now").alias("now"))
+    others = F.col("tot") - F.when(F.col("now"), F.col("k")).otherwise(0.0)
+    gain = F.round(F.col("w") - F.col("k") * others / total, 10)
+    place = F.min(F.struct((F.lit(0.0) - gain).alias("gain"), (~F.col("now")).alias("away"), F.col("community").alias("to")))
+    stay = lambda c: F.max(F.when(F.col("now"), F.col(c)))
+    picked = choice.groupBy("node").agg(stay("community").alias("community"), place.alias("place"), F.max("k").alias("k"), stay("w").alias("w"), stay("tot").alias("tot"))
+    seen = Observation()
+    sums = picked.observe(seen, F.sum("k").alias("twice"), F.sum("w").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("squares"))
+    table = written(sums.select("node", "community", F.col("place.to").alias("to"), "k"))
+    twice, inside, squares = (seen.get[x] for x in ("twice", "inside", "squares"))
+    return _Weighed(table, (inside + loops) / twice - squares / (twice * twice) if twice else 0.0)

@@ -309,6 +309,65 @@ def test_two_communities(spark):
     assert topics.modularity(edges, labels) == pytest.approx(want)
 
 
+def _moves_by_hand(pairs, odd):
+    """Labels, rounds and levels of the moves that topics.communities documents, one node after another."""
+    graph, names, rounds, levels = {}, {}, 0, 0
+    for a, b, w in pairs:
+        for x, y in ((a, b), (b, a)):
+            graph[x, y], names[x] = graph.get((x, y), 0.0) + w, x
+    total = sum(graph.values())
+    while True:
+        k, levels, r, idle, moved = {}, levels + 1, 0, 0, False
+        for (a, _), w in graph.items():
+            k[a] = k.get(a, 0.0) + w
+
+        def weighed(lab):
+            tot, pull = {}, {a: {lab[a]: 0.0} for a in k}
+            for a in k:
+                tot[lab[a]] = tot.get(lab[a], 0.0) + k[a]
+            for (a, b), w in graph.items():
+                if a != b:
+                    pull[a][lab[b]] = pull[a].get(lab[b], 0.0) + w
+            to = {a: min(pull[a], key=lambda c: (-round(pull[a][c] - k[a] * (tot[c] - (k[a] if c == lab[a] else 0.0)) / total, 10), c != lab[a], c)) for a in k}
+            return sum(w for (a, b), w in graph.items() if lab[a] == lab[b]) / total - sum(x * x for x in tot.values()) / total**2, to
+
+        lab = {a: a for a in k}
+        best, to = weighed(lab)
+        while idle < 2:
+            after = {a: to[a] if odd[a] == r % 2 else c for a, c in lab.items()}
+            q, there = weighed(after)
+            if q > best + 1e-12:
+                lab, best, to, idle, moved = after, q, there, 0, True
+            else:
+                idle += 1
+            r, rounds = r + 1, rounds + 1
+        if not moved:
+            least = {c: min(x for x in names if names[x] == c) for c in set(names.values())}
+            return {x: least[c] for x, c in names.items()}, rounds, levels
+        names, merged = {x: lab[c] for x, c in names.items()}, {}
+        for (a, b), w in graph.items():
+            merged[lab[a], lab[b]] = merged.get((lab[a], lab[b]), 0.0) + w
+        graph = merged
+
+
+def test_a_round_of_moves_is_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    pairs = [(int(a), int(b), float(w)) for a, b, w in zip(*rng.integers(0, 40, (2, 90)), rng.random(90).round(4))] + [(3, 3, 0.5), (1, 2, 0.25), (2, 1, 0.25)]
+    odd = {r[0]: r[1] for r in spark.range(40).select("id", F.pmod(F.xxhash64("id"), F.lit(2))).collect()}
+    want, rounds, levels = _moves_by_hand(pairs, odd)
+    passes, write, frame = [], topics.written, type(spark.range(0))
+    monkeypatch.setattr(topics, "written", lambda df: (passes.append("table"), write(df))[1])
+    for name in ("first", "count"):
+        monkeypatch.setattr(frame, name, lambda df, name=name, action=getattr(frame, name): (passes.append(name), action(df))[1])
+    found = topics.communities(spark.createDataFrame(pairs, "a long, b long, weight double"))
+    monkeypatch.undo()
+    assert levels > 2 and {r["node"]: r["community"] for r in found.collect()} == want
+    # besides the rounds, a level writes its degrees, its edges, its first labels, and where they meet the nodes and the next level
+    assert len(passes) <= rounds + 5 * levels, (len(passes), rounds, levels)
+    nothing = topics.communities(spark.createDataFrame([], "a long, b long, weight double"))
+    assert nothing.count() == 0 and nothing.columns == ["node", "community"]
+
+
 def test_front_matter_shapes():
     f, body = notes.front_matter('---\ntitle: "A"\ntags: [x, "y, z"]\nverified:\n  - by: human:a\n    at: 2026-01-01\n  - by: bot\non: on\nmap: {a: 1, b: two}\n---\nbody\n')
     assert f == {"title": "A", "tags": ["x", "y, z"], "verified": [{"by": "human:a", "at": "2026-01-01"}, {"by": "bot"}], "on": True, "map": {"a": 1, "b": "two"}}
